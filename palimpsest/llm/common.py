@@ -80,12 +80,35 @@ def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
 
 
 class Memo(dict):
-    """A dict with a bound: clear_if_full() empties it between batches, so that a worker's memory stays level."""
+    """A dict of two generations with a bound: what a worker has met lately stays, and its memory stays level."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.old = most // 2, {}
 
-    def clear_if_full(self) -> None:
+    def unknown(self, keys: set) -> set:
+        """Those of the keys that have no value yet; the others can be read until the next call."""
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
+        absent = keys.difference(self)
+        again = absent.intersection(self.old)
+        self.update((k, self.old[k]) for k in again)
+        return absent.difference(again)
+
+
+def encode_apart(model, words: list[str], marker: str, marker_id: int) -> list[np.ndarray]:
+    """Ids of each word as if encoded alone, many in one call: a special token, which never joins its neighbours,
+    stands between them. Words that hold the marker are encoded by themselves."""
+    out: list[np.ndarray | None] = [None] * len(words)
+    plain = [i for i, w in enumerate(words) if marker not in w]
+    for i in set(range(len(words))).difference(plain):
+        out[i] = np.array(model.encode(words[i], add_special_tokens=False).ids, dtype="<u4")
+    parts = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+    found = model.encode_batch_fast([marker.join(words[i] for i in part) for part in parts], add_special_tokens=False)
+    for part, e in zip(parts, found, strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == marker_id)
+        for i, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
+            out[i] = ids[a:b]
+    return out

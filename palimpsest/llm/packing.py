@@ -6,20 +6,26 @@ size of the corpus. Pieces find their places by their rank among the pieces of t
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize
+from .common import Memo, encode_apart, materialize
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: The pre-tokenizer pattern whose matches hold no white space, and that drops all else.
+_NO_BLANKS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 #: Rows of one length that are ranked in one task, on average.
 RANK_ROWS = 200_000
+#: Texts whose words are looked up together.
+AT_ONCE = 200
 
 
 # ---- the plan: plain arithmetic on the histogram -----------------------------------------------------------------
@@ -51,15 +57,20 @@ def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int =
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> np.ndarray:
     """The best multiset of sizes within the capacity."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        for i, s in enumerate(sizes):
-            if s <= c and best[c - s] + values[i] > best[c] + 1e-12:
-                best[c], choice[c] = best[c - s] + values[i], i
+    best, choice, least = np.zeros(capacity + 1), np.full(capacity + 1, -1), min(sizes)
+    rising = np.array(sizes[::-1])
+    worth = np.asarray(values)[::-1]
+    fits = np.searchsorted(rising, np.arange(capacity + 1), side="right")
+    for c in range(least, capacity + 1):
+        k = fits[c]
+        got = best[c - rising[:k]] + worth[:k]
+        i = int(got.argmax())
+        if got[i] > best[c - 1] + 1e-12:
+            best[c], choice[c] = got[i], len(sizes) - 1 - i
+        else:
+            best[c] = best[c - 1]
     out, c = np.zeros(len(sizes)), capacity
-    while c > 0:
+    while c >= least:
         if choice[c] < 0:
             c -= 1
         else:
@@ -179,7 +190,7 @@ def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int
     return sequences, runs
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (12, 24), small: tuple[float, ...] = (0.1, 0.2, 0.3)) -> tuple[int, list]:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (24, 60), small: tuple[float, ...] = (0.2, 0.3, 0.5)) -> tuple[int, list]:
     """(number of sequences, runs) for counts of lengths from 1 to capacity.
 
     A run (length, from rank, to rank, first sequence, pieces in each sequence, offset) places the pieces of that
@@ -204,37 +215,36 @@ def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ..
 _TOKENS: dict[str, tuple] = {}
 
 
-def _encoder(path: str, most: int = 150_000):
-    """text -> its ids as little-endian unsigned 32-bit bytes. White space never is in a token of the word-level
-    vocabulary, so words between blanks are encoded once in each worker."""
+def _encoder(path: str, most: int = 600_000):
+    """UTF-8 texts -> their ids as little-endian unsigned 32-bit bytes. Where the vocabulary's pre-tokenizer drops
+    white space, no token reaches over a blank, and each worker encodes a word between blanks once and remembers it."""
     if path not in _TOKENS:
-        import json
-
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
         with open(path) as f:
-            made = json.load(f)["pre_tokenizer"]
-        first = (made.get("pretokenizers") or [made])[0]
-        by_word = first.get("type") == "Split" and first.get("invert") and " ?" not in str(first.get("pattern")) and "\\s+" not in str(first.get("pattern"))
-        _TOKENS[path] = (model, Memo(most) if by_word else None)
-    model, memo = _TOKENS[path]
-    raw = lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            made = json.load(f)
+        marker = next(iter(made["added_tokens"]), None)
+        first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        by_word = marker and first.get("pattern") == _NO_BLANKS and first.get("behavior") == "Removed" and first.get("invert")
+        lowered = {"type": "Lowercase"} in (made["normalizer"] or {}).get("normalizers", [])
+        _TOKENS[path] = (model, marker, lowered, Memo(most) if by_word else None)
+    model, marker, lowered, memo = _TOKENS[path]
     if memo is None:
-        return lambda data: raw([data.decode()])[0]
-
-    def encode(data: bytes) -> bytes:
-        words = data.split()
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            memo.update(zip(new, raw([w.decode() for w in new]), strict=True))
-            out = b"".join(map(memo.__getitem__, words))
-            memo.clear_if_full()
-            return out
+        return lambda texts: [np.array(model.encode(x.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+    def words_of(data: bytes) -> list[bytes]:
+        # A-Z are lowered beforehand where nothing else in the text depends on them: fewer different words
+        return data.lower().split() if lowered and data.isascii() and b"<|" not in data else data.split()
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        words = [words_of(x) for x in texts]
+        new = list(memo.unknown(set(chain.from_iterable(words))))
+        ids = encode_apart(model, [w.decode() for w in new], marker["content"], marker["id"])
+        memo.update(zip(new, [x.tobytes() for x in ids], strict=True))
+        return [b"".join(map(memo.__getitem__, x)) for x in words]
 
     return encode
 
@@ -246,9 +256,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = _encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, data in zip(b["doc_id"].astype("Int64"), b["data"], strict=True):
-                ids = encode(data) + end
+            rows, data = [], b["data"].tolist()
+            encoded = chain.from_iterable(encode(data[i : i + AT_ONCE]) for i in range(0, len(data), AT_ONCE))
+            for doc, ids in zip(b["doc_id"].astype("Int64"), encoded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))

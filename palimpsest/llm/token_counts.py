@@ -6,13 +6,16 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch
+from .common import Memo, encode_apart, scratch
 
+#: Texts whose pieces are looked up together.
+AT_ONCE = 200
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Blanks run + rest of a word, so that no token of the byte-level pattern spans two pieces.
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -20,7 +23,7 @@ _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The pre-tokenizer for which pieces are encoded alone.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict = {}
 
 
 def tokenizer_version(path: str) -> str:
@@ -29,14 +32,14 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read() + b"|add_special_tokens=False").hexdigest()
 
 
-def _counter(path: str, most: int = 250_000):
+def _counter(path: str, most: int = 600_000):
     """texts -> counts for one vocabulary file; byte-level files get a memo of word pieces in each worker."""
     if path not in _LOADED:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _LOADED[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], None)
+            _LOADED[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
@@ -46,29 +49,27 @@ def _counter(path: str, most: int = 250_000):
             with open(path) as f:
                 made = json.load(f)
             byte_level = made["normalizer"] is None and made["pre_tokenizer"] == _BYTE_LEVEL
+            marker = next(iter(made["added_tokens"]), None)
             whole = lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            _LOADED[path] = (whole, Memo(most) if byte_level else None)
-    whole, memo = _LOADED[path]
-    if memo is None:
-        return whole
-
-    def pieced(texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            if _OTHER_BLANK.search(text):
-                out += whole([text])
-                continue
-            pieces = _PIECE.findall(text)
-            try:
-                out.append(sum(map(memo.__getitem__, pieces)))
-            except KeyError:
-                new = [p for p in dict.fromkeys(pieces) if p not in memo]
-                memo.update(zip(new, whole(new), strict=True))
-                out.append(sum(map(memo.__getitem__, pieces)))
-                memo.clear_if_full()
-        return out
-
-    return pieced
+            if not (byte_level and marker):
+                _LOADED[path] = whole
+            else:
+                apart = lambda words: [len(x) for x in encode_apart(model, words, marker["content"], marker["id"])]
+                _LOADED[path] = _pieced(whole, apart, Memo(most))
+    return _LOADED[path]
+
+
+def _pieced(whole, apart, memo: Memo):
+    """Counts by a memo of pieces; a text with a blank that pieces don't know is encoded whole."""
+
+    def some(texts: list[str]) -> list[int]:
+        pieces = [None if _OTHER_BLANK.search(x) else _PIECE.findall(x) for x in texts]
+        new = list(memo.unknown(set(chain.from_iterable(p for p in pieces if p))))
+        memo.update(zip(new, apart(new), strict=True))
+        get = memo.__getitem__
+        return [whole([x])[0] if p is None else sum(map(get, p)) for x, p in zip(texts, pieces, strict=True)]
+
+    return lambda texts: [n for i in range(0, len(texts), AT_ONCE) for n in some(texts[i : i + AT_ONCE])]
 
 
 def count_tokens(
