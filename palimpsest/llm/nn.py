@@ -37,7 +37,7 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
-    def step(self, grads: dict[str, np.ndarray], clip: float = 5.0) -> None:
+    def step(self, grads: dict[str, np.ndarray], clip: float = 5.0, slow: dict[str, float] | None = None) -> None:
         self.t += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, clip / (norm + 1e-12))
@@ -46,4 +46,4 @@ class Adam:
             g = g * scale
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
-            self.params[k] -= (self.rate / c1) * self.m[k] / (np.sqrt(self.v[k] / c2) + 1e-8)
+            self.params[k] -= ((slow or {}).get(k, 1.0) * self.rate / c1) * self.m[k] / (np.sqrt(self.v[k] / c2) + 1e-8)

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .chat_format import conversation_events, digest_formatted, fold_events, render_messages
 from .embedding_dedup import near_duplicates
+from .language_id import predict_language
 from .license_scan import scan_licenses
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
 
@@ -30,10 +33,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(_table(spark, sf_dir, "documents"))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return count_tokens(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -50,12 +61,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_language_id": op2_language_id,
     "op3_bestfit_packing": op3_bestfit_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -172,10 +172,10 @@ class Scorer:
         return sigmoid(top.astype(np.float64))
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 400, batch: int = 96, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> ToxicityModel:
-    """A model from labelled texts. A text's label holds for its most toxic window. One dimension of the character and
+def fit(texts: list[bytes], labels: list[int], steps: int = 400, batch: int = 96, rate: float = 0.01, seed: int = 5) -> ToxicityModel:
+    """A model from labelled texts, a fifth of which choose among the states of training. A text's label holds for its most toxic window. One dimension of the character and
     word inputs starts at the log-odds of toxic texts among those that hold the trigram or word; windows with the
-    highest such word, later those with the highest scores so far, are learned from, chosen anew every 50 steps."""
+    highest such word, later those with the highest scores so far, are learned from, chosen anew every 40 steps."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
@@ -188,17 +188,20 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 400, batch: int = 96
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     of, firsts = windows(lengths)
     cut_at = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
-    yes, no = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    yes, no = r.permutation(np.flatnonzero(y == 1)), r.permutation(np.flatnonzero(y == 0))
+    checked = np.concatenate([yes[: len(yes) // 5], no[: len(no) // 5]])
+    yes, no = yes[len(yes) // 5 :], no[len(no) // 5 :]
     tri, starts, whole = word_inputs(vocabulary)
     counts = np.diff(np.append(starts, len(tri)))
     held = [np.zeros((2, len(vocabulary))), np.zeros((2, BUCKETS))]  # texts of each label with the word, the trigram
-    for d in range(len(texts)):
+    for d in [*yes, *no]:
         own = np.unique(flat[begins[d] : begins[d] + lengths[d]])
         held[0][int(y[d]), own] += 1
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(counts[own])[:-1]]), counts[own]) + np.arange(counts[own].sum()) if len(own) else []
         held[1][int(y[d]), np.unique(tri[at])] += 1
     # a toxic text's own words are no evidence for it: one text is taken off
-    odds = [np.log(np.maximum(h[1] - 1, 0) / len(yes) + 1 / len(y)) - np.log(h[0] / len(no) + 1 / len(y)) for h in held]
+    n = len(yes) + len(no)
+    odds = [np.log(np.maximum(h[1] - 1, 0) / len(yes) + 1 / n) - np.log(h[0] / len(no) + 1 / n) for h in held]
     rare = held[0].sum(axis=0) < 2  # words of one text are known by their characters alone
     model.p["word"][:] = 0
     model.p["word"][whole, 0] = np.clip(odds[0], -2, 6) / 2
@@ -206,10 +209,17 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 400, batch: int = 96
     by_word = odds[0].astype(np.float32)
     logits = np.concatenate([np.where(m, by_word[rows], -9).max(axis=1) for rows, m in (_cut(flat, begins, lengths, of[i : i + 4096], firsts[i : i + 4096]) for i in range(0, len(of), 4096))])
     adam = Adam(model.p, rate)
-    for step in range(steps):
-        if step % 50 == 0 and step:
+    best, least = None, np.inf
+    for step in range(steps + 1):
+        if step % 40 == 0 and step:
             gates = model.project(vocabulary)
             logits = np.concatenate([model.forward(gates, *_cut(flat, begins, lengths, of[i : i + 4096], firsts[i : i + 4096])) for i in range(0, len(of), 4096)])
+            top = np.maximum.reduceat(logits, cut_at[:-1])
+            loss = np.logaddexp(0, np.where(y[checked] == 1, -top[checked], top[checked])).mean() if len(checked) else -step
+            if loss < least:
+                best, least = {k: v.copy() for k, v in model.p.items()}, loss
+        if step == steps:
+            break
         adam.rate = rate * (1 if step < steps * 0.6 else 0.3)
         docs = np.concatenate([r.choice(yes, batch // 2), r.choice(no, batch // 2)])
         chosen = []
@@ -217,15 +227,15 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 400, batch: int = 96
             a, b = cut_at[d], cut_at[d + 1]
             if y[d] == 0 and r.random() < 0.25:
                 chosen.append(r.integers(a, b))
-            else:  # the highest window, now and then the next one
+            else:  # the highest window, now and then one of the next
                 order = a + np.argsort(-logits[a:b])[: 1 if y[d] else 3]
                 chosen.append(order[r.integers(len(order))])
         rows, mask = _cut(flat, begins, lengths, of[chosen], firsts[chosen])
         own, local = np.unique(rows, return_inverse=True)
         grads = model.gradients([vocabulary[i] for i in own], local.reshape(rows.shape), mask, y[docs], np.ones(len(docs), dtype=np.float32))
         grads["word"][whole[own[rare[own]]]] = 0
-        grads["char"] += decay * model.p["char"]
-        adam.step(grads)
+        adam.step(grads, slow={"char": 0.1, "word": 0.1})
+    model.p = best or model.p
     return model
 
 
