@@ -87,15 +87,18 @@ class Memo(dict):
         self.most, self.old = most // 2, {}
 
     def unknown(self, keys: set) -> set:
-        """Those of the keys that have no value yet; the others can be read until the next call."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        """Those of the keys that have no value yet; the others can be read until the next call of age()."""
         absent = keys.difference(self)
         again = absent.intersection(self.old)
         self.update((k, self.old[k]) for k in again)
         return absent.difference(again)
 
+    def age(self) -> None:
+        """Call between batches: beyond half the bound, what isn't used again goes."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
 
 def encode_apart(model, words: list[str], marker: str, marker_id: int) -> list[np.ndarray]:
     """Ids of each word as if encoded alone, many in one call: a special token, which never joins its neighbours,

@@ -22,6 +22,8 @@ from .common import Memo, encode_apart, materialize
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokenizer pattern whose matches hold no white space, and that drops all else.
 _NO_BLANKS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: Marks that are a pre-token of their own after a letter A-Z.
+_SINGLE = frozenset(b"%c" % c for c in b".,;:!?")
 #: Rows of one length that are ranked in one task, on average.
 RANK_ROWS = 200_000
 #: Texts whose words are looked up together.
@@ -236,14 +238,21 @@ def _encoder(path: str, most: int = 600_000):
         return lambda texts: [np.array(model.encode(x.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
     def words_of(data: bytes) -> list[bytes]:
-        # A-Z are lowered beforehand where nothing else in the text depends on them: fewer different words
-        return data.lower().split() if lowered and data.isascii() and b"<|" not in data else data.split()
+        # A-Z are lowered beforehand where no special token or combining mark (lead bytes CC, CD) depends on them
+        plain = lowered and b"<|" not in data and (data.isascii() or (b"\xcc" not in data and b"\xcd" not in data))
+        return data.lower().split() if plain else data.split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        memo.age()
         words = [words_of(x) for x in texts]
-        new = list(memo.unknown(set(chain.from_iterable(words))))
-        ids = encode_apart(model, [w.decode() for w in new], marker["content"], marker["id"])
-        memo.update(zip(new, [x.tobytes() for x in ids], strict=True))
+        new = memo.unknown(set(chain.from_iterable(words)))
+        # a word and the mark after it are two pre-tokens
+        ends = {w for w in new if w[-1:] in _SINGLE and w[-2:-1].isalpha()}
+        stems = memo.unknown({w[:-1] for w in ends} | {w[-1:] for w in ends}) if ends else set()
+        direct = list((new - ends) | stems)
+        ids = encode_apart(model, [w.decode() for w in direct], marker["content"], marker["id"])
+        memo.update(zip(direct, [x.tobytes() for x in ids], strict=True))
+        memo.update((w, memo[w[:-1]] + memo[w[-1:]]) for w in ends)
         return [b"".join(map(memo.__getitem__, x)) for x in words]
 
     return encode

@@ -63,6 +63,7 @@ def _pieced(whole, apart, memo: Memo):
     """Counts by a memo of pieces; a text with a blank that pieces don't know is encoded whole."""
 
     def some(texts: list[str]) -> list[int]:
+        memo.age()
         pieces = [None if _OTHER_BLANK.search(x) else _PIECE.findall(x) for x in texts]
         new = list(memo.unknown(set(chain.from_iterable(p for p in pieces if p))))
         memo.update(zip(new, apart(new), strict=True))
