@@ -13,6 +13,7 @@ from .embedding_dedup import near_duplicates
 from .language_id import predict_language
 from .license_scan import scan_licenses
 from .lm_scoring import score_documents
+from .ngram_join import near_copies
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -58,6 +59,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_formatted(render_messages(messages))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
@@ -142,4 +148,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
         FROM m JOIN n USING (item_id) WHERE n_shared >= n_item * 0.8 - 1e-9
     """,
+    "op7_ngram_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        m AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (
+            SELECT a, b FROM m JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
 }
