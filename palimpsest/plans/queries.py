@@ -365,8 +365,8 @@ def compare_results(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_window_edges(s: SparkSession, d: str) -> DataFrame:
-    labelled = materialize(tables.trade(s, d).labelled(), "labelled")
-    return stream_from_table(s, labelled, WINDOW, SLIDE, threshold(WINDOW, 0.8))
+    h = tables.trade(s, d)
+    return stream_from_table(s, h.snapshots, materialize(h.labelled(), "labelled"), WINDOW, SLIDE, threshold(WINDOW, 0.8))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,7 +13,8 @@ OUT = "win int, sl int, el int, dl int, support long"
 
 
 def stream_window_edges(spark: SparkSession, source: DataFrame, w: int, ss: int, least: int, target: str) -> DataFrame:
-    """Frequent one-edge patterns of each full window, from a stream of labelled edges (seq, sl, el, dl, ...).
+    """Frequent one-edge patterns of each full window, from a stream of labelled edges (seq, sl, el, dl, ...); a snapshot
+    without edges is a row with null labels.
 
     Snapshots arrive whole and in order; one that is not newer than the last batch's newest is late, dropped, and
     counted in target/late. A batch appends the label triples of its snapshots to target/state under its own number,
@@ -39,7 +40,7 @@ def stream_window_edges(spark: SparkSession, source: DataFrame, w: int, ss: int,
         last = newest(number + 1)
         first_win, end_win = max(0, -(-(done + 2 - w) // ss)), (last + 1 - w) // ss  # windows that end after done and by last
         wins = F.sequence(F.greatest(F.lit(first_win), F.ceil((F.col("seq") - w + 1) / ss)).cast("int"), F.least(F.lit(end_win), F.floor(F.col("seq") / ss)).cast("int"))
-        live = state().filter((F.col("seq") >= first_win * ss) & (F.col("seq") < end_win * ss + w))
+        live = state().filter(F.col("sl").isNotNull() & (F.col("seq") >= first_win * ss) & (F.col("seq") < end_win * ss + w))
         filled = live.filter(F.greatest(F.lit(first_win), F.ceil((F.col("seq") - w + 1) / ss)) <= F.least(F.lit(end_win), F.floor(F.col("seq") / ss)))
         counted = filled.select(F.explode(wins).alias("win"), "sl", "el", "dl").groupBy("win", "sl", "el", "dl").agg(F.count(F.lit(1)).alias("support"))
         counted.filter(F.col("support") >= least).write.mode("overwrite").parquet(f"{target}/out/batch={number}")
@@ -49,14 +50,15 @@ def stream_window_edges(spark: SparkSession, source: DataFrame, w: int, ss: int,
     return spark.read.schema(OUT).parquet(f"{target}/out").select("win", "sl", "el", "dl", "support")
 
 
-def stream_from_table(spark: SparkSession, labelled: DataFrame, w: int, ss: int, least: int, files: int = 6) -> DataFrame:
-    """The same for a table: it is laid out as files of consecutive snapshots, which a file stream then reads in order,
+def stream_from_table(spark: SparkSession, snapshots: DataFrame, labelled: DataFrame, w: int, ss: int, least: int, files: int = 6) -> DataFrame:
+    """The same for tables: they are laid out as files of consecutive snapshots, which a file stream then reads in order,
     one file a batch."""
     base = scratch(spark, "stream")
-    cut = labelled.agg(F.max("seq")).first()[0]
+    every = snapshots.select("seq").join(labelled.select("seq", "sl", "el", "dl"), "seq", "left")
+    cut = every.agg(F.max("seq")).first()[0]
     size = max(1, -(-(0 if cut is None else cut + 1) // files))
-    rows = labelled.withColumn("part", F.floor(F.col("seq") / size).cast("int"))
+    rows = every.withColumn("part", F.floor(F.col("seq") / size).cast("int"))
     for k in range(files):  # one after the other: a file stream goes by the time of files
         rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(labelled.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    source = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     return stream_window_edges(spark, source, w, ss, least, base)
