@@ -79,25 +79,26 @@ def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
         yield held
 
 
-class Memo(dict):
-    """A dict of two generations with a bound: what a worker has met lately stays, and its memory stays level."""
+class Memo:
+    """Values of two generations with a bound: what a worker has met lately stays, and its memory stays level. `now` is
+    a plain dict that holds every key that unknown() has been asked for and that has a value."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most // 2, {}
+        self.most, self.now, self.old = most // 2, {}, {}
 
     def unknown(self, keys: set) -> set:
-        """Those of the keys that have no value yet; the others can be read until the next call of age()."""
-        absent = keys.difference(self)
-        again = absent.intersection(self.old)
-        self.update((k, self.old[k]) for k in again)
-        return absent.difference(again)
+        """Those of the keys that have no value yet; the others can be read from now until the next call of age()."""
+        absent = keys.difference(self.now)
+        if not self.old:
+            return absent
+        new = absent.difference(self.old)
+        self.now.update((k, self.old[k]) for k in absent if k not in new)
+        return new
 
     def age(self) -> None:
         """Call between batches: beyond half the bound, what isn't used again goes."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
 
 
 def encode_apart(model, words: list[str], marker: str, marker_id: int) -> list[np.ndarray]:

@@ -7,6 +7,7 @@ size of the corpus. Pieces find their places by their rank among the pieces of t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,6 +23,9 @@ from .common import Memo, encode_apart, materialize
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokenizer pattern whose matches hold no white space, and that drops all else.
 _NO_BLANKS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: Lower-case letters that are composed already: no normalising changes a word of them, and it is one pre-token.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Marks that are a pre-token of their own after a letter A-Z.
 _SINGLE = frozenset(b"%c" % c for c in b".,;:!?")
 #: Rows of one length that are ranked in one task, on average.
@@ -229,8 +233,9 @@ def _encoder(path: str, most: int = 600_000):
         with open(path) as f:
             made = json.load(f)
         marker = next(iter(made["added_tokens"]), None)
-        first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        by_word = marker and first.get("pattern") == _NO_BLANKS and first.get("behavior") == "Removed" and first.get("invert")
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        first = steps[0]
+        by_word = marker and steps[1:] == [_BYTE_LEVEL] and first.get("pattern") == _NO_BLANKS and first.get("behavior") == "Removed" and first.get("invert")
         lowered = {"type": "Lowercase"} in (made["normalizer"] or {}).get("normalizers", [])
         _TOKENS[path] = (model, marker, lowered, Memo(most) if by_word else None)
     model, marker, lowered, memo = _TOKENS[path]
@@ -242,6 +247,15 @@ def _encoder(path: str, most: int = 600_000):
         plain = lowered and b"<|" not in data and (data.isascii() or (b"\xcc" not in data and b"\xcd" not in data))
         return data.lower().split() if plain else data.split()
 
+    def ids_of(words: list[bytes]) -> list[bytes]:
+        """A word of letters that normalising leaves as it is goes straight to the model's merges, the rest all the way."""
+        texts = [w.decode() for w in words]
+        plain = [bool(_PLAIN.fullmatch(x)) for x in texts]
+        merges, table = model.model, _byte_letters()
+        rest = iter(encode_apart(model, [x for x, p in zip(texts, plain, strict=True) if not p], marker["content"], marker["id"]))
+        spelled = (x if x.isascii() else w.decode("latin-1").translate(table) for x, w in zip(texts, words, strict=True))
+        return [b"".join(t.id.to_bytes(4, "little") for t in merges.tokenize(x)) if p else next(rest).tobytes() for x, p in zip(spelled, plain, strict=True)]
+
     def encode(texts: list[bytes]) -> list[bytes]:
         memo.age()
         words = [words_of(x) for x in texts]
@@ -250,14 +264,21 @@ def _encoder(path: str, most: int = 600_000):
         ends = {w for w in new if w[-1:] in _SINGLE and w[-2:-1].isalpha()}
         stems = memo.unknown({w[:-1] for w in ends} | {w[-1:] for w in ends}) if ends else set()
         direct = list((new - ends) | stems)
-        ids = encode_apart(model, [w.decode() for w in direct], marker["content"], marker["id"])
-        memo.update(zip(direct, [x.tobytes() for x in ids], strict=True))
-        memo.update((w, memo[w[:-1]] + memo[w[-1:]]) for w in ends)
-        return [b"".join(map(memo.__getitem__, x)) for x in words]
+        memo.now.update(zip(direct, ids_of(direct), strict=True))
+        get = memo.now.__getitem__
+        memo.now.update((w, get(w[:-1]) + get(w[-1:])) for w in ends)
+        return [b"".join(map(get, x)) for x in words]
 
     return encode
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others by letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [c for c in range(256) if c not in set(plain)]
+    return {c: chr(c) for c in plain} | {c: chr(256 + i) for i, c in enumerate(others)}
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE_SCHEMA: the ids of each whole text and end_id, cut into pieces of at most capacity ids."""
     step = 4 * capacity

@@ -66,8 +66,8 @@ def _pieced(whole, apart, memo: Memo):
         memo.age()
         pieces = [None if _OTHER_BLANK.search(x) else _PIECE.findall(x) for x in texts]
         new = list(memo.unknown(set(chain.from_iterable(p for p in pieces if p))))
-        memo.update(zip(new, apart(new), strict=True))
-        get = memo.__getitem__
+        memo.now.update(zip(new, apart(new), strict=True))
+        get = memo.now.__getitem__
         return [whole([x])[0] if p is None else sum(map(get, p)) for x, p in zip(texts, pieces, strict=True)]
 
     return lambda texts: [n for i in range(0, len(texts), AT_ONCE) for n in some(texts[i : i + AT_ONCE])]
