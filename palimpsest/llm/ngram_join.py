@@ -26,7 +26,7 @@ MOST_FREQUENT, A_BATCH = 100_000, 8192
 #: Most ids of documents to be verified that are broadcast; beyond it they are joined by shuffle.
 MOST_BROADCAST = 200_000
 AT_ONCE, MOST_WORDS = 250, 500_000
-SKETCH = 8  # longs
+LEAST_SKETCH = 8  # longs
 _K = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -44,10 +44,10 @@ class Shingler:
     def _some(self, texts: list[bytes]) -> list[np.ndarray]:
         words, memo, k = [blank_words(x) for x in texts], self.memo, self.size
         memo.age()
-        memo.update((w, xxhash.xxh64_intdigest(w)) for w in memo.unknown(set(chain.from_iterable(words))))
+        memo.now.update((w, xxhash.xxh64_intdigest(w)) for w in memo.unknown(set(chain.from_iterable(words))))
         lengths = np.array([len(w) for w in words])
         total = int(lengths.sum())
-        flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=total)
+        flat = np.fromiter(map(memo.now.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=total)
         out = [np.zeros(0, dtype=np.uint64)] * len(texts)
         for i in np.flatnonzero((lengths > 0) & (lengths < k)):
             out[i] = np.array([xxhash.xxh64_intdigest(b" ".join(words[i]), seed=1)], dtype=np.uint64)
@@ -76,6 +76,15 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """For each remainder of hashes modulo m, whether an odd number of the set has it; m is a power of two, at least
+    the set's size. Two sketches differ in at most as many bits as their sets in elements, also after the longer one is
+    folded to half."""
+    m = max(64 * LEAST_SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    parity = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def frequent_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, how many documents hold each, as far as tasks saw): at most MOST_FREQUENT. They only set the order
     of shingles, rare ones first; any order gives the same pairs."""
@@ -136,8 +145,7 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     rank = np.where(frequent[at] == s, times[at], 0)
                 prefixes.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
-                parity = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                sketches.append(parity_sketch(s))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": digests, "prefix": prefixes, "sketch": sketches})
 
     described = materialize(rows.mapInPandas(describe, "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>"), "described")
@@ -184,7 +192,15 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num
     light = sets.select("rep", "n", "sketch")
     both = pairs.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     both = both.join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    size_a, size_b = F.size("sa"), F.size("sb")  # sets that can pass differ too little for more than one fold
+
+    def folded(x: str, own: Column, other: Column) -> Column:
+        half = (own / 2).cast("int")
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(own > other, halves).otherwise(F.col(x))
+
+    both = both.withColumns({"ta": folded("sa", size_a, size_b), "tb": folded("sb", size_b, size_a)})
+    apart = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     need = _required(F.col("na"), F.col("nb"), num, den)
     left = materialize(both.filter(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb"), "left-pairs")
     ids = materialize(left.select(F.col("a").alias("rep")).unionByName(left.select(F.col("b").alias("rep"))).distinct(), "ids")
