@@ -84,8 +84,8 @@ def grow(embeddings: DataFrame, directed: DataFrame) -> DataFrame:
 def mine(history: History, min_sup: float, max_edges: int, least: int | None = None) -> Mined:
     """All connected patterns of at most max_edges edges that at least ceil(N * min_sup) snapshots hold (or `least`).
 
-    One level is grown, cut to least codes, counted, cut to frequent ones and written before the next; the
-    driver sees N and whether a level is empty. Runs of infrequent label triples go before any join.
+    One level is grown, cut to least codes, counted, cut to frequent ones and written before the next (the last one
+    isn't written); the driver sees N and whether a level is empty. Runs of infrequent label triples go before any join.
     """
     n = history.count()
     least = threshold(n, min_sup) if least is None else least
@@ -97,17 +97,16 @@ def mine(history: History, min_sup: float, max_edges: int, least: int | None = N
     directed = both_ways(presence)
     found, levels = points, {}
     for k in range(1, max_edges + 1):
-        if k == 1:
-            candidates = first_level(presence)
-        else:  # codes are few next to embeddings: those that aren't least go before any embedding is written
-            grown = grow(levels[k - 1], directed).drop("parent")
-            minimal = materialize(grown.select("code").distinct().repartition("code").filter(is_min_code("code")), f"codes{k}")
-            candidates = grown.join(minimal, "code", "left_semi")
-        candidates = materialize(candidates, f"level{k}")
-        kept = materialize(support_by_intervals(candidates).filter(F.col("support") >= least), f"patterns{k}")
+        candidates = first_level(presence) if k == 1 else grow(levels[k - 1], directed).drop("parent")
+        if 1 < k < max_edges:  # codes are few next to embeddings: those that aren't least go before any embedding is written
+            minimal = materialize(candidates.select("code").distinct().repartition("code").filter(is_min_code("code")), f"codes{k}")
+            candidates = materialize(candidates.join(minimal, "code", "left_semi"), f"level{k}")
+        kept = support_by_intervals(candidates).filter(F.col("support") >= least)
+        kept = materialize(kept.filter(is_min_code("code")) if k == max_edges > 1 else kept, f"patterns{k}")
         if kept.isEmpty():
             break
-        levels[k] = materialize(candidates.join(kept.select("code"), "code", "left_semi").distinct(), f"embeddings{k}")
+        own = candidates.join(kept.select("code"), "code", "left_semi").distinct()
+        levels[k] = materialize(own, f"embeddings{k}") if k < max_edges else own  # the last level is grown again on request
         found = found.unionByName(kept.select(F.lit(k).alias("n_edges"), "code", F.lit(None).cast("int").alias("vlabel"), "support"))
     return Mined(found, levels, n, least)
 
