@@ -2,7 +2,7 @@
 
 A prefix filter finds pairs. Two relations between sets spare work: inside the index, lists are cut into blocks by set
 size, and entries whose positions leave too little room are skipped; between sets, a set is first compared with the
-leader of each list it is in, and what is known to be linked through leaders isn't compared again.
+leaders of each list it is in, and what is known to be linked through leaders isn't compared again.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Memo, blank_words, materialize, utf8
 from .components import connected_components
 
-#: Frequent shingles that are known to all tasks, at most; those a task passes on for a batch.
-MOST_FREQUENT, A_BATCH = 100_000, 8192
+#: Buckets of hashes whose loads order the shingles; leaders of a list, each the least id of its share of the ids.
+LOADS, LEADERS = 1 << 18, 8
 #: Most ids of documents to be verified that are broadcast; beyond it they are joined by shuffle.
 MOST_BROADCAST = 200_000
 AT_ONCE, MOST_WORDS = 250, 500_000
@@ -85,32 +85,27 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def frequent_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, how many documents hold each, as far as tasks saw): at most MOST_FREQUENT. They only set the order
-    of shingles, rare ones first; any order gives the same pairs."""
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(40)).astype(np.int64) & (LOADS - 1)
+
+
+def shingle_loads(rows: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all documents fall into each of LOADS buckets of hashes. A frequent shingle makes its bucket
+    heavy, and a set's prefix takes the shingles of light buckets, so few lists of the index are long. Any order gives
+    the same pairs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(size)
+        shingler, total = Shingler(size), np.zeros(LOADS, dtype=np.int64)
         for b in batches:
-            found = list(shingler.sets(b["data"].tolist()))
-            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            top = np.flatnonzero(n >= 4)
-            top = top[np.argsort(-n[top], kind="stable")[:A_BATCH]]
-            yield pd.DataFrame({"h": h[top].view(np.int64), "n": n[top].astype(np.int64)})
-
-    counts = materialize(rows.select("data").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    level = F.floor(F.log2("n") * 8)
-    kept, border = 0, None
-    for at, n in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
-        if kept + n > MOST_FREQUENT:
-            break
-        kept, border = kept + n, at
-    if border is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    pairs = counts.filter(level >= border).toPandas()
-    h, n = pairs["h"].to_numpy(np.int64).view(np.uint64), pairs["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+            for s in shingler.sets(b["data"].tolist()):
+                np.add.at(total, _bucket(s), 1)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": held, "n": total[held]})
+
+    loads = rows.select("data").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # LOADS rows at most
+    out = np.zeros(LOADS, dtype=np.int64)
+    out[loads["bucket"].to_numpy(np.int64)] = loads["n"].to_numpy(np.int64)
+    return out
 
 
 def _required(a: Column, b: Column, num: int, den: int) -> Column:
@@ -130,21 +125,17 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
-    order = spark.sparkContext.broadcast(frequent_shingles(rows, size))
+    order = spark.sparkContext.broadcast(shingle_loads(rows, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, (frequent, times) = Shingler(size), order.value
+        shingler, loads = Shingler(size), order.value
         for b in batches:
             n, digests, prefixes, sketches = [], [], [], []
             for s in shingler.sets(b["data"].tolist()):
                 n.append(len(s))
                 digests.append(_digest(s))
                 keep = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
-                rank = np.zeros(len(s), dtype=np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rank = np.where(frequent[at] == s, times[at], 0)
-                prefixes.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
+                prefixes.append(s[np.lexsort((s, loads[_bucket(s)]))[:keep]].view(np.int64))
                 sketches.append(parity_sketch(s))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": digests, "prefix": prefixes, "sketch": sketches})
 
@@ -160,15 +151,17 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     bands = F.array(band, band + 1) if num < den else F.array(band)
     index = materialize(entries.join(several, "h").select("h", F.explode(bands).alias("band"), "rep", "n", "pos"), "index")
     node = F.struct("rep", "n", "pos")
-    leaders = index.groupBy("h", "band").agg(F.min(node).alias("leader"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    share = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
+    firsts = index.groupBy("h", "band").agg(*[F.min(F.when(share == k, node)).alias(f"l{k}") for k in range(LEADERS)], F.count(F.lit(1)).alias("times")).filter("times > 1")
+    leaders = firsts.select("h", "band", F.array_compact(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("leaders"))
 
     def may_pass(a: Column | str, b: Column | str) -> Column:
         (na, pa), (nb, pb) = ((F.col(f"{x}n"), F.col(f"{x}pos")) for x in (a, b))
         room = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
         return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (room >= _required(na, nb, num, den))
 
-    near = index.join(leaders, ["h", "band"]).filter((F.col("rep") != F.col("leader.rep")) & may_pass("", "leader."))
-    by_leader = materialize(near.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), "leader-pairs")
+    near = index.join(leaders, ["h", "band"]).withColumn("leader", F.explode("leaders")).filter((F.col("rep") != F.col("leader.rep")) & may_pass("", "leader."))
+    by_leader = materialize(near.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b")).distinct(), "leader-pairs")
     first = materialize(_verified(rows, sets, by_leader, size, num, den), "leader-links")
     components = connected_components(first)
     known = index.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
