@@ -237,8 +237,9 @@ def _encoder(path: str, most: int = 600_000):
         first = steps[0]
         by_word = marker and steps[1:] == [_BYTE_LEVEL] and first.get("pattern") == _NO_BLANKS and first.get("behavior") == "Removed" and first.get("invert")
         lowered = {"type": "Lowercase"} in (made["normalizer"] or {}).get("normalizers", [])
-        _TOKENS[path] = (model, marker, lowered, Memo(most) if by_word else None)
-    model, marker, lowered, memo = _TOKENS[path]
+        coded = [i.to_bytes(4, "little") for i in range(model.get_vocab_size())]
+        _TOKENS[path] = (model, marker, lowered, coded, Memo(most) if by_word else None)
+    model, marker, lowered, coded, memo = _TOKENS[path]
     if memo is None:
         return lambda texts: [np.array(model.encode(x.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
@@ -254,7 +255,7 @@ def _encoder(path: str, most: int = 600_000):
         merges, table = model.model, _byte_letters()
         rest = iter(encode_apart(model, [x for x, p in zip(texts, plain, strict=True) if not p], marker["content"], marker["id"]))
         spelled = (x if x.isascii() else w.decode("latin-1").translate(table) for x, w in zip(texts, words, strict=True))
-        return [b"".join(t.id.to_bytes(4, "little") for t in merges.tokenize(x)) if p else next(rest).tobytes() for x, p in zip(spelled, plain, strict=True)]
+        return [b"".join([coded[t.id] for t in merges.tokenize(x)]) if p else next(rest).tobytes() for x, p in zip(spelled, plain, strict=True)]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         memo.age()
