@@ -25,7 +25,7 @@ from .components import connected_components
 LOADS, LEADERS = 1 << 18, 8
 #: Most ids of documents to be verified that are broadcast; beyond it they are joined by shuffle.
 MOST_BROADCAST = 200_000
-AT_ONCE, MOST_WORDS = 250, 500_000
+AT_ONCE, MOST_WORDS = 250, 250_000
 LEAST_SKETCH = 8  # longs
 _K = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F))
 
