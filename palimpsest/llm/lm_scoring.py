@@ -1,12 +1,14 @@
 """Log-likelihood of whole documents under a gated recurrent language model with a class-factored output.
 
 Counts of all training tokens give the vocabulary, its classes and the distribution of rare words; they are shuffled as
-partial counts and joined back to the words of each document, so they grow with the corpus. The recurrent weights are
-fitted by truncated backpropagation on a bounded sample of training documents.
+partial counts and joined back to the words of each document, so they grow with the corpus, and the network's own
+vocabulary grows with them. The recurrent weights begin with a bounded sample of training documents and then learn from
+every training document once: trainers over the partitions, whose weights are averaged after each round.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 import zlib
@@ -24,7 +26,7 @@ from .common import blank_words, fold_of, materialize, utf8
 from .nn import Adam, gru_step, gru_step_back
 
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
-#: Frequent words of the network's own output; the end of a document is the first of them.
+#: The least number of frequent words of the network's own output; the end of a document is the first of them.
 FREQUENT = CLASSES * PER_CLASS
 #: Most counted words that each worker holds; the words of a document outside them are joined by shuffle.
 MOST_HELD = 1 << 17
@@ -32,62 +34,77 @@ MOST_HELD = 1 << 17
 UNKNOWN = 1 << 30
 #: Words that a task counts before it passes partial counts on; documents side by side in the network; words a window.
 FLUSH, LANES, WINDOW = 300_000, 512, 64
+#: Tokens that a trainer has at least, where there are more partitions than twice the cores; weights a row when they are averaged.
+TRAINER, BLOCK = 8_000_000, 1 << 14
+
+
+def side_of(total: int) -> int:
+    """Classes, and words in each, of a network for so many training tokens: about the square root of the tokens are
+    frequent words, from FREQUENT up to what workers hold."""
+    return min(math.isqrt(MOST_HELD), max(CLASSES, 8 * math.ceil(math.sqrt(math.sqrt(total)) / 8)))
 
 
 class LanguageModel:
-    """Weights. A token is a number: 0 the end, then frequent words, FREQUENT any other word (the rare class)."""
+    """Weights. A token is a number: 0 the end, then frequent words, side * side any other word (the rare class)."""
 
-    def __init__(self, counts: np.ndarray, rare: int, seed: int = 2):
+    def __init__(self, counts: np.ndarray, rare: int, seed: int = 2, side: int = CLASSES):
+        self.side = side
         r = np.random.default_rng(seed)
         n = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        c = np.zeros(FREQUENT)
+        c = np.zeros(side * side)
         c[: len(counts)] = counts
-        grid = np.log(c.reshape(CLASSES, PER_CLASS) + 0.1)
-        mass = np.append(c.reshape(CLASSES, PER_CLASS).sum(axis=1), rare) + 0.1
+        grid = np.log(c.reshape(side, side) + 0.1)
+        mass = np.append(c.reshape(side, side).sum(axis=1), rare) + 0.1
         self.p = {
-            "x": n(FREQUENT + 1, 3 * HIDDEN, scale=0.3),
+            "x": n(side * side + 1, 3 * HIDDEN, scale=0.3),
             "u": n(HIDDEN, 3 * HIDDEN, scale=0.25),
-            "wc": n(HIDDEN, CLASSES + 1, scale=0.05),
+            "wc": n(HIDDEN, side + 1, scale=0.05),
             "bc": np.log(mass / mass.sum()).astype(np.float32),
-            "wi": n(CLASSES, HIDDEN, PER_CLASS, scale=0.05),
+            "wi": n(side, HIDDEN, side, scale=0.05),
             "bi": (grid - grid.mean(axis=1, keepdims=True)).astype(np.float32),
         }
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log P(token | state); of a rare word only its class."""
-        p, of = self.p, token // PER_CLASS
+        p, of = self.p, token // self.side
         logits = h @ p["wc"] + p["bc"]
         out = logits[np.arange(len(h)), of] - _log_sum(logits)
         order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(of[order], np.arange(self.side + 1))
+        for c in range(self.side):
             at = order[cuts[c] : cuts[c + 1]]
             if len(at):
                 inner = h[at] @ p["wi"][c] + p["bi"][c]
-                out[at] += inner[np.arange(len(at)), token[at] % PER_CLASS] - _log_sum(inner)
+                out[at] += inner[np.arange(len(at)), token[at] % self.side] - _log_sum(inner)
         return out
 
-    def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 32, span: int = 32, rate: float = 0.01, seed: int = 2) -> None:
+    def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 32, span: int = 32, rate: float = 0.01, seed: int = 2, adam: Adam | None = None) -> None:
         """Truncated backpropagation: documents one after the other in lanes, spans of `span` tokens, with the state
-        carried from span to span and cleared where a document begins."""
+        carried from span to span and cleared where a document begins. The last lane is filled up from the beginning, so
+        no token is left out. adam: goes on with its moments and its rate."""
         docs = [d for d in docs if len(d)]
         if not docs:
             return
-        r, adam = np.random.default_rng(seed), Adam(self.p, rate)
+        r, fixed = np.random.default_rng(seed), adam is not None
+        adam = adam or Adam(self.p, rate)
         for epoch in range(epochs):
-            adam.rate = rate * (1, 0.5, 0.25)[min(epoch, 2)]
+            if not fixed:
+                adam.rate = rate * (1, 0.5, 0.25)[min(epoch, 2)]
             order = r.permutation(len(docs))
             stream = np.concatenate([docs[i] for i in order])
             begin = np.zeros(len(stream), dtype=bool)
             begin[np.cumsum([0, *(len(docs[i]) for i in order)])[:-1]] = True
-            n = max(1, len(stream) // lanes)
+            n = -(-len(stream) // lanes)
             size = n * min(lanes, len(stream))
-            grid, first = stream[:size].reshape(-1, n).T, begin[:size].reshape(-1, n).T.copy()
+            grid, first = np.resize(stream, size).reshape(-1, n).T, np.resize(begin, size).reshape(-1, n).T.copy()
             first[0] = True
             h = np.zeros((grid.shape[1], HIDDEN), dtype=np.float32)
             for a in range(0, n, span):
-                h, grads = self._span(grid[a : a + span], first[a : a + span], h)
-                adam.step(grads)
+                tokens = grid[a : a + span]
+                h, grads = self._span(tokens, first[a : a + span], h)
+                of = np.unique(tokens // self.side)
+                of = of[of < self.side]
+                adam.step(grads, rows={"x": np.unique(tokens), "wi": of, "bi": of})
 
     def _span(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         p, (t, n) = self.p, tokens.shape
@@ -98,26 +115,40 @@ class LanguageModel:
             h, kept = gru_step(p["x"][tokens[i]], p["u"], h)
             saved.append(kept)
         flat, target = before.reshape(-1, HIDDEN), tokens.ravel()
-        of, g, scale = target // PER_CLASS, {k: np.zeros_like(v) for k, v in p.items()}, np.float32(1 / target.size)
+        of, g, scale = target // self.side, {k: np.zeros_like(v) for k, v in p.items()}, np.float32(1 / target.size)
         d = _softmax(flat @ p["wc"] + p["bc"])
         d[np.arange(len(d)), of] -= 1
         d *= scale
         g["wc"], g["bc"], dflat = flat.T @ d, d.sum(axis=0), d @ p["wc"].T
-        for c in np.unique(of[of < CLASSES]):
-            at = np.flatnonzero(of == c)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(self.side + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[c] : cuts[c + 1]]
             d = _softmax(flat[at] @ p["wi"][c] + p["bi"][c])
-            d[np.arange(len(at)), target[at] % PER_CLASS] -= 1
+            d[np.arange(len(at)), target[at] % self.side] -= 1
             d *= scale
             g["wi"][c], g["bi"][c] = flat[at].T @ d, d.sum(axis=0)
             dflat[at] += d @ p["wi"][c].T
-        dbefore, dh = dflat.reshape(t, n, HIDDEN), np.zeros_like(h)
+        dbefore, dh, dxs = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), [None] * t
         for i in range(t - 1, -1, -1):
-            dx, du, back = gru_step_back(dh, p["u"], saved[i])
-            np.add.at(g["x"], tokens[i], dx)
+            dxs[i], du, back = gru_step_back(dh, p["u"], saved[i])
             g["u"] += du
             dh = (back + dbefore[i]) * ~first[i][:, None]
+        order = np.argsort(target, kind="stable")
+        at = np.flatnonzero(np.diff(target[order], prepend=-1))
+        g["x"][target[order[at]]] = np.add.reduceat(np.concatenate(dxs)[order], at, axis=0)
         return h, g
 
+    def flat(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = flat[at : at + self.p[k].size].reshape(self.p[k].shape).copy()
+            at += self.p[k].size
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each token sequence (a rare word counts as its class). The state of a document is
         carried through all its windows; documents run side by side, long ones first."""
@@ -134,7 +165,7 @@ class LanguageModel:
         lanes.sort(key=lambda x: -x[0])
         loads = np.array([x[0] for x in lanes])
         t, n = int(loads[0]), len(lanes)
-        tokens, owner = np.zeros((t, n), dtype=np.int16), np.zeros((t, n), dtype=np.int32)
+        tokens, owner = np.zeros((t, n), dtype=np.int32), np.zeros((t, n), dtype=np.int32)
         first = np.zeros((t, n), dtype=bool)
         for k, (_, _, own) in enumerate(lanes):
             tokens[: loads[k], k] = np.concatenate([docs[i] for i in own])
@@ -198,19 +229,68 @@ def held_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(w), n) for w, n in counts.filter(step >= border).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
+def _average(part: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a block of weights over all trainers, each counted by its tokens."""
+    total, n = 0.0, part["n"].sum()
+    for data, k in zip(part["data"], part["n"], strict=True):
+        total = total + np.frombuffer(data, dtype="<f4").astype(np.float64) * (k / n)
+    return pd.DataFrame({"block": [part["block"].iloc[0]], "n": [n], "data": [total.astype("<f4").tobytes()]})
+
+
+def train_on_all(model: LanguageModel, training: DataFrame, numbers, total: int, rounds: int, rate: float = 0.01) -> int:
+    """One pass of every row of training (doc_id, data), in rounds over shares of the ids; returns the tokens learnt.
+
+    In a round each trainer starts from the same weights and goes through its partitions' documents; the mean of their
+    weights, made block by block and written, is the start of the next round. The driver receives one set of weights a
+    round. numbers: broadcast of the words' numbers. The weights depend on how rows lie in partitions."""
+    spark, learnt = training.sparkSession, 0
+    trainers = max(2 * spark.sparkContext.defaultParallelism, total // TRAINER)
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast(model)
+        now = rate * (1, 0.5, 0.25)[min(k, 2)]
+
+        def learn(batches: Iterator[pd.DataFrame], start=start, now=now) -> Iterator[pd.DataFrame]:
+            own, number, n = copy.deepcopy(start.value), numbers.value, 0
+            adam, most = Adam(own.p, now), own.side**2
+            for b in batches:
+                docs = []
+                for data in b["data"]:
+                    found = blank_words(data)
+                    ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
+                    docs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
+                size = sum(map(len, docs))
+                own.train(docs, epochs=1, lanes=min(256, max(8, size // 512)), adam=adam)
+                n += size
+            if n:
+                flat = own.flat().astype("<f4")
+                cuts = range(0, len(flat), BLOCK)
+                yield pd.DataFrame({"block": range(len(cuts)), "n": n, "data": [flat[a : a + BLOCK].tobytes() for a in cuts]})
+
+        share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == k).select("data")
+        sets = share.coalesce(trainers).mapInPandas(learn, _WEIGHTS)
+        means = materialize(sets.groupBy("block").applyInPandas(_average, _WEIGHTS), "weights").orderBy("block").collect()  # one set of weights
+        if means:
+            learnt += means[0]["n"]
+            model.load(np.concatenate([np.frombuffer(x["data"], dtype="<f4") for x in means]))
+        start.unpersist()
+    return learnt
+
+
 def score_documents(
     docs: DataFrame,
     folds: int = 7,
     held: int = 2,
     sample_docs: int = 600,
+    rounds: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Tokens are the words between ASCII blanks after lower-casing A-Z, and one end. Counts, vocabulary and classes come
-    from all rows whose crc32(id as text) mod folds isn't held (null ids never train and aren't held out), the
-    recurrent weights from about sample_docs of them, chosen by a hash of the id. base_score is the smoothed unigram
+    from all rows whose crc32(id as text) mod folds isn't held (null ids never train and aren't held out). The recurrent
+    weights begin with about sample_docs of them, chosen by a hash of the id, and then learn from all of them in `rounds`
+    rounds. base_score is the smoothed unigram
     log10 probability; score is the network's: P(class | state) P(word | class, state) for frequent words, and
     P(rare | state) (count + 1) / (rare tokens + rare words + 1) for the others, where one share stands for all unseen
     words. A null or empty text is one end token. Repeated rows are scored alike; an empty table gives an empty
@@ -225,23 +305,27 @@ def score_documents(
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, size = words + n_docs, distinct + (n_docs > 0)
     top = held_words(counts, MOST_HELD)
-    frequent = top[: FREQUENT - 1]
+    side = side_of(total)
+    most = side * side
+    frequent = top[: most - 1]
     rare_tokens = words - sum(n for _, n in frequent)
-    model = LanguageModel(np.array([n_docs] + [n for _, n in frequent]), rare_tokens)
+    model = LanguageModel(np.array([n_docs] + [n for _, n in frequent]), rare_tokens, side=side)
     number = {w: i + 1 for i, (w, _) in enumerate(top)}
 
-    def tokens_of(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    def tokens_of(data: bytes) -> np.ndarray:
         found = blank_words(data)
-        return found, np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
+        return np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
 
-    share = min(1.0, sample_docs / max(1, n_docs))
-    chosen = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_docs)
+    border = max(1, math.ceil(min(1.0, sample_docs / max(1, n_docs)) * _HASHES))
+    chosen = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_HASHES)) < border).limit(2 * sample_docs)
     sample = sorted(chosen.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), bytes(r[1])))
-    model.train([np.append(np.minimum(tokens_of(bytes(r[1]))[1], FREQUENT), 0) for r in sample])
-    shared = spark.sparkContext.broadcast((model, number, np.log10(np.array([n_docs, *(n for _, n in top)]) + 1.0)))
+    model.train([np.append(np.minimum(tokens_of(bytes(r[1])), most), 0) for r in sample])
+    numbers = spark.sparkContext.broadcast(number)
+    train_on_all(model, training, numbers, total, rounds)
+    shared = spark.sparkContext.broadcast((model, np.log10(np.array([n_docs, *(n for _, n in top)]) + 1.0)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, number, logs = shared.value
+        (model, logs), number = shared.value, numbers.value
         known = len(logs)
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
@@ -250,11 +334,11 @@ def score_documents(
                 found = blank_words(data)
                 ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
                 inside = ids < known
-                outer = ids >= FREQUENT
+                outer = ids >= most
                 logged = logs[ids[inside]].sum()
                 stats.append((len(ids) + 1, int(inside.sum()), logged + logs[0], logs[ids[inside & outer]].sum(), int(outer.sum())))
                 tail.append(Counter([w for w, i in zip(found, inside, strict=True) if not i]) if not inside.all() else {})
-                seqs.append(np.append(np.minimum(ids, FREQUENT), 0).astype(np.int16))
+                seqs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
             net = model.score(seqs) / math.log(10)
             out = pd.DataFrame(stats, columns=["n_tokens", "n_held", "sum_held", "sum_rare", "n_rare"])
             out["key"], out["doc_id"], out["network"], out["word"] = key + np.arange(len(b)), b["doc_id"].astype("Int64").to_numpy(), net, None
@@ -285,4 +369,7 @@ def score_documents(
 
 
 _ORDER = ["key", "doc_id", "word", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network"]
+_WEIGHTS = "block int, n long, data binary"
+#: Values of the hash by which the first sample is chosen: as many as a double counts, so no share rounds to 0.
+_HASHES = 1 << 53
 _SCHEMA = "key long, doc_id long, word binary, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double"

@@ -37,13 +37,16 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
-    def step(self, grads: dict[str, np.ndarray], clip: float = 5.0, slow: dict[str, float] | None = None) -> None:
+    def step(self, grads: dict[str, np.ndarray], clip: float = 5.0, slow: dict[str, float] | None = None, rows: dict[str, np.ndarray] | None = None) -> None:
+        """rows: of these weights only the given rows have gradients; the others and their moments stay as they are."""
         self.t += 1
+        at = {k: (rows or {}).get(k, slice(None)) for k in grads}
+        grads = {k: g[at[k]] for k, g in grads.items()}
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, clip / (norm + 1e-12))
         c1, c2 = 1 - 0.9**self.t, 1 - 0.999**self.t
         for k, g in grads.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.params[k] -= ((slow or {}).get(k, 1.0) * self.rate / c1) * self.m[k] / (np.sqrt(self.v[k] / c2) + 1e-8)
+            g, i = g * scale, at[k]
+            self.m[k][i] += 0.1 * (g - self.m[k][i])
+            self.v[k][i] += 0.001 * (g * g - self.v[k][i])
+            self.params[k][i] -= ((slow or {}).get(k, 1.0) * self.rate / c1) * self.m[k][i] / (np.sqrt(self.v[k][i] / c2) + 1e-8)

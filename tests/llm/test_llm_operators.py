@@ -226,6 +226,28 @@ def test_gradients_of_the_language_model():
         assert grads[name][at] == pytest.approx((up - down) / 2 / e, abs=2e-4), name
 
 
+def test_network_learns_from_all_documents(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(30)], k=20)) for _ in range(200)] + [None]
+    seen = []
+    plain = lm_scoring.train_on_all
+    monkeypatch.setattr(lm_scoring, "train_on_all", lambda model, *a: seen.append((model.flat(), plain(model, *a), model.flat())))
+    got = lm_scoring.score_documents(docs(spark, texts), sample_docs=5).collect()
+    before, learnt, after = seen[0]
+    assert learnt == got[0].train_tokens and not np.array_equal(before, after) and np.isfinite(after).all()
+    assert lm_scoring._HASHES * (600 / 10**12) > 1
+    sides = [lm_scoring.side_of(10**n) for n in range(4, 13)]
+    assert sides == sorted(sides) and sides[0] == lm_scoring.CLASSES and sides[4] > 2 * sides[0] and sides[-1] ** 2 <= lm_scoring.MOST_HELD
+
+
+def test_training_leaves_no_token_out(monkeypatch):
+    model, seen = lm_scoring.LanguageModel(np.array([9, 5, 4, 2, 1]), 7), Counter()
+    plain = model._span
+    monkeypatch.setattr(model, "_span", lambda tokens, *a: (seen.update(tokens.ravel().tolist()), plain(tokens, *a))[1])
+    model.train([np.array([i, 0]) for i in range(1, 38)], epochs=1)
+    assert set(seen) == set(range(38))
+
+
 # ---- 5 ----
 
 
