@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,6 +50,24 @@ def _seeds(notice: str, edits: int) -> list[tuple[bytes, int]]:
     return [(data[a:b], a) for a, b in zip(at, at[1:])]
 
 
+def _ends(text: bytes, line: bytes, x: int, most: int) -> list[tuple[int, int]]:
+    """(end, edits) of all pieces of line from x to the end of a word that are at most so many edits from text."""
+    m, far, found = len(text), most + 1, []
+    row = [min(j, far) for j in range(m + 1)]
+    for i, c in enumerate(line[x : x + m + most], 1):
+        lo, hi = max(1, i - most), min(m, i + most)
+        new = [far] * (m + 1)
+        new[0] = min(i, far)
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j - 1] + (text[j - 1] != c), row[j] + 1, new[j - 1] + 1)
+        row = new
+        if row[m] <= most and line[x + i : x + i + 1] == b" " and c != 32:
+            found.append((x + i, row[m]))
+        if min(row[lo - 1 : hi + 1]) > most:
+            break
+    return found
+
+
 class NoticeScanner:
     """Compiled notices. edit_share: edits allowed for a character of a notice, at least 1."""
 
@@ -57,8 +76,7 @@ class NoticeScanner:
         self.notices = []
         for text, label in notices.items():
             k = max(1, int(len(text) * edit_share))
-            fuzzy = regex.compile(rb"(?be)(?:" + regex.escape(text.encode(), special_only=True) + b"){e<=%d}" % k)
-            self.notices.append((text.encode(), label, k, _seeds(text, k), fuzzy))
+            self.notices.append((text.encode(), label, k, _seeds(text, k)))
         # a text without any seed has no notice; one scan for all of them is cheaper than one for each
         self.any_seed = regex.compile(b"|".join(sorted({regex.escape(s, special_only=True) for n in self.notices for s, _ in n[3]} | {p for p, _ in self.base})))
 
@@ -73,37 +91,25 @@ class NoticeScanner:
         return found
 
     def fuzzy_places(self, line: bytes) -> list[tuple[str, int, int, int, int]]:
-        """(label, first word, last word, edits, length of the notice), the best match around each seed."""
-        found = {}
-        for text, label, k, seeds, fuzzy in self.notices:
-            done = -1
-            windows = []
+        """(label, first word, last word, edits, length of the notice) of the matches that begin and end at word
+        borders; where some overlap, the one with the fewest edits, then of the longest notice, then the first."""
+        found = []
+        for text, label, k, seeds in self.notices:
+            starts = set()
             for seed, offset in seeds:
                 at = line.find(seed)
                 while at >= 0:
-                    windows.append((max(0, at - offset - k), min(len(line), at - offset + len(text) + k)))
+                    starts.update(x for x in range(max(1, at - offset - k), at - offset + k + 1) if line[x - 1 : x] == b" ")
                     at = line.find(seed, at + 1)
-            for a, b in sorted(windows):
-                if a < done:  # inside a match already reported
-                    continue
-                m = fuzzy.search(line, a, b)
-                # whole words only: the match's first and last characters lie at word borders
-                if not m or m.end() <= m.start():
-                    continue
-                x, y = m.start(), m.end()
-                while x < y and line[x : x + 1] == b" ":
-                    x += 1
-                while y > x and line[y - 1 : y] == b" ":
-                    y -= 1
-                if line[x - 1 : x] != b" " or line[y : y + 1] != b" ":
-                    continue
-                first = line.count(b" ", 0, x) - 1
-                key = (label, first, first + line.count(b" ", x, y))
-                edits = sum(m.fuzzy_counts)
-                if key not in found or edits < found[key][0]:
-                    found[key] = (edits, len(text))
-                done = y
-        return [(*key, *v) for key, v in sorted(found.items())]
+            for x in starts:
+                found += [(edits, -len(text), x, abs(y - x - len(text)), y, label) for y, edits in _ends(text, line, x, k)]
+        kept = []
+        for edits, length, x, _, y, label in sorted(found):
+            at = bisect(kept, (x,))
+            if (at == len(kept) or kept[at][0] >= y) and (at == 0 or kept[at - 1][1] <= x):
+                kept.insert(at, (x, y, label, edits, -length))
+        firsts = [line.count(b" ", 0, x) - 1 for x, *_ in kept]
+        return sorted((label, a, a + line.count(b" ", x, y), edits, n) for a, (x, y, label, edits, n) in zip(firsts, kept, strict=True))
 
     def scan(self, data: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of one text."""
@@ -140,8 +146,9 @@ def scan_licenses(
 
     base: phrases whose words must stand consecutively (all places count, also overlapping ones). notices: each is
     searched with up to edit_share edits for a character (insertions, deletions, replacements); its pieces are exact
-    seeds, one of which any such match holds, and the bounded-error match around a seed must begin and end at word
-    borders. score: 1 with a base phrase, else the best notice's share of unedited characters, else 0. A null text is
+    seeds, one of which any such match holds, and all matches around a seed that begin and end at word borders are
+    looked at. Where matches overlap, the one with the fewest edits counts, then that of the longest notice, then the
+    first. score: 1 with a base phrase, else the best notice's share of unedited characters, else 0. A null text is
     empty: no words, no labels, score 0. Rows with equal or null ids are scanned alone, an empty table gives an empty
     result, and other columns of docs are not read.
     """

@@ -398,6 +398,44 @@ def test_seeds_lose_no_match():
         assert len(spans) == 1 and spans[0]["edits"] <= edits and spans[0]["first_word"] == 1
 
 
+def test_notices_with_edits_at_their_ends_and_adjacent_copies():
+    scan = lambda text: [(x["label"], x["first_word"], x["last_word"], x["edits"]) for x in license_scan.NoticeScanner(license_scan.NOTICES, {}).scan(text.encode())[-1]]
+    assert scan("an eclipse public licenses b") == [("epl", 1, 3, 1)] and scan("xboost software license") == [("bsl", 0, 2, 1)]
+    assert scan("released under the mit licensed") == [("mit", 0, 4, 1)]
+    assert scan("eclipse public license eclipse public license x") == [("epl", 0, 2, 0), ("epl", 3, 5, 0)]
+    assert scan("released under the mit license released under the mit license") == [("mit", 0, 4, 0), ("mit", 5, 9, 0)]
+    assert scan("licensed under the gnu general public license version 3") == [("gpl-3.0", 0, 8, 0)]
+
+
+def test_notices_against_brute_force():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return row[-1]
+
+    r, notice = random.Random(19), "ab cd efg hi"
+    scanner = license_scan.NoticeScanner({notice: "x"}, {}, 0.17)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            s = list(notice)
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(s) + 1)
+                s[at : at + r.randint(0, 1)] = r.choice(["", "q", "a", " "])
+            parts += ["".join(s), *r.choices(["zz", "ab", "hi"], k=r.randint(0, 2))]
+        words = " ".join(parts).split()
+        pairs = [(distance(notice, " ".join(words[a : b + 1])), a, b) for a in range(len(words)) for b in range(a, min(len(words), a + 8))]
+        good = {(a, b): e for e, a, b in pairs if e <= 2}
+        spans = [(x["first_word"], x["last_word"], x["edits"]) for x in scanner.scan(" ".join(words).encode())[-1]]
+        assert all(good[a, b] == e for a, b, e in spans) and all(p[1] < q[0] for p, q in zip(spans, spans[1:]))
+        for (a, b), e in good.items():  # each match is reported or overlaps a reported one with no more edits
+            assert any(p <= b and a <= q and n <= e for p, q, n in spans), (words, a, b)
+
+
 # ---- 10 ----
 
 
