@@ -163,6 +163,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM two g JOIN druns r ON r.src = g.c AND r."start" <= g."end" AND g."start" <= r."end" AND r.dst = CASE WHEN g.code LIKE '%)(1,2,%' THEN g.a ELSE NULL END
         WHERE least([r.sl, r.el, r.dl], [r.dl, r.el, r.sl]) >= [0, 0, CAST(split_part(split_part(g.code, ')', 1), ',', 5) AS INTEGER)]
         GROUP BY ALL""",
+    "grow_all_triangles": f"""{_GROWN}
+        SELECT g.code || format('(2,0,{{}},{{}},{{}})', r.sl, r.el, r.dl) AS code, CAST(sum(least(g."end", r."end") - greatest(g."start", r."start") + 1) AS BIGINT) AS expanded
+        FROM grown g JOIN druns r ON r.src = g.c AND r.dst = g.a AND r."start" <= g."end" AND g."start" <= r."end"
+        WHERE g.code LIKE '%)(1,2,%' AND least([r.sl, r.el, r.dl], [r.dl, r.el, r.sl]) >= list_transform(regexp_extract_all(g.code, '[0-9]+'), lambda x: CAST(x AS INTEGER))[3:5]
+        GROUP BY ALL""",
     "support_by_intervals": f"WITH {SUPPLY} SELECT format('(0,1,{{}},{{}},{{}})', least(sl, dl), el, greatest(sl, dl)) AS code, count(DISTINCT seq) AS support FROM supply GROUP BY ALL",
     "min_code_check": f"""{_GROWN}, p AS (SELECT DISTINCT code, list_transform(regexp_extract_all(code, '[0-9]+'), lambda x: CAST(x AS INTEGER)) AS n FROM grown),
         q AS (SELECT code, CASE WHEN n[6] = 1 THEN [n[5], n[3], n[4], n[9], n[10]] ELSE [n[3], n[5], n[4], n[9], n[10]] END AS g FROM p)

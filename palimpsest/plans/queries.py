@@ -263,6 +263,17 @@ def grow_triangle(s: SparkSession, d: str) -> DataFrame:
     return back.groupBy("code").agg(F.sum(F.col("end") - F.col("start") + 1).alias("expanded"))
 
 
+def triangles(runs: DataFrame) -> DataFrame:
+    """(code, expanded): embeddings of all triangles in presence runs, whatever their labels."""
+    two = materialize(mine.grow(mine.first_level(runs), clean.both_ways(runs)).drop("parent"), "two")
+    back = mine.grow(two, clean.both_ways(runs)).filter(F.size("v") == 3)
+    return back.groupBy("code").agg(F.sum(F.col("end") - F.col("start") + 1).alias("expanded"))
+
+
+def grow_all_triangles(s: SparkSession, d: str) -> DataFrame:
+    return triangles(materialize(history.edge_runs(tables.trade(s, d).labelled()), "runs"))
+
+
 def support_by_intervals(s: SparkSession, d: str) -> DataFrame:
     runs = history.edge_runs(tables.supply(s, d).labelled())
     return mine.support_by_intervals(mine.first_level(runs))
@@ -376,7 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         self_loops, vertices_from_edges, dangling_edges, remove_hubs, remove_hubs_sequential, entity_ids, stable_labels, activity_label,
         interaction_count, daily_snapshots, snapshot_stats, sequence_stats, connected_snapshots, label_changes, label_as_of, history_union,
         edge_runs, vertex_runs, run_similarity, cluster_partition, cluster_intersection, cluster_delta, cluster_delta_vertices, cluster_border,
-        cluster_stats, cluster_members, cluster_retire, frequent_points, frequent_edges, grow_two_edge, grow_triangle, support_by_intervals,
+        cluster_stats, cluster_members, cluster_retire, frequent_points, frequent_edges, grow_two_edge, grow_triangle, grow_all_triangles, support_by_intervals,
         min_code_check, mine_patterns, mine_patterns_3, pattern_occurrences, embedding_counts, match_path, match_triangle, embedding_contained,
         code_parse, pattern_graph, pattern_summary, pattern_text, pattern_state, window_assign, window_delta, window_mine, window_changes,
         compare_results, stream_window_edges,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.codes import min_dfs_code
 from palimpsest.model import History, numbered, scratch, threshold
 from palimpsest.operators import clean, clusters, history, mine, stats, windows
+from palimpsest.plans import queries
 from palimpsest.sources import graph_text, mail
 from palimpsest.streaming.windows import stream_from_table
 
@@ -192,3 +193,22 @@ def test_entity_ids_follow_first_sight(spark):
 def test_numbering_skips_nulls(spark):
     got = numbered(spark.createDataFrame([(5,), (3,), (None,), (5,)], "snapshot_id int"))
     assert sorted(tuple(r) for r in got.collect()) == [(0, 3), (1, 5)]
+
+
+def test_triangles_of_all_labels(spark):
+    r, data, expected = random.Random(11), [], {}
+    for _ in range(4):
+        vs = {i: r.randint(0, 2) for i in range(6)}
+        data.append((vs, {p: r.randint(0, 1) for p in itertools.combinations(vs, 2) if r.random() < 0.8}))
+    for vs, es in data:
+        both = es | {(b, a): y for (a, b), y in es.items()}
+        for a, b, c in itertools.permutations(vs, 3):
+            if not {(a, b), (b, c), (c, a)} <= set(both):
+                continue
+            edges = [(vs[x], both[x, y], vs[y]) for x, y in ((a, b), (b, c), (c, a))]
+            if edges[0] == min(edges + [e[::-1] for e in edges]):
+                code = "".join("({},{},{},{},{})".format(*ends, *e) for ends, e in zip(((0, 1), (1, 2), (2, 0)), edges))
+                expected[code] = expected.get(code, 0) + 1
+    got = {x.code: x.expanded for x in queries.triangles(history.edge_runs(build(spark, data).labelled())).collect()}
+    assert got == expected
+    assert any(not code.startswith("(0,1,0,0,") for code in got)
