@@ -1,8 +1,11 @@
 """Exact Jaccard self-join of documents' word n-gram sets, for groups of near copies.
 
-A prefix filter finds pairs. Two relations between sets spare work: inside the index, lists are cut into blocks by set
-size, and entries whose positions leave too little room are skipped; between sets, a set is first compared with the
-leaders of each list it is in, and what is known to be linked through leaders isn't compared again.
+A prefix filter finds pairs: two sets that pass share one of their first shingles in a common order, rare ones first.
+Two relations between sets spare work. Inside the index, a list is cut into blocks by set size and by the position of
+the shingle in the set: blocks whose positions leave too little room for the overlap never meet. Between sets, each list
+is first compared with its leader, the set that meets most others, and the answers of the other sets are derived from
+the leader's: what its links connect isn't compared again, and two sets near the leader pass only if they differ from it
+in much the same elements, so they are joined by a prefix of those few differences instead of all their common lists.
 """
 
 from __future__ import annotations
@@ -10,66 +13,114 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, blank_words, materialize, utf8
+from .common import materialize, utf8
 from .components import connected_components
 
-#: Buckets of hashes whose loads order the shingles; leaders of a list, each the least id of its share of the ids.
-LOADS, LEADERS = 1 << 18, 8
+#: Buckets of hashes whose loads order the shingles: of shingles, and of words. Any order gives the same result.
+LOADS, WORD_LOADS = 1 << 18, 1 << 16
 #: Most ids of documents to be verified that are broadcast; beyond it they are joined by shuffle.
 MOST_BROADCAST = 200_000
-AT_ONCE, MOST_WORDS = 250, 250_000
+#: Sets that a list has at least outside its leader's component, if all of it is compared with the leader.
+CROWD = 8
+#: Texts, and bytes, that a worker takes at once; a longer text or word is taken alone.
+AT_ONCE, SLICE = 250, 1 << 20
 LEAST_SKETCH = 8  # longs
 _K = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F))
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x2545F4914F6CDD1D | 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
 
 
 class Shingler:
     """Sets of 64-bit shingle hashes in one worker."""
 
     def __init__(self, size: int):
-        self.size, self.memo = size, Memo(MOST_WORDS)
+        self.size = size
+        self.letters = np.random.default_rng(size).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self._grow(SLICE)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
     def sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Sorted distinct hashes of each text's shingles; a text with fewer words has one, one without words none."""
-        for i in range(0, len(texts), AT_ONCE):
-            yield from self._some(texts[i : i + AT_ONCE])
-
-    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
-        words, memo, k = [blank_words(x) for x in texts], self.memo, self.size
-        memo.age()
-        memo.now.update((w, xxhash.xxh64_intdigest(w)) for w in memo.unknown(set(chain.from_iterable(words))))
-        lengths = np.array([len(w) for w in words])
-        total = int(lengths.sum())
-        flat = np.fromiter(map(memo.now.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=total)
-        out = [np.zeros(0, dtype=np.uint64)] * len(texts)
-        for i in np.flatnonzero((lengths > 0) & (lengths < k)):
-            out[i] = np.array([xxhash.xxh64_intdigest(b" ".join(words[i]), seed=1)], dtype=np.uint64)
-        if total >= k:
-            h = np.zeros(total - k + 1, dtype=np.uint64)
-            for j in range(k):
-                h = (h ^ flat[j : total - k + 1 + j]) * _K[0]
-                h ^= h >> np.uint64(32)
-                h *= _K[1]
-                h ^= h >> np.uint64(29)
-            doc = np.repeat(np.arange(len(texts)), lengths)
-            whole = doc[: total - k + 1] == doc[k - 1 :]
-            doc, h = doc[: total - k + 1][whole], h[whole]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[new], h[new]
-            at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            for i in np.flatnonzero(lengths >= k):
-                out[i] = h[at[i] : at[i + 1]]
-        return out
+        return (s for words in self.parts(texts) for s, _ in self.of_words(*words))
+
+    def parts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes of all words, where each text's begin and end) of some texts at a time."""
+        part, held = [], 0
+        for x in texts:
+            if part and (len(part) == AT_ONCE or held + len(x) > SLICE):
+                yield self._part(part)
+                part, held = [], 0
+            part.append(x)
+            held += len(x)
+        if part:
+            yield self._part(part)
+
+    def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, starts = self._words(b" ".join(texts))
+        return _mixed(flat), np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, where it begins): the word's bytes as digits, by differences of one running sum."""
+        hashes, starts, at = [], [], 0
+        while at < len(data):
+            end = at + SLICE
+            if end < len(data):  # cut behind the last blank, or where the word that fills it all ends
+                end = next((i for i in range(end, at, -1) if _BLANK[data[i - 1]]), 0) or next((i for i in range(end, len(data)) if _BLANK[data[i]]), len(data))
+            x = np.frombuffer(data[at:end].lower(), dtype=np.uint8)
+            if len(x) > len(self.up):
+                self._grow(len(x))
+            edges = np.flatnonzero(np.diff(_BLANK[x], prepend=True, append=True))
+            first, last = edges[::2], edges[1::2]
+            total = np.zeros(len(x) + 1, dtype=np.uint64)
+            np.cumsum(self.letters[x] * self.up[: len(x)], out=total[1:])
+            hashes.append((total[last] - total[first]) * self.down[first] if len(first) else np.zeros(0, dtype=np.uint64))
+            starts.append(first + at)
+            at = end
+        if len(self.up) > SLICE:
+            self._grow(SLICE)
+        return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    def of_words(self, flat: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(set, how common the words of each element are) of each text; common: by bucket of words."""
+        k, total, lengths = self.size, len(flat), np.diff(first)
+        rate = None if common is None else np.concatenate([[0.0], np.cumsum(common[word_bucket(flat)])])
+        h = np.zeros(max(0, total - k + 1), dtype=np.uint64)
+        for j in range(k if len(h) else 0):
+            h = _mixed(h ^ flat[j : total - k + 1 + j])
+        for a, n in zip(first[:-1], lengths, strict=True):
+            if n < k:
+                own = np.full(min(n, 1), n, dtype=np.uint64)
+                for w in flat[a : a + n]:
+                    own = _mixed(own ^ w)
+                yield own, None if rate is None else np.zeros(len(own))
+                continue
+            own = h[a : a + n - k + 1]
+            order = np.argsort(own)
+            own = own[order]
+            new = np.append(True, own[1:] != own[:-1])
+            at = a + order[new]
+            yield own[new], None if rate is None else np.round(rate[at + k] - rate[at], 3)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _K[0]
+    h ^= h >> np.uint64(32)
+    h *= _K[1]
+    return h ^ (h >> np.uint64(29))
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -85,27 +136,49 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def word_bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64) & (WORD_LOADS - 1)
+
+
 def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(40)).astype(np.int64) & (LOADS - 1)
 
 
-def shingle_loads(rows: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all documents fall into each of LOADS buckets of hashes. A frequent shingle makes its bucket
-    heavy, and a set's prefix takes the shingles of light buckets, so few lists of the index are long. Any order gives
-    the same pairs."""
+class Order:
+    """A common order of shingles, rare ones first: by how far the load of a shingle's bucket stands out, which shows
+    passages that many texts share, then by how common its words are."""
+
+    def __init__(self, loads: np.ndarray, word_loads: np.ndarray):
+        mean = loads.mean()
+        self.level = np.log2(1 + np.maximum(loads - mean - 5 * math.sqrt(mean), 0)).astype(np.int8)
+        self.common = np.log2(1.0 + word_loads)
+
+    def prefix(self, s: np.ndarray, rate: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The first elements of a set, one of which any other set that passes has among its own first ones; none for a
+        set so small that only equal ones pass."""
+        n = len(s)
+        if n * den < num * (n + 1):
+            return s[:0].view(np.int64)
+        return s[np.lexsort((s, rate, self.level[_bucket(s)]))[: n - -(-n * num // den) + 1]].view(np.int64)
+
+
+def shingle_order(rows: DataFrame, size: int) -> Order:
+    """The order by the loads of all texts' shingles and words in buckets of hashes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, total = Shingler(size), np.zeros(LOADS, dtype=np.int64)
+        shingler, total = Shingler(size), np.zeros(LOADS + WORD_LOADS, dtype=np.int64)
         for b in batches:
-            for s in shingler.sets(b["data"].tolist()):
-                np.add.at(total, _bucket(s), 1)
+            for flat, first in shingler.parts(b["data"].tolist()):
+                total[LOADS:] += np.bincount(word_bucket(flat), minlength=WORD_LOADS)
+                found = [s for s, _ in shingler.of_words(flat, first)]
+                total[:LOADS] += np.bincount(_bucket(np.concatenate(found)), minlength=LOADS)
         held = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": held, "n": total[held]})
 
-    loads = rows.select("data").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # LOADS rows at most
-    out = np.zeros(LOADS, dtype=np.int64)
+    loads = rows.select("data").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
+    out = np.zeros(LOADS + WORD_LOADS, dtype=np.int64)
     out[loads["bucket"].to_numpy(np.int64)] = loads["n"].to_numpy(np.int64)
-    return out
+    return Order(out[:LOADS], out[LOADS:])
 
 
 def _required(a: Column, b: Column, num: int, den: int) -> Column:
@@ -123,65 +196,117 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     a null id links with nothing and has a null component. An empty table gives an empty result. Shingles are told
     apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
-    order = spark.sparkContext.broadcast(shingle_loads(rows, size))
+
+    order = docs.sparkSession.sparkContext.broadcast(shingle_order(rows, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, loads = Shingler(size), order.value
+        shingler, own = Shingler(size), order.value
         for b in batches:
             n, digests, prefixes, sketches = [], [], [], []
-            for s in shingler.sets(b["data"].tolist()):
+            for s, rate in (x for words in shingler.parts(b["data"].tolist()) for x in shingler.of_words(*words, own.common)):
                 n.append(len(s))
                 digests.append(_digest(s))
-                keep = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
-                prefixes.append(s[np.lexsort((s, loads[_bucket(s)]))[:keep]].view(np.int64))
+                prefixes.append(own.prefix(s, rate, num, den))
                 sketches.append(parity_sketch(s))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": digests, "prefix": prefixes, "sketch": sketches})
 
     described = materialize(rows.mapInPandas(describe, "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>"), "described")
-    classes = described.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
-    own = described.join(classes.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")))
-    sets = materialize(own.dropDuplicates(["digest"]).select("rep", "n", "digest", "prefix", "sketch"), "sets")
+    with_set = described.filter("doc_id is not null and n > 0")
+    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    own = with_set.join(classes.select(F.col("digest").alias("_digest"), "rep"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")))
+    sets = materialize(own.dropDuplicates(["digest", "doc_id"]).select("rep", "n", "digest", "prefix", "sketch"), "sets")
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    several = entries.groupBy("h").count().filter("count > 1").select("h")
+    several = entries.groupBy("h").count().filter("count > 1")
     # blocks of a list by set size: two sizes that can pass have equal or neighbouring bands
-    band = F.floor(F.log(F.col("n") + 0.0) / math.log(den / num)).cast("int") if num < den else F.col("n")
+    width = math.log(den / num) + 1e-9 if num < den else 1.0
+    band = F.floor(F.log(F.col("n") + 0.0) / width).cast("int") if num < den else F.col("n")
     bands = F.array(band, band + 1) if num < den else F.array(band)
-    index = materialize(entries.join(several, "h").select("h", F.explode(bands).alias("band"), "rep", "n", "pos"), "index")
-    node = F.struct("rep", "n", "pos")
-    share = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
-    firsts = index.groupBy("h", "band").agg(*[F.min(F.when(share == k, node)).alias(f"l{k}") for k in range(LEADERS)], F.count(F.lit(1)).alias("times")).filter("times > 1")
-    leaders = firsts.select("h", "band", F.array_compact(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("leaders"))
+    # and by position: a shingle that two sets of these sizes share stands at positions less than a block apart
+    block = F.floor(F.col("pos") / F.greatest(F.lit(1.0), F.exp((F.col("band") + 1) * width) * (2 * (den - num) / (den + num)))).cast("int")
+    index = entries.join(several, "h").withColumn("band", F.explode(bands)).select(F.xxhash64("h", "band").alias("key"), "rep", "n", "pos", block.alias("block"), "count")
+    index = materialize(index, "index")
 
     def may_pass(a: Column | str, b: Column | str) -> Column:
         (na, pa), (nb, pb) = ((F.col(f"{x}n"), F.col(f"{x}pos")) for x in (a, b))
         room = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
         return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (room >= _required(na, nb, num, den))
 
-    near = index.join(leaders, ["h", "band"]).withColumn("leader", F.explode("leaders")).filter((F.col("rep") != F.col("leader.rep")) & may_pass("", "leader."))
-    by_leader = materialize(near.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b")).distinct(), "leader-pairs")
-    first = materialize(_verified(rows, sets, by_leader, size, num, den), "leader-links")
+    # the leader of a list is the set that meets most others in all its lists: of edited copies, what they are copies of
+    met = index.groupBy("rep").agg(F.sum("count").alias("met"))
+    ranked = materialize(index.join(met, "rep").select("key", "rep", "n", "pos", "block", F.struct("met", (-F.col("rep")).alias("later")).alias("rank")), "ranked")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("rank", "rep", "n", "pos")).alias("l"))
+    led = materialize(ranked.join(leaders, "key").select("key", "rep", "n", "pos", "block", "l"), "led")
+    near = led.filter((F.col("rep") != F.col("l.rep")) & may_pass("", "l.")).select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    answers = _differences(rows, sets, materialize(near, "leader-pairs"), size, num, den)
+    first = answers.filter("linked").select("a", "b")
     components = connected_components(first)
-    known = index.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    known = led.select("key", "rep", "n", "pos", "block", F.col("l.rep").alias("leader"))
+    known = known.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known, "known")
-    lead = known.groupBy("h", "band").agg(F.min(F.struct("rep", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = lead.filter("lo < hi").select("h", "band", "lead")
-    open_lists = materialize(known.join(mixed, ["h", "band"]), "open-lists")
-    others = open_lists.filter("rep <> lead.rep").select("h", "band", F.struct("rep", "n", "pos", "component", (F.col("component") != F.col("lead.component")).alias("stray")).alias("e"))
-    strays = open_lists.filter("rep <> lead.rep and component <> lead.component").select("h", "band", F.struct("rep", "n", "pos", "component").alias("s"))
-    met = strays.join(others, ["h", "band"]).filter((F.col("s.component") != F.col("e.component")) & (~F.col("e.stray") | (F.col("s.rep") < F.col("e.rep"))) & may_pass("s.", "e."))
-    crossing = met.select(F.least("s.rep", "e.rep").alias("a"), F.greatest("s.rep", "e.rep").alias("b")).distinct()
-    second = _verified(rows, sets, materialize(crossing, "crossing-pairs"), size, num, den)
-    same = described.filter("doc_id is not null and n > 0").join(classes, "digest").select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).filter("a <> b")
-    groups = connected_components(first.unionByName(second).unionByName(same.select("a", "b")))
+    lead = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component")))
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead.alias("lead"), F.count(F.lit(1)).alias("size"))
+    open_lists = known.filter("rep <> leader").join(mixed.filter("lo < hi").select("key", "lead", "size"), "key").withColumn("stray", F.col("component") != F.col("lead"))
+    open_lists = materialize(open_lists, "open-lists")
+    # where many are left apart, the differences from the leader are found for all of the list
+    crowded = open_lists.groupBy("key").agg(F.sum(F.col("stray").cast("int")).alias("strays")).filter(F.col("strays") >= CROWD).select("key")
+    again = open_lists.join(crowded, "key", "left_semi")
+    more = _differences(rows, sets, materialize(again.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "crowded-pairs"), size, num, den, near=True)
+    derived = _by_differences(again, more, num, den)
+    told = answers.unionByName(more).groupBy(F.col("a").alias("leader"), F.col("b").alias("rep"))
+    told = told.agg(F.max("least").alias("least"), F.bool_or("exact").alias("exact"), F.bool_or(F.col("diff").isNotNull()).alias("near"))
+    open_lists = materialize(open_lists.join(told, ["leader", "rep"], "left"), "open-lists")
+    # the others: |X - Y| >= |Y - L| - |X - L|, where the latter is exact
+    facts = [F.coalesce("least", F.lit(0)).alias("least"), *(F.coalesce(x, F.lit(False)).alias(x) for x in ("exact", "near"))]
+    entry = F.struct("rep", "n", "pos", "component", "stray", *facts)
+    others = open_lists.select("key", "block", entry.alias("e"))
+    # blocks of positions that aren't neighbours never meet
+    strays = open_lists.filter("stray").select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), entry.alias("s"))
+    apart = F.greatest(F.when(F.col("s.exact"), F.col("e.least") - F.col("s.least")), F.when(F.col("e.exact"), F.col("s.least") - F.col("e.least")), F.lit(0))
+    most = F.col("s.n") + F.col("e.n") - 2 * _required(F.col("s.n"), F.col("e.n"), num, den)
+    once = ~F.col("e.stray") | (F.col("s.rep") < F.col("e.rep"))
+    undecided = ~(F.col("s.near") & F.col("e.near")) & (apart <= most) & may_pass("s.", "e.")
+    met = strays.join(others, ["key", "block"]).filter((F.col("s.component") != F.col("e.component")) & once & undecided)
+    crossing = met.select(F.least("s.rep", "e.rep").alias("a"), F.greatest("s.rep", "e.rep").alias("b")).unionByName(derived).distinct()
+    second = _differences(rows, sets, materialize(crossing, "crossing-pairs"), size, num, den).filter("linked").select("a", "b")
+    same = with_set.join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    groups = connected_components(first.unionByName(second).unionByName(same))
     out = described.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that pass: parity sketches give a sure bound of the difference, then the sets are intersected."""
+def _by_differences(open_lists: DataFrame, answers: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of sets near one leader L that may pass, of which one isn't linked with L (a stray).
+
+    D = X - L and E = Y - L (symmetric differences) give |X - Y| = |D| + |E| - 2 |D and E|, so a pair that passes shares
+    at least (|D| + |E| - most) / 2 of them, which is 1 at least with a stray. By the prefix filter it shares one of the
+    first, rarest in the leader's group; how many first ones depends on whether the other may be no stray.
+    """
+    listed = open_lists.select("leader", "rep", "n", "component", "stray").distinct()
+    sets = listed.join(answers.filter("diff is not null").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "na", "diff"), ["leader", "rep"])
+    d, most = F.size("diff"), F.floor(F.col("n") * (den - num) / num + 1e-9)
+    beyond = F.floor((F.col("na") + F.col("n") * num / den) * (den - num) / (den + num) - 1e-9)  # a stray differs from L in at least as many
+
+    def first(other: Column) -> Column:
+        return d - F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - most) - most) / 2)) + 1
+
+    sets = sets.select("leader", "rep", "component", "stray", first(beyond).alias("short"), first(F.lit(0)).alias("long"), F.explode("diff").alias("h"))
+    sets = materialize(sets, "difference-entries")
+    times = sets.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("times"))
+    nth = F.row_number().over(Window.partitionBy("leader", "rep").orderBy("times", "h"))
+    entries = sets.join(times, ["leader", "h"]).withColumn("nth", nth).filter((F.col("times") > 1) & (F.col("nth") <= F.when(F.col("stray"), F.col("long")).otherwise(F.col("short"))))
+    entries = materialize(entries.select("leader", "h", F.struct("rep", "component", "stray", (F.col("nth") <= F.col("short")).alias("early")).alias("x")), "difference-index")
+    s, e = entries.filter("x.stray").withColumnRenamed("x", "s"), entries.filter("x.early").withColumnRenamed("x", "e")
+    once = ~F.col("e.stray") | (F.col("s.early") & (F.col("s.rep") < F.col("e.rep")))
+    met = s.join(e, ["leader", "h"]).filter((F.col("s.component") != F.col("e.component")) & once)
+    return met.select(F.least("s.rep", "e.rep").alias("a"), F.greatest("s.rep", "e.rep").alias("b"))
+
+
+def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int, near: bool = False) -> DataFrame:
+    """(a, b, na, least, exact, linked, diff) of pairs (a, b) of sets: in how many elements they differ at least, by their
+    parity sketches, and for those that may pass by it, the exact number, and whether they pass. near: exact also for
+    pairs that by that sketch differ in fewer elements than b has, and diff holds the elements (else null)."""
     light = sets.select("rep", "n", "sketch")
     both = pairs.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     both = both.join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -193,9 +318,14 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num
         return F.when(own > other, halves).otherwise(F.col(x))
 
     both = both.withColumns({"ta": folded("sa", size_a, size_b), "tb": folded("sb", size_b, size_a)})
-    apart = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    need = _required(F.col("na"), F.col("nb"), num, den)
-    left = materialize(both.filter(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb"), "left-pairs")
+    least = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("na") + F.col("nb") - 2 * _required(F.col("na"), F.col("nb"), num, den)
+    bounded = materialize(both.select("a", "b", "na", "nb", least.alias("least"), most.alias("most"), (size_b * 64).alias("bits")), "bounded-pairs")
+    # n elements that fall on so many bits at random leave that many bits odd
+    chosen = F.col("least") <= F.greatest(F.col("most"), F.col("bits") / 2 * (1 - F.exp(-2 * F.col("nb") / F.col("bits"))))
+    if not near:
+        chosen = F.col("least") <= F.col("most")
+    left = bounded.filter(chosen)
     ids = materialize(left.select(F.col("a").alias("rep")).unionByName(left.select(F.col("b").alias("rep"))).distinct(), "ids")
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
@@ -206,11 +336,19 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num
             found = list(shingler.sets(b["data"].tolist()))
             yield pd.DataFrame({"rep": b["doc_id"].to_numpy(), "digest": [_digest(s) for s in found], "s": [s.view(np.int64) for s in found]})
 
-    chosen = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(whole, "rep long, digest binary, s array<long>")
-    full = materialize(chosen, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "s")
+    texts = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(whole, "rep long, digest binary, s array<long>")
+    full = materialize(texts, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "s").dropDuplicates(["rep"])
+    full = materialize(full, "sets-to-compare")
     shared = left.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return shared.filter(common * den >= (F.col("na") + F.col("nb") - common) * num).select("a", "b").distinct()
+    diff = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    if near:
+        compared = shared.select("a", "b", "na", "most", diff.alias("diff")).withColumn("least", F.size("diff"))
+    else:
+        nothing = F.lit(None).cast("array<long>")
+        compared = shared.select("a", "b", "na", "most", nothing.alias("diff"), (F.col("na") + F.col("nb") - 2 * F.size(F.array_intersect("sa", "sb"))).alias("least"))
+    done = compared.select("a", "b", "na", "least", F.lit(True).alias("exact"), (F.col("least") <= F.col("most")).alias("linked"), "diff")
+    far = bounded.filter(~chosen).select("a", "b", "na", "least", F.lit(False).alias("exact"), F.lit(False).alias("linked"), F.lit(None).cast("array<long>").alias("diff"))
+    return materialize(done.unionByName(far), "differences")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
