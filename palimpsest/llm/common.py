@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,18 @@ def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
         yield held
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches after which the worker, which stays for other tasks, gives unused memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Memo:
     """Values of two generations with a bound: what a worker has met lately stays, and its memory stays level. `now` is
     a plain dict that holds every key that unknown() has been asked for and that has a value."""

@@ -11,12 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from .common import fold_of
+from .common import fold_of, lean
 
 BUCKETS = 1 << 16  # of affix and n-gram features; lexicon features have as many more
 SEGMENT = 32
-AT_ONCE, MOST_WORDS = 250, 400_000
+AT_ONCE, MOST_WORDS = 250, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SALTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
@@ -202,8 +203,11 @@ class Labeler:
     """Languages of texts in one worker, with the emissions of words it has met."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.ids = crf, {}
-        self.table = np.zeros((1024, len(crf.languages)), dtype=np.float32)
+        self.crf = crf
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.table = {}, np.zeros((1024, len(self.crf.languages)), dtype=np.float32)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         parts = [self._some(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
@@ -216,12 +220,12 @@ class Labeler:
         if not len(held) or not self.crf.languages:
             return names, scores
         if len(self.ids) > MOST_WORDS:
-            self.ids.clear()
+            self._forget()
         new = list(set(chain.from_iterable(words)).difference(self.ids))
         if new:
             n = len(self.ids)
             if n + len(new) > len(self.table):
-                self.table = np.concatenate([self.table[:n], np.zeros((n + 2 * len(new), self.table.shape[1]), dtype=np.float32)])
+                self.table = np.concatenate([self.table[:n], np.zeros((n // 2 + len(new), self.table.shape[1]), dtype=np.float32)])
             self.table[n : n + len(new)] = self.crf.emissions(new)
             self.ids.update(zip(new, range(n, n + len(new)), strict=True))
         lengths = np.array([len(words[i]) for i in held])
@@ -255,14 +259,13 @@ def label_column(docs: DataFrame, crf: Crf, text_col: str = "text") -> Column:
     """struct<lang_pred string, score double> of each row's whole text as a column of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
-    @F.pandas_udf("lang_pred string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeler = Labeler(shared.value)
         for b in batches:
             names, scores = labeler.label(b.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return label(F.col(text_col))
+    return F.pandas_udf(lean(label), "lang_pred string, score double", PandasUDFType.SCALAR_ITER)(F.col(text_col))
 
 
 def predict_language(docs: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import lean, materialize, utf8
 from .components import connected_components
 
 #: Buckets of hashes whose loads order the shingles: of shingles, and of words. Any order gives the same result.
@@ -28,6 +28,8 @@ LOADS, WORD_LOADS = 1 << 18, 1 << 16
 MOST_BROADCAST = 200_000
 #: Sets that a list has at least outside its leader's component, if all of it is compared with the leader.
 CROWD = 8
+#: Differences from the leader, as a share of a set, up to which they are kept one by one (unrelated sets: about 2).
+NEAR = 1.4
 #: Texts, and bytes, that a worker takes at once; a longer text or word is taken alone.
 AT_ONCE, SLICE = 250, 1 << 20
 LEAST_SKETCH = 8  # longs
@@ -175,7 +177,7 @@ def shingle_order(rows: DataFrame, size: int) -> Order:
         held = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": held, "n": total[held]})
 
-    loads = rows.select("data").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
+    loads = rows.select("data").mapInPandas(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
     out = np.zeros(LOADS + WORD_LOADS, dtype=np.int64)
     out[loads["bucket"].to_numpy(np.int64)] = loads["n"].to_numpy(np.int64)
     return Order(out[:LOADS], out[LOADS:])
@@ -211,7 +213,7 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
                 sketches.append(parity_sketch(s))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": digests, "prefix": prefixes, "sketch": sketches})
 
-    described = materialize(rows.mapInPandas(describe, "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>"), "described")
+    described = materialize(rows.mapInPandas(lean(describe), "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>"), "described")
     with_set = described.filter("doc_id is not null and n > 0")
     classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     own = with_set.join(classes.select(F.col("digest").alias("_digest"), "rep"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")))
@@ -281,7 +283,8 @@ def _by_differences(open_lists: DataFrame, answers: DataFrame, num: int, den: in
 
     D = X - L and E = Y - L (symmetric differences) give |X - Y| = |D| + |E| - 2 |D and E|, so a pair that passes shares
     at least (|D| + |E| - most) / 2 of them, which is 1 at least with a stray. By the prefix filter it shares one of the
-    first, rarest in the leader's group; how many first ones depends on whether the other may be no stray.
+    first, in an order that puts what L lacks before what L has; how many first ones depends on whether the other may be
+    no stray.
     """
     listed = open_lists.select("leader", "rep", "n", "component", "stray").distinct()
     sets = listed.join(answers.filter("diff is not null").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "na", "diff"), ["leader", "rep"])
@@ -289,24 +292,26 @@ def _by_differences(open_lists: DataFrame, answers: DataFrame, num: int, den: in
     beyond = F.floor((F.col("na") + F.col("n") * num / den) * (den - num) / (den + num) - 1e-9)  # a stray differs from L in at least as many
 
     def first(other: Column) -> Column:
-        return d - F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - most) - most) / 2)) + 1
-
-    sets = sets.select("leader", "rep", "component", "stray", first(beyond).alias("short"), first(F.lit(0)).alias("long"), F.explode("diff").alias("h"))
-    sets = materialize(sets, "difference-entries")
-    times = sets.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("times"))
-    nth = F.row_number().over(Window.partitionBy("leader", "rep").orderBy("times", "h"))
-    entries = sets.join(times, ["leader", "h"]).withColumn("nth", nth).filter((F.col("times") > 1) & (F.col("nth") <= F.when(F.col("stray"), F.col("long")).otherwise(F.col("short"))))
-    entries = materialize(entries.select("leader", "h", F.struct("rep", "component", "stray", (F.col("nth") <= F.col("short")).alias("early")).alias("x")), "difference-index")
+        return (d - F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - most) - most) / 2)) + 1).cast("int")
+
+    sets = sets.withColumns({"short": first(beyond), "long": first(F.lit(0))})
+    prefix = F.slice("diff", F.lit(1), F.when(F.col("stray"), F.col("long")).otherwise(F.col("short")))
+    entries = sets.select("leader", "rep", "component", "stray", "short", "n", d.alias("d"), F.posexplode(prefix).alias("at", "h"))
+    own = F.struct("rep", "component", "stray", (F.col("at") < F.col("short")).alias("early"), "n", "d", (F.col("d") - F.col("at")).alias("rest"))
+    entries = materialize(entries.select("leader", "h", own.alias("x")), "difference-entries")
+    entries = materialize(entries.join(entries.groupBy("leader", "h").count().filter("count > 1").select("leader", "h"), ["leader", "h"]), "difference-index")
     s, e = entries.filter("x.stray").withColumnRenamed("x", "s"), entries.filter("x.early").withColumnRenamed("x", "e")
     once = ~F.col("e.stray") | (F.col("s.early") & (F.col("s.rep") < F.col("e.rep")))
-    met = s.join(e, ["leader", "h"]).filter((F.col("s.component") != F.col("e.component")) & once)
+    apart = F.col("s.d") + F.col("e.d") - 2 * F.least("s.rest", "e.rest")  # at least, where this is the first that they share
+    may_pass = apart <= F.col("s.n") + F.col("e.n") - 2 * _required(F.col("s.n"), F.col("e.n"), num, den)
+    met = s.join(e, ["leader", "h"]).filter((F.col("s.component") != F.col("e.component")) & once & may_pass)
     return met.select(F.least("s.rep", "e.rep").alias("a"), F.greatest("s.rep", "e.rep").alias("b"))
 
 
 def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int, near: bool = False) -> DataFrame:
     """(a, b, na, least, exact, linked, diff) of pairs (a, b) of sets: in how many elements they differ at least, by their
     parity sketches, and for those that may pass by it, the exact number, and whether they pass. near: exact also for
-    pairs that by that sketch differ in fewer elements than b has, and diff holds the elements (else null)."""
+    pairs that by that sketch differ in fewer than NEAR times as many elements as b has, and diff holds the elements (else null)."""
     light = sets.select("rep", "n", "sketch")
     both = pairs.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     both = both.join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -322,7 +327,7 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
     most = F.col("na") + F.col("nb") - 2 * _required(F.col("na"), F.col("nb"), num, den)
     bounded = materialize(both.select("a", "b", "na", "nb", least.alias("least"), most.alias("most"), (size_b * 64).alias("bits")), "bounded-pairs")
     # n elements that fall on so many bits at random leave that many bits odd
-    chosen = F.col("least") <= F.greatest(F.col("most"), F.col("bits") / 2 * (1 - F.exp(-2 * F.col("nb") / F.col("bits"))))
+    chosen = F.col("least") <= F.greatest(F.col("most"), F.col("bits") / 2 * (1 - F.exp(-2 * NEAR * F.col("nb") / F.col("bits"))))
     if not near:
         chosen = F.col("least") <= F.col("most")
     left = bounded.filter(chosen)
@@ -336,11 +341,11 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
             found = list(shingler.sets(b["data"].tolist()))
             yield pd.DataFrame({"rep": b["doc_id"].to_numpy(), "digest": [_digest(s) for s in found], "s": [s.view(np.int64) for s in found]})
 
-    texts = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(whole, "rep long, digest binary, s array<long>")
+    texts = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(lean(whole), "rep long, digest binary, s array<long>")
     full = materialize(texts, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "s").dropDuplicates(["rep"])
     full = materialize(full, "sets-to-compare")
     shared = left.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    diff = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    diff = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb")))
     if near:
         compared = shared.select("a", "b", "na", "most", diff.alias("diff")).withColumn("least", F.size("diff"))
     else:

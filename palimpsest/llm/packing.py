@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, encode_apart, materialize
+from .common import Memo, encode_apart, lean, materialize
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokenizer pattern whose matches hold no white space, and that drops all else.
@@ -221,7 +221,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ..
 _TOKENS: dict[str, tuple] = {}
 
 
-def _encoder(path: str, most: int = 600_000):
+def _encoder(path: str, most: int = 300_000):
     """UTF-8 texts -> their ids as little-endian unsigned 32-bit bytes. Where the vocabulary's pre-tokenizer drops
     white space, no token reaches over a blank, and each worker encodes a word between blanks once and remembers it."""
     if path not in _TOKENS:
@@ -298,7 +298,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("data")).mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("data")).mapInPandas(lean(cut), PIECE_SCHEMA)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") -> DataFrame:

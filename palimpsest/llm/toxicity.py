@@ -10,15 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from .common import alnum_words, fold_of, utf8
+from .common import alnum_words, fold_of, lean, utf8
 from .nn import Adam, gru_step, gru_step_back, sigmoid
 
 BUCKETS = 1 << 13  # of character trigrams, and of words
 DIM, HIDDEN, ATTENTION = 12, 8, 8
 WINDOW, STRIDE = 32, 16
 #: Texts that a worker scores at once, and the words whose inputs it remembers.
-AT_ONCE, MOST_WORDS = 250, 300_000
+AT_ONCE, MOST_WORDS = 250, 100_000
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +143,11 @@ class Scorer:
     """Scores of texts in one worker, with the gate inputs of words it has met."""
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.ids, self.gates = model, {}, np.zeros((1024, 6 * HIDDEN), dtype=np.float32)
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.gates = {}, np.zeros((1024, 6 * HIDDEN), dtype=np.float32)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.model.constant is not None:
@@ -153,12 +158,12 @@ class Scorer:
     def _some(self, texts: list[bytes]) -> np.ndarray:
         words = [alnum_words(x) for x in texts]
         if len(self.ids) > MOST_WORDS:
-            self.ids.clear()
+            self._forget()
         new = list(set(chain.from_iterable(words)).difference(self.ids))
         if new:
             n = len(self.ids)
             if n + len(new) > len(self.gates):
-                self.gates = np.concatenate([self.gates[:n], np.zeros((n + 2 * len(new), 6 * HIDDEN), dtype=np.float32)])
+                self.gates = np.concatenate([self.gates[:n], np.zeros((n // 2 + len(new), 6 * HIDDEN), dtype=np.float32)])
             self.gates[n : n + len(new)] = self.model.project(new)
             self.ids.update(zip(new, range(n, n + len(new)), strict=True))
         lengths = np.array([len(w) for w in words])
@@ -259,13 +264,12 @@ def score_column(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
     """The score (0 to 1, double) of each row's whole text as a column of docs; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for b in batches:
             yield pd.Series(scorer.scores(b.tolist()), dtype="float64")
 
-    return score(utf8(text_col))
+    return F.pandas_udf(lean(score), "double", PandasUDFType.SCALAR_ITER)(utf8(text_col))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
