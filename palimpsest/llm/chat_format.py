@@ -160,4 +160,4 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     nth = F.row_number().over(Window.partitionBy("conv_id", "seq").orderBy("role", "text"))
-    return rows.withColumn("message_id", F.format_string("%d/%010d", F.coalesce("seq", F.lit(-1)), nth))
+    return rows.withColumn("message_id", F.struct("seq", nth.alias("nth")))

@@ -76,7 +76,8 @@ class NoticeScanner:
         self.notices = []
         for text, label in notices.items():
             k = max(1, int(len(text) * edit_share))
-            self.notices.append((text.encode(), label, k, _seeds(text, k)))
+            bounded = regex.compile(b"(?:" + regex.escape(text.encode(), special_only=True) + b"){e<=%d}" % k)
+            self.notices.append((text.encode(), label, k, _seeds(text, k), bounded))
         # a text without any seed has no notice; one scan for all of them is cheaper than one for each
         self.any_seed = regex.compile(b"|".join(sorted({regex.escape(s, special_only=True) for n in self.notices for s, _ in n[3]} | {p for p, _ in self.base})))
 
@@ -85,16 +86,20 @@ class NoticeScanner:
         found = []
         for phrase, label in self.base:
             needle, at = b" " + phrase + b" ", line.find(b" " + phrase + b" ")
+            word = before = 0
             while at >= 0:
-                found.append((line.count(b" ", 0, at), label))
+                word, before = word + line.count(b" ", before, at), at
+                found.append((word, label))
                 at = line.find(needle, at + 1)
         return found
 
     def fuzzy_places(self, line: bytes) -> list[tuple[str, int, int, int, int]]:
         """(label, first word, last word, edits, length of the notice) of the matches that begin and end at word
-        borders; where some overlap, the one with the fewest edits, then of the longest notice, then the first."""
+        borders; where some overlap, the one with the fewest edits, then of the longest notice, then the first. The regex
+        library says from which word borders near a seed a match within the bound begins, and there all its ends are told
+        apart."""
         found = []
-        for text, label, k, seeds in self.notices:
+        for text, label, k, seeds, bounded in self.notices:
             starts = set()
             for seed, offset in seeds:
                 at = line.find(seed)
@@ -102,13 +107,17 @@ class NoticeScanner:
                     starts.update(x for x in range(max(1, at - offset - k), at - offset + k + 1) if line[x - 1 : x] == b" ")
                     at = line.find(seed, at + 1)
             for x in starts:
-                found += [(edits, -len(text), x, abs(y - x - len(text)), y, label) for y, edits in _ends(text, line, x, k)]
+                if bounded.match(line, x):
+                    found += [(edits, -len(text), x, abs(y - x - len(text)), y, label) for y, edits in _ends(text, line, x, k)]
         kept = []
         for edits, length, x, _, y, label in sorted(found):
             at = bisect(kept, (x,))
             if (at == len(kept) or kept[at][0] >= y) and (at == 0 or kept[at - 1][1] <= x):
                 kept.insert(at, (x, y, label, edits, -length))
-        firsts = [line.count(b" ", 0, x) - 1 for x, *_ in kept]
+        firsts, word, before = [], -1, 0
+        for x, *_ in kept:
+            word, before = word + line.count(b" ", before, x), x
+            firsts.append(word)
         return sorted((label, a, a + line.count(b" ", x, y), edits, n) for a, (x, y, label, edits, n) in zip(firsts, kept, strict=True))
 
     def scan(self, data: bytes) -> tuple:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, fold_of, materialize, utf8
+from .common import blank_words, fold_of, lean, materialize, utf8
 from .nn import Adam, gru_step, gru_step_back
 
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
@@ -39,9 +39,9 @@ TRAINER, BLOCK = 8_000_000, 1 << 14
 
 
 def side_of(total: int) -> int:
-    """Classes, and words in each, of a network for so many training tokens: about the square root of the tokens are
-    frequent words, from FREQUENT up to what workers hold."""
-    return min(math.isqrt(MOST_HELD), max(CLASSES, 8 * math.ceil(math.sqrt(math.sqrt(total)) / 8)))
+    """Classes, and words in each, of a network for so many training tokens: about tokens ** 0.4 are frequent words,
+    from FREQUENT up to what workers hold."""
+    return min(math.isqrt(MOST_HELD), max(CLASSES, 8 * math.ceil(total**0.2 / 8)))
 
 
 class LanguageModel:
@@ -157,7 +157,8 @@ class LanguageModel:
         order = [i for i in np.argsort(-lengths, kind="stable") if lengths[i]]
         if not order:
             return total
-        lanes = [(0, k, []) for k in range(min(LANES, len(order)))]
+        # no more lanes than a text as long as the longest needs company: the table of lanes stays about the size of the texts
+        lanes = [(0, k, []) for k in range(min(LANES, len(order), 1 + 2 * int(lengths.sum()) // int(lengths.max())))]
         for i in order:
             load, k, own = heapq.heappop(lanes)
             own.append(i)
@@ -213,7 +214,7 @@ def word_counts(docs: DataFrame, data_col: str) -> DataFrame:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     rows = docs.select(F.col(data_col).alias("data"))
-    return rows.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def held_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -259,7 +260,7 @@ def train_on_all(model: LanguageModel, training: DataFrame, numbers, total: int,
                     ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
                     docs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
                 size = sum(map(len, docs))
-                own.train(docs, epochs=1, lanes=min(256, max(8, size // 512)), adam=adam)
+                own.train(docs, epochs=1, lanes=min(512, max(8, size // 512)), adam=adam)
                 n += size
             if n:
                 flat = own.flat().astype("<f4")
@@ -267,7 +268,7 @@ def train_on_all(model: LanguageModel, training: DataFrame, numbers, total: int,
                 yield pd.DataFrame({"block": range(len(cuts)), "n": n, "data": [flat[a : a + BLOCK].tobytes() for a in cuts]})
 
         share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == k).select("data")
-        sets = share.coalesce(trainers).mapInPandas(learn, _WEIGHTS)
+        sets = share.coalesce(trainers).mapInPandas(lean(learn), _WEIGHTS)
         means = materialize(sets.groupBy("block").applyInPandas(_average, _WEIGHTS), "weights").orderBy("block").collect()  # one set of weights
         if means:
             learnt += means[0]["n"]
@@ -349,7 +350,7 @@ def score_documents(
                 yield lost.reindex(columns=_ORDER).astype({"doc_id": "Int64", "n_held": "Int64", "n_rare": "Int64", "n_tokens": "Int64"})
             key += len(b)
 
-    scored = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(score, _SCHEMA), "scored")
+    scored = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(lean(score), _SCHEMA), "scored")
     tail = scored.filter("word is not null").select("key", "word", F.col("n_tokens").alias("times"))
     found = tail.join(counts, "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum_tail"), F.sum("times").alias("n_tail"))
     all_docs = scored.filter("word is null").drop("word").join(found, "key", "left")
