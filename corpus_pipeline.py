@@ -16,14 +16,22 @@ TOXIC = 0.7
 LEAST_LANGUAGE = 0.3
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get rows in batches of a few megabytes, so that very long texts and several stages fit in memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        spark.conf.set(key, str(most))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose most toxic window scores below TOXIC, by a network fitted on the labelled ones."""
+    bound_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.score_column(docs, model) < TOXIC)
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in one of the languages of docs: texts without letters, and those that fit none, go."""
+    bound_batches(spark)
     found = language_id.label_column(docs, language_id.learn(docs))
     columns = [docs[c] for c in docs.columns]
     return docs.select(*columns, found.alias("_language")).filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE)).drop("_language")
@@ -31,6 +39,7 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one with the least id."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs, size=5, num=80, den=100)
 
 
@@ -41,6 +50,7 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
+    bound_batches(spark)
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 

@@ -125,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
     "activity_label": f"""WITH {INTERACTIONS}, a AS (SELECT day, o, line, 0 AS kind, sender AS name FROM m UNION ALL SELECT day, o, line, 1, recipient FROM m)
         SELECT strftime(day, '%Y-%m-%d') AS day, name, count(*) - arg_min(kind, (o, line, kind)) AS label FROM a GROUP BY ALL""",
     "interaction_count": f"WITH {INTERACTIONS} SELECT strftime(day, '%Y-%m-%d') AS day, least(sender, recipient) AS a, greatest(sender, recipient) AS b, count(*) AS n FROM m WHERE sender <> recipient GROUP BY ALL",
-    "daily_snapshots": f"""WITH {INTERACTIONS}, d AS (SELECT DISTINCT day FROM m WHERE o % 2 = 0 INTERSECT SELECT DISTINCT day FROM m WHERE line = 1)
+    "daily_snapshots": f"""WITH {INTERACTIONS}, d AS (SELECT DISTINCT day FROM m WHERE sender <> recipient)
         SELECT CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS snapshot_id, strftime(day, '%Y-%m-%d') AS day FROM d""",
     "snapshot_stats": f"""WITH {SUPPLY}, deg AS (SELECT seq, vid, count(*) AS n FROM (SELECT seq, src AS vid FROM supply_e UNION ALL SELECT seq, dst FROM supply_e) GROUP BY ALL)
         SELECT seq, count(*) AS n_vertices, CAST(sum(n) / 2 AS BIGINT) AS n_edges, min(n) AS min_degree, max(n) AS max_degree, count(*) FILTER (n >= 8) AS n_large FROM deg GROUP BY seq""",
@@ -137,7 +137,7 @@ ORACLE_SQL: dict[str, str] = {
         least AS (SELECT seq, vid, min(c) AS c FROM lab GROUP BY ALL)
         SELECT seq, count(DISTINCT c) AS n_components, count(DISTINCT c) = 1 AS connected FROM least GROUP BY seq""",
     "label_changes": f"WITH {TYPES} SELECT vid, seq, vlabel FROM changes",
-    "label_as_of": f"""WITH {TYPES}, t AS (SELECT vid, CAST(s AS INTEGER) AS seq FROM (SELECT DISTINCT vid FROM types), (SELECT unnest(range(0, 30, 4)) AS s))
+    "label_as_of": f"""WITH {TYPES}, t AS (SELECT vid, CAST(s AS INTEGER) AS seq FROM (SELECT DISTINCT vid FROM types), (SELECT unnest(range(0, (SELECT max(seq) FROM types) + 1, 4)) AS s))
         SELECT t.vid, t.seq, c.vlabel FROM t ASOF LEFT JOIN changes c ON t.vid = c.vid AND t.seq >= c.seq""",
     "history_union": f"WITH {SUPPLY} SELECT src, dst, sl, el, dl, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM supply GROUP BY ALL",
     "edge_runs": f"WITH {SUPPLY}, {_runs('r', 'supply', _KEY)} SELECT * FROM r",
@@ -158,10 +158,10 @@ ORACLE_SQL: dict[str, str] = {
     "frequent_edges": f"""WITH {TRADE} SELECT least(sl, dl) AS sl, el, greatest(sl, dl) AS dl, count(DISTINCT seq) AS support FROM trade GROUP BY ALL
         HAVING count(DISTINCT seq) >= ceil((SELECT count(*) FROM trade_s) * 0.5::DOUBLE)""",
     "grow_two_edge": f'{_GROWN} SELECT code, count(*) AS stored, CAST(sum("end" - "start" + 1) AS BIGINT) AS expanded FROM grown GROUP BY code',
-    "grow_triangle": f"""{_GROWN}, two AS (SELECT * FROM grown WHERE code LIKE '(0,1,0,0,%')
-        SELECT g.code || format('(2,{{}},{{}},{{}},{{}})', CASE WHEN r.dst = g.a THEN 0 ELSE 1 END, r.sl, r.el, r.dl) AS code, CAST(sum(least(g."end", r."end") - greatest(g."start", r."start") + 1) AS BIGINT) AS expanded
-        FROM two g JOIN druns r ON r.src = g.c AND r."start" <= g."end" AND g."start" <= r."end" AND r.dst = CASE WHEN g.code LIKE '%)(1,2,%' THEN g.a ELSE NULL END
-        WHERE least([r.sl, r.el, r.dl], [r.dl, r.el, r.sl]) >= [0, 0, CAST(split_part(split_part(g.code, ')', 1), ',', 5) AS INTEGER)]
+    "grow_triangle": f"""{_GROWN}
+        SELECT g.code || format('(2,0,{{}},{{}},{{}})', r.sl, r.el, r.dl) AS code, CAST(sum(least(g."end", r."end") - greatest(g."start", r."start") + 1) AS BIGINT) AS expanded
+        FROM grown g JOIN druns r ON r.src = g.c AND r.dst = g.a AND r."start" <= g."end" AND g."start" <= r."end"
+        WHERE g.code LIKE '%)(1,2,%' AND least([r.sl, r.el, r.dl], [r.dl, r.el, r.sl]) >= list_transform(regexp_extract_all(g.code, '[0-9]+'), lambda x: CAST(x AS INTEGER))[3:5]
         GROUP BY ALL""",
     "grow_all_triangles": f"""{_GROWN}
         SELECT g.code || format('(2,0,{{}},{{}},{{}})', r.sl, r.el, r.dl) AS code, CAST(sum(least(g."end", r."end") - greatest(g."start", r."start") + 1) AS BIGINT) AS expanded

@@ -124,7 +124,7 @@ def interaction_count(s: SparkSession, d: str) -> DataFrame:
 
 def daily_snapshots(s: SparkSession, d: str) -> DataFrame:
     m = tables.interactions(s, d)
-    return clean.daily_snapshots(m.filter("o % 2 = 0"), m.filter("line = 1")).select("snapshot_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return clean.daily_snapshots(m, m.filter("sender <> recipient")).select("snapshot_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 # ---- statistics ----
@@ -152,7 +152,8 @@ def label_changes(s: SparkSession, d: str) -> DataFrame:
 def label_as_of(s: SparkSession, d: str) -> DataFrame:
     labels = tables.last_types(s, d)
     users = labels.select("vid").distinct()
-    times = users.select("vid", F.explode(F.sequence(F.lit(0), F.lit(29), F.lit(4))).alias("seq"))
+    last = labels.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    times = users.select("vid", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(4))).alias("seq"))
     return history.label_as_of(history.label_changes(labels), times)
 
 
@@ -256,11 +257,8 @@ def grow_two_edge(s: SparkSession, d: str) -> DataFrame:
 
 
 def grow_triangle(s: SparkSession, d: str) -> DataFrame:
-    """Embeddings of triangles: backward edges grown on two-edge embeddings with a short first label."""
-    runs = materialize(history.edge_runs(tables.trade(s, d).labelled()), "runs")
-    two = materialize(mine.grow(mine.first_level(runs).filter("code like '(0,1,0,0,%'"), clean.both_ways(runs)).drop("parent"), "two")
-    back = mine.grow(two, clean.both_ways(runs)).filter(F.size("v") == 3)
-    return back.groupBy("code").agg(F.sum(F.col("end") - F.col("start") + 1).alias("expanded"))
+    """Embeddings of triangles: backward edges grown on two-edge embeddings."""
+    return triangles(materialize(history.edge_runs(tables.trade(s, d).labelled()), "runs"))
 
 
 def triangles(runs: DataFrame) -> DataFrame:
