@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import History
+from ..model import History, materialize
 
 
 def write_graph_text(history: History, path: str, files: int = 8) -> None:
-    """A block for each snapshot: its vertices by id, then each edge once with u < v. Files are ranges of seq, so their
-    names follow the order; a snapshot's block is one row, as a reader needs it whole."""
-    v = history.vertices.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("vid", "vlabel"))).alias("v"))
-    e = history.edges.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "elabel"))).alias("e"))
-    lines = F.concat(
-        F.array(F.concat_ws(" ", F.lit("t"), F.lit("#"), F.col("snapshot_id"))),
-        F.coalesce(F.transform("v", lambda x: F.concat_ws(" ", F.lit("v"), x["vid"], x["vlabel"])), F.array()),
-        F.coalesce(F.transform("e", lambda x: F.concat_ws(" ", F.lit("e"), x["a"], x["b"], x["elabel"])), F.array()),
-    )
-    rows = history.snapshots.join(v, "seq", "left").join(e, "seq", "left").select("seq", F.array_join(lines, "\n").alias("value"))
-    rows.repartitionByRange(files, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    """A block for each snapshot: its vertices by id, then each edge once with u < v. Each line is a row; files are
+    ranges of seq, so their names follow the order, and a file's lines are sorted inside it."""
+    none = F.lit(None).cast("int")
+    t = history.snapshots.select("seq", F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), F.concat(F.lit("t # "), F.col("snapshot_id")).alias("value"))
+    v = history.vertices.select("seq", F.lit(1), "vid", none, F.concat_ws(" ", F.lit("v"), "vid", "vlabel"))
+    u, w = F.least("src", "dst"), F.greatest("src", "dst")
+    e = history.edges.select("seq", F.lit(2), u, w, F.concat_ws(" ", F.lit("e"), u, w, "elabel"))
+    lines = t.union(v).union(e)
+    lines.repartitionByRange(files, "seq").sortWithinPartitions("seq", "kind", "a", "b", "value").select("value").write.text(path)
 
 
 def read_graph_text(spark: SparkSession, path: str) -> History:
-    """Snapshots in the order of file names and places; of lines for one vertex or edge the last one holds. A negative
-    id ends the list and is no snapshot."""
+    """Snapshots in the order of file names and places, also where an id comes twice; of a block's lines for one vertex
+    or edge the last one holds. A negative id ends the list and is no snapshot."""
     raw = spark.read.option("lineSep", "t # ").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
     blocks = raw.filter(F.trim("value") != "").withColumn("lines", F.split(F.trim("value"), "\\s*\n\\s*"))
-    blocks = blocks.withColumn("snapshot_id", F.col("lines")[0].cast("long")).filter("snapshot_id >= 0")
-    order = Window.orderBy("file", "block", "place")
-    snapshots = blocks.select((F.row_number().over(order) - 1).cast("int").alias("seq"), "snapshot_id")
-    lines = blocks.select("snapshot_id", F.posexplode("lines").alias("at", "line")).withColumn("w", F.split("line", " "))
-    v = lines.filter(F.col("w")[0] == "v").select("snapshot_id", "at", F.col("w")[1].cast("int").alias("vid"), F.col("w")[2].cast("int").alias("vlabel"))
-    e = lines.filter(F.col("w")[0] == "e").select("snapshot_id", "at", F.col("w")[1].cast("int").alias("a"), F.col("w")[2].cast("int").alias("b"), F.col("w")[3].cast("int").alias("elabel"))
-    v = v.groupBy("snapshot_id", "vid").agg(F.max_by("vlabel", "at").alias("vlabel"))
-    e = e.groupBy("snapshot_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max_by("elabel", "at").alias("elabel"))
-    vertices, edges = (x.join(snapshots, "snapshot_id").drop("snapshot_id") for x in (v, e))
-    return History(snapshots, vertices.select("seq", "vid", "vlabel"), edges.select("seq", "src", "dst", "elabel"))
+    blocks = blocks.withColumn("snapshot_id", F.col("lines")[0].cast("long")).filter("snapshot_id >= 0").drop("value")
+    blocks = materialize(blocks, "graph-text")  # place, written, names a block
+    order = Window.orderBy("file", "block", "place")  # a row for each snapshot, without its lines
+    numbered = blocks.select("place", "snapshot_id", (F.row_number().over(order) - 1).cast("int").alias("seq"))
+    lines = blocks.select("place", F.posexplode("lines").alias("at", "line")).withColumn("w", F.split("line", " "))
+    v = lines.filter(F.col("w")[0] == "v").select("place", "at", F.col("w")[1].cast("int").alias("vid"), F.col("w")[2].cast("int").alias("vlabel"))
+    e = lines.filter(F.col("w")[0] == "e").select("place", "at", F.col("w")[1].cast("int").alias("a"), F.col("w")[2].cast("int").alias("b"), F.col("w")[3].cast("int").alias("elabel"))
+    v = v.groupBy("place", "vid").agg(F.max_by("vlabel", "at").alias("vlabel"))
+    e = e.groupBy("place", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max_by("elabel", "at").alias("elabel"))
+    vertices, edges = (x.join(numbered.select("place", "seq"), "place") for x in (v, e))
+    return History(numbered.select("seq", "snapshot_id"), vertices.select("seq", "vid", "vlabel"), edges.select("seq", "src", "dst", "elabel"))
 
 
 def first_snapshots(history: History, n: int) -> History:
@@ -52,13 +51,18 @@ def read_edge_list(spark: SparkSession, path: str, header: int = 4) -> DataFrame
     rest = F.slice("lines", F.lit(header + 1), F.greatest(F.size("lines") - header, F.lit(0)))
     blank = F.array_position(F.transform(rest, lambda x: F.trim(x) == ""), F.lit(True)).cast("int")
     kept = F.when(blank > 0, F.slice(rest, F.lit(1), blank - 1)).otherwise(rest)
-    pairs = whole.select((F.dense_rank().over(Window.orderBy("file")) - 1).cast("int").alias("seq"), F.explode(kept).alias("line")).withColumn("w", F.split("line", "\t"))
+    names = whole.select("file").distinct()  # a row for each snapshot
+    numbered = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("int").alias("seq"))
+    pairs = whole.select("file", F.explode(kept).alias("line")).withColumn("w", F.split("line", "\t")).join(numbered, "file")
     return pairs.select("seq", F.col("w")[0].cast("int").alias("src"), F.col("w")[1].cast("int").alias("dst")).filter("src <> dst")
 
 
 def write_edge_list(edges: DataFrame, path: str) -> None:
     """A folder of such files, one for each seq (seq, src, dst), for read_edge_list(f"{path}/*")."""
-    head = F.array(*[F.lit(f"# {x}") for x in ("undirected links", "one file a snapshot", "ids are numbers", "u v")])
-    blocks = edges.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"))
-    text = F.array_join(F.concat(head, F.transform("e", lambda x: F.concat_ws("\t", x["src"], x["dst"]))), "\n")
-    blocks.select(F.format_string("%09d", "seq").alias("day"), text.alias("value")).repartition("day").write.partitionBy("day").text(path)
+    heads = ("undirected links", "one file a snapshot", "ids are numbers", "u v")
+    days = edges.select("seq").distinct()
+    head = days.select("seq", F.posexplode(F.array(*[F.lit(f"# {x}") for x in heads])).alias("a", "value"))
+    head = head.select("seq", F.lit(0).alias("kind"), F.col("a").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "value")
+    body = edges.select("seq", F.lit(1), F.col("src").cast("long"), F.col("dst").cast("long"), F.concat_ws("\t", "src", "dst"))
+    lines = head.union(body).withColumn("day", F.format_string("%09d", "seq"))
+    lines.repartition("day").sortWithinPartitions("day", "kind", "a", "b").select("day", "value").write.partitionBy("day").text(path)

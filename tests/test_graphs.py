@@ -148,6 +148,22 @@ def test_graph_text_round_trip_and_last_line_wins(spark, tmp_path):
     assert (0, 2, 7) in [tuple(r) for r in h.vertices.collect()]
 
 
+def test_a_repeated_id_names_two_snapshots(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a").write_text("t # 5\nv 0 1\nv 1 1\ne 0 1 3\nt # 5\nv 7 2\nt # -1\n")
+    h = graph_text.read_graph_text(spark, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in h.snapshots.collect()) == [(0, 5), (1, 5)]
+    assert sorted(tuple(r) for r in h.vertices.collect()) == [(0, 0, 1), (0, 1, 1), (1, 7, 2)]
+    assert [tuple(r) for r in h.edges.collect()] == [(0, 0, 1, 3)]
+
+
+def test_edge_list_round_trip(spark, tmp_path):
+    want = [(0, 1, 12), (0, 2, 3), (3, 1, 2), (11, 5, 4)]
+    graph_text.write_edge_list(spark.createDataFrame(want, "seq int, src int, dst int"), str(tmp_path / "e"))
+    got = graph_text.read_edge_list(spark, str(tmp_path / "e") + "/*")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 12), (0, 2, 3), (1, 1, 2), (2, 5, 4)]
+
+
 def test_edge_lists_end_at_a_blank_line(spark, tmp_path):
     for name, body in (("b", "1\t2\n3\t3\n\n9\t9\n"), ("a", "4\t5\n")):
         (tmp_path / name).write_text("h\nh\nh\nh\n" + body)
