@@ -17,8 +17,15 @@ LEAST_LANGUAGE = 0.3
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Python workers get rows in batches of a few megabytes, so that very long texts and several stages fit in memory."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+    """Rows are read, sent to Python workers and written in batches of a few megabytes: texts are long, so batches
+    counted in rows alone take tens of megabytes for each task, and the stages share one executor's memory."""
+    sizes = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+        "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20,
+        "spark.sql.parquet.columnarReaderBatchSize": 512,
+        "parquet.block.size": 32 << 20,
+    }
+    for key, most in sizes.items():
         spark.conf.set(key, str(most))
 
 
@@ -45,6 +52,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold less than 0.8 of each benchmark item's five-word shingles."""
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
