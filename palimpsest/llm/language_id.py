@@ -93,21 +93,24 @@ class Crf:
         at = np.where(live, offset + np.arange(s)[:, None], 0)
         full = e[at]  # [position, segment, language]
         transfer = np.broadcast_to(np.eye(k), (len(text), k, k)).copy()
+        opens = np.zeros(len(text), dtype=bool)  # no move leads to a text's first word, which takes the start scores
+        opens[seg_first] = True
         for i in range(s):
-            new = (transfer.reshape(-1, k) @ move).reshape(-1, k, k) * full[i][:, None, :]
+            new = (transfer.reshape(-1, k) @ move).reshape(-1, k, k)
+            if i == 0:
+                new[opens] = transfer[opens]
+            new *= full[i][:, None, :]
             new /= new.max(axis=(1, 2), keepdims=True) + 1e-300
             transfer = np.where(live[i][:, None, None], new, transfer)
         # between segments: a is what comes in from the left (before the first move), b from the right
         a, b = np.ones((len(text), k)), np.ones((len(text), k))
-        start = np.exp(self.start - self.start.max())
-        # the first word takes the start scores instead of a move: a vector that the move turns into them
-        a[seg_first] = np.linalg.lstsq(move.T, start, rcond=None)[0]
+        a[seg_first] = np.exp(self.start - self.start.max())
         order = np.argsort(-counts, kind="stable")
         for i in range(1, int(counts.max())):
             live_texts = order[: np.searchsorted(-counts[order], -i, side="left")]
             x = seg_first[live_texts] + i
             new = np.einsum("nk,nkj->nj", a[x - 1], transfer[x - 1])
-            a[x] = new / np.abs(new).max(axis=1, keepdims=True)
+            a[x] = new / new.max(axis=1, keepdims=True)
         for i in range(int(counts.max()) - 2, -1, -1):
             live_texts = order[: np.searchsorted(-counts[order], -(i + 1), side="left")]
             x = seg_first[live_texts] + i
@@ -115,12 +118,15 @@ class Crf:
             b[x] = new / new.max(axis=1, keepdims=True)
         forward = np.empty((s, len(text), k))
         for i in range(s):
-            a = np.where(live[i][:, None], (a @ move) * full[i], a)
-            a /= np.abs(a).max(axis=1, keepdims=True) + 1e-300
+            moved = a @ move
+            if i == 0:
+                moved[opens] = a[opens]
+            a = np.where(live[i][:, None], moved * full[i], a)
+            a /= a.max(axis=1, keepdims=True) + 1e-300
             forward[i] = a
         out = np.empty((s, len(text), k))
         for i in range(s - 1, -1, -1):
-            p = np.maximum(forward[i] * b, 0)
+            p = forward[i] * b
             out[i] = p / (p.sum(axis=1, keepdims=True) + 1e-300)
             b = np.where(live[i][:, None], (full[i] * b) @ move.T, b)
             b /= b.max(axis=1, keepdims=True) + 1e-300
@@ -251,6 +257,7 @@ def learn(docs: DataFrame, fold: Column | None = None, most: int = 150, id_col:
     parts = 1_000_000
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(max(1, min(parts, round(parts * most / n)))))])
     chosen = usable.filter(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(parts)) < share[F.col("_lang")])
+    chosen = chosen.orderBy(F.xxhash64("_id", F.lit(11)), "_id", "_text", "_lang")
     rows = sorted(chosen.limit(2 * most * len(counts)).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 

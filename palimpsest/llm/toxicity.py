@@ -255,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most:
     picked = [usable.filter(F.col("_label") == k).distinct().orderBy(order, "_id").limit(n) for k, n in ((1, most // 3), (0, most - most // 3))]
     ids = docs.sparkSession.createDataFrame(picked[0].unionByName(picked[1]).collect(), usable.schema)  # `most` rows at most
     texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_data")).join(F.broadcast(ids), "_id")
-    rows = texts.limit(2 * most).collect()
+    rows = texts.orderBy(order, "_id", "_data", "_label").limit(2 * most).collect()
     rows.sort(key=lambda x: (zlib.crc32(str(x["_id"]).encode()), x["_id"], x["_data"]))
     return fit([bytes(x["_data"]) for x in rows], [x["_label"] for x in rows])
 
