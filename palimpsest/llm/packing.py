@@ -11,7 +11,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -25,9 +25,15 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NO_BLANKS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 #: Lower-case letters that are composed already: no normalising changes a word of them, and it is one pre-token.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Normalising steps that keep words apart: what they make of a word doesn't depend on its neighbours.
+_APART = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Marks that are a pre-token of their own after a letter A-Z.
 _SINGLE = frozenset(b"%c" % c for c in b".,;:!?")
+#: Borders of small lengths and what configurations leave free for them, as shares of the capacity.
+BORDERS = ((0.2, 0.0), (0.2, 0.1), (0.3, 0.0), (0.3, 0.1), (0.35, 0.1), (0.4, 0.1), (0.5, 0.0))
+#: Runs of a plan up to which it is broadcast; a longer one is joined by shuffle.
+MOST_RUNS = 100_000
 #: Rows of one length that are ranked in one task, on average.
 RANK_ROWS = 200_000
 #: Texts whose words are looked up together.
@@ -39,9 +45,9 @@ AT_ONCE = 200
 
 def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Configurations of few sizes and how often each is used: the cutting-stock programme by column generation,
-    rounded down so that no size is used more than its demand."""
+    rounded down so that no size is used more than its demand. A size above the capacity stands alone."""
     m = len(sizes)
-    columns = [[capacity // s if i == j else 0 for i in range(m)] for j, s in enumerate(sizes)]
+    columns = [[max(1, capacity // s) if i == j else 0 for i in range(m)] for j, s in enumerate(sizes)]
     basis = np.array(columns, dtype=float).T
     x = np.array([demand[j] / columns[j][j] for j in range(m)])
     for _ in range(rounds):
@@ -138,14 +144,16 @@ def _best_fit(bins: _Bins, runs: list, length: int, rank: int, count: int, capac
     return next_sequence
 
 
-def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int) -> tuple[int, list]:
-    """Sequences used and runs for one choice of the border of small lengths and of the number of groups."""
+def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int, spare: int = 0) -> tuple[int, list]:
+    """Sequences used and runs for one choice of the border of small lengths, of the number of groups, and of the room
+    that configurations leave to small pieces."""
     runs: list[tuple[int, int, int, int, int, int]] = []
     bins, sequences = _Bins(), 0
     large = [(n, c) for n, c in lengths if n >= small]  # longest first
     total = sum(c for _, c in large)
     used: dict[int, int] = {}
-    if total >= 2 * groups:
+    rest: list[tuple[int, int, int]] = []
+    if total:
         # equal-cardinality groups of the lengths in falling order, each rounded up to its longest
         per, cut, at = -(-total // groups), [], 0
         for n, c in large:
@@ -160,7 +168,7 @@ def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int
         sizes = sorted({size for size, _ in cut}, reverse=True)  # groups with the same rounded size are one
         members = {s: [m for size, ms in cut if size == s for m in ms] for s in sizes}
         demand = [sum(m[2] for m in members[s]) for s in sizes]
-        for pattern, times in _patterns(sizes, demand, capacity):
+        for pattern, times in _patterns(sizes, demand, capacity - spare):
             # substitute actual pieces: position by position, each takes the next ones of its group
             placed: list[list[tuple[int, int, int, int]]] = []
             for i, k in enumerate(pattern):
@@ -185,9 +193,7 @@ def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int
                             load += n
                 bins.add(capacity - load, sequences + a, b - a)
             sequences += times
-        rest: list[tuple[int, int, int]] = sorted((m for ms in members.values() for m in ms if m[2]), reverse=True)
-    else:
-        rest = [(n, 0, c) for n, c in large]
+        rest = sorted((m for ms in members.values() for m in ms if m[2]), reverse=True)
     for n, rank, c in rest:
         sequences = _best_fit(bins, runs, n, rank, c, capacity, sequences)
     for n, c in lengths:
@@ -196,20 +202,27 @@ def _plan(lengths: list[tuple[int, int]], capacity: int, small: int, groups: int
     return sequences, runs
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (24, 60), small: tuple[float, ...] = (0.2, 0.3, 0.5)) -> tuple[int, list]:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (24, 60), borders: tuple[tuple[float, float], ...] = BORDERS) -> tuple[int, list]:
     """(number of sequences, runs) for counts of lengths from 1 to capacity.
 
     A run (length, from rank, to rank, first sequence, pieces in each sequence, offset) places the pieces of that
-    length with those ranks. Every choice of groups (how many sizes large lengths are rounded to) and small (share of
-    the capacity below which lengths go by best fit) is planned, and the plan with the fewest sequences is kept.
+    length with those ranks. Choices of groups (how many sizes large lengths are rounded to) and borders (shares of the
+    capacity below which lengths go by best fit, and that configurations leave free for these) are planned in order,
+    until one needs no more sequences than all lengths together fill; else the plan with the fewest is kept.
     """
     lengths = sorted(((n, c) for n, c in histogram.items() if c > 0), reverse=True)
     if lengths and not 1 <= lengths[-1][0] <= lengths[0][0] <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     whole = [x for x in lengths if x[0] == capacity]
     rest = [x for x in lengths if x[0] < capacity]
-    plans = [_plan(rest, capacity, max(2, int(capacity * s)), g) for s in small for g in groups]
-    sequences, runs = min(plans, key=lambda p: p[0]) if plans else (0, [])
+    bound = -(-sum(n * c for n, c in rest) // capacity)
+    sequences, runs = np.inf, []
+    for g, (small, spare) in product(groups, borders):
+        found = _plan(rest, capacity, max(2, int(capacity * small)), g, int(capacity * spare))
+        if found[0] < sequences:
+            sequences, runs = found
+        if sequences == bound:
+            break
     for n, c in whole:
         runs.append((n, 0, c, sequences, 1, 0))
         sequences += c
@@ -236,7 +249,10 @@ def _encoder(path: str, most: int = 300_000):
         steps = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         first = steps[0]
         by_word = marker and steps[1:] == [_BYTE_LEVEL] and first.get("pattern") == _NO_BLANKS and first.get("behavior") == "Removed" and first.get("invert")
-        lowered = {"type": "Lowercase"} in (made["normalizer"] or {}).get("normalizers", [])
+        normalizer = made["normalizer"] or {"normalizers": []}
+        normalizing = normalizer.get("normalizers", [normalizer])
+        by_word = by_word and all(x in _APART for x in normalizing)
+        lowered = {"type": "Lowercase"} in normalizing
         coded = [i.to_bytes(4, "little") for i in range(model.get_vocab_size())]
         _TOKENS[path] = (model, marker, lowered, coded, Memo(most) if by_word else None)
     model, marker, lowered, coded, memo = _TOKENS[path]
@@ -326,7 +342,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     for r in runs:
         lows.setdefault(r[0], []).append(r[1:])
     schema = f"_length long, _runs array<struct<a:long,b:long,sequence:long,each:long,base:long>>"
-    table = F.broadcast(spark.createDataFrame(list(lows.items()), schema))
+    table = spark.createDataFrame(list(lows.items()), schema)
+    table = F.broadcast(table) if len(runs) <= MOST_RUNS else table
     run = F.filter("_runs", lambda x: (x["a"] <= F.col("_rank")) & (F.col("_rank") < x["b"]))[0]
     placed = ranked.join(table, F.col(length_col) == F.col("_length")).withColumn("_run", run)
     index = F.col("_rank") - F.col("_run.a")
