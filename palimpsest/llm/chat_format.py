@@ -148,16 +148,40 @@ def _digests(rows: list[tuple]) -> pd.DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The rows of a table (conv_id, turn, role, text) as an event log: each row is one message event.
+    """The rows of a table (conv_id, turn, role, text) as an event log whose fold gives the rows back.
 
-    seq is the turn; rows of one turn stay messages of their own (a repeated row too), in the order of role and text.
+    By a hash of the row's place a message is logged as a whole, streamed as deltas, drafted and edited, or drafted and
+    regenerated: an edited one gets its second half as a delta after the edit, a regenerated one comes anew in deltas.
+    Only the first event of a message names its role. seq is (turn, step); rows of one turn stay messages of their own
+    (a repeated row too), in the order of role and text. A null text is empty. The log is in no order.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("seq"),
-        F.lit("message").alias("type"),
+        F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
-        F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.withColumn("nth", nth).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(4)))
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text") - half)
+    draft = F.concat(F.lit("draft "), left)
+    ways = [
+        [("message", F.col("text"))],
+        [("delta", left), ("delta", right)],
+        [("message", draft), ("edit", left), ("delta", right)],
+        [("message", draft), ("delta", left), ("regenerate", F.lit(None).cast("string")), ("delta", left), ("delta", right)],
+    ]
+    logs = [F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("type"), text.alias("text")) for i, (kind, text) in enumerate(way)]) for way in ways]
+    log = F.when(F.col("way") == 0, logs[0])
+    for i, x in enumerate(logs[1:], 1):
+        log = log.when(F.col("way") == i, x)
+    events = rows.select("conv_id", "turn", "nth", "role", F.explode(log).alias("event"))
+    return events.select(
+        "conv_id",
+        F.struct("turn", F.col("event.step").alias("step")).alias("seq"),
+        F.struct("turn", "nth").alias("message_id"),
+        F.col("event.type").alias("type"),
+        F.when(F.col("event.step") == 0, F.col("role")).alias("role"),
+        F.col("event.text").alias("text"),
     )
-    nth = F.row_number().over(Window.partitionBy("conv_id", "seq").orderBy("role", "text"))
-    return rows.withColumn("message_id", F.struct("seq", nth.alias("nth")))

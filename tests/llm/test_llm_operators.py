@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -113,6 +114,20 @@ def test_segmented_forward_backward_is_the_plain_one():
         at += n
 
 
+def test_word_posteriors_sum_over_all_paths():
+    """Against every path of a short text, also where the moves tell nothing and their matrix has no inverse."""
+    r = np.random.default_rng(1)
+    for moves in (r.standard_normal((2, 2)), np.zeros((2, 2))):
+        crf = language_id.Crf(["a", "b"])
+        crf.moves, crf.start = moves, np.array([2.0, -1.0])
+        e, want = r.standard_normal((5, 2)), np.zeros((5, 2))
+        for path in itertools.product(range(2), repeat=5):
+            steps = sum(moves[a, b] for a, b in itertools.pairwise(path))
+            weight = math.exp(crf.start[path[0]] + steps + sum(e[i, k] for i, k in enumerate(path)))
+            want[range(5), path] += weight
+        assert np.abs(crf.posteriors(e, np.array([5])) - want / want.sum(axis=1, keepdims=True)).max() < 1e-9
+
+
 # ---- 3 ----
 
 
@@ -145,6 +160,30 @@ def test_plans_place_every_piece_once(seed):
     assert n <= len(greedy)
 
 
+@pytest.mark.parametrize("low, high", [(532, 921), (400, 1023)])
+def test_configurations_beat_best_fit_on_hard_lengths(low, high):
+    lengths = sorted(np.random.default_rng(low).integers(low, high + 1, 3000).tolist(), reverse=True)
+    free: list[int] = []  # best fit, longest first
+    for n in lengths:
+        i = bisect.bisect_left(free, n)
+        bisect.insort(free, (free.pop(i) if i < len(free) else 2048) - n)
+    assert packing.plan_packing(Counter(lengths), 2048)[0] < 0.97 * len(free)
+
+
+def test_configurations_of_several_pieces_leave_room_for_small_ones():
+    """Where small pieces fill what is left, plans come within a thousandth of the lower bound, which not every set of
+    lengths can reach, with several large pieces a sequence."""
+    r = np.random.default_rng(3)
+    lengths = np.concatenate([r.integers(820, 1100, 3000), r.integers(20, 200, 4000)])
+    sequences, runs = packing.plan_packing(Counter(lengths.tolist()), 2048)
+    assert sequences <= 1.001 * lengths.sum() / 2048 + 1
+    together = Counter()
+    for n, a, b, first, each, _ in runs:
+        if n >= 820:
+            together.update({first + k // each: 1 for k in range(b - a)} if each == 1 else Counter(first + k // each for k in range(b - a)))
+    assert sum(n > 1 for n in together.values()) > sequences / 2
+
+
 def test_packing_round_trip(spark):
     texts = ["the cat sat. " * k for k in (0, 1, 3, 700, 2, 2, 1500)] + [None, "É, ß! 'tis <|endoftext|> A.B, c...", "café " * 30]
     got = packing.pack_documents(docs(spark, texts), WORD).collect()
@@ -294,6 +333,17 @@ def test_chat_round_trip(spark):
             chat_format.parse_turns(bad)
 
 
+def test_event_log_has_deltas_edits_and_regenerations_and_folds_back(spark):
+    turns = [(c, t, "user" if t is None or t % 2 == 0 else "assistant", f"text {c} of {t}"[: 3 * c]) for c in range(8) for t in (None, -1, 0, 1, 2)]
+    turns += [(8, 0, None, None), (8, 0, "user", "same"), (8, 0, "user", "same"), (None, 1, "user", "a\u0301 \U0001f600b")]
+    log = chat_format.conversation_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r[0] for r in log.select("type").distinct().collect()} == set(chat_format.EVENT_TYPES)
+    folded = chat_format.fold_events(log.orderBy(F.rand(1))).orderBy("conv_id", "position").collect()
+    assert Counter((r.conv_id, r.message_id.turn, r.role, r.text) for r in folded) == Counter((*x[:3], x[3] or "") for x in turns)
+    rank = [(r.conv_id is not None, r.conv_id or 0, r.message_id.turn is not None, r.message_id.turn or 0) for r in folded]
+    assert rank == sorted(rank)
+
+
 def test_events_fold(spark):
     rows = [(1, 1, "u", "message", "user", "hi"), (1, 2, "a", "delta", "assistant", "He"), (1, 3, "a", "delta", "assistant", "llo"), (1, 6, "u", "edit", None, "hey"),
             (1, 4, "a", "regenerate", None, None), (1, 5, "a", "delta", None, "Yo"), (2, 1, "m", None, "tool", None)]
