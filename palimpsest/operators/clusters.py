@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,29 +35,21 @@ def cluster_partition(snapshots: DataFrame, sizes: DataFrame, edge_runs: DataFra
     """(cluster_id, first_seq, last_seq, n): greedily from the left, a snapshot joins the open cluster if the similarity
     with it is at least `least`; two empty snapshots are never similar.
 
-    Each cut depends on the one before, so one task scans; it sees (start, end, count) and the sizes, whose number
-    depends on the snapshots and not on the edges.
+    The first snapshot that ends a run is found for each start from all pairs in Spark. Each cut depends on the one
+    before, so one task follows them; it sees one row for each snapshot.
     """
-    counts = edge_runs.groupBy("start", "end").agg(F.count(F.lit(1)).alias("n"))
-    every = snapshots.select("seq").join(sizes, "seq", "left").select(F.col("seq").alias("start"), F.lit(-1).alias("end"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("n"))
-
-    def cut(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["end"] < 0].sort_values("start")["n"].to_numpy()
-        spans = g[g["end"] >= 0]
-        start, end, n = (spans[c].to_numpy() for c in ("start", "end", "n"))
-        out, first, total = [], 0, 0
-        for j in range(len(own)):
-            total += own[j]
-            common = n[(start <= first) & (end >= j)].sum()
-            if j > first and not (total > 0 and (j - first + 1) * common / total >= least):
-                out.append((first, j - 1))
-                first, total = j, own[j]
-        if len(own):
-            out.append((first, len(own) - 1))
-        return pd.DataFrame([(k, a, b, b - a + 1) for k, (a, b) in enumerate(out)], columns=["cluster_id", "first_seq", "last_seq", "n"])
-
-    rows = counts.unionByName(every).withColumn("all", F.lit(1))
-    return rows.groupBy("all").applyInPandas(lambda g: cut(g), "cluster_id int, first_seq int, last_seq int, n int")
+    close = F.coalesce(F.col("similarity") >= least, F.lit(False))
+    cuts = run_similarity(snapshots, sizes, edge_runs).groupBy("i").agg(F.min(F.when((F.col("j") > F.col("i")) & ~close, F.col("j"))).alias("next"))
+
+    def follow(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i")
+        after, out, at = g["next"].fillna(len(g)).astype(int).tolist(), [], 0
+        while at < len(after):
+            out.append((len(out), at, after[at] - 1, after[at] - at))
+            at = after[at]
+        return pd.DataFrame(out, columns=["cluster_id", "first_seq", "last_seq", "n"])
+
+    return cuts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda g: follow(g), "cluster_id int, first_seq int, last_seq int, n int")
 
 
 def cluster_members(snapshots: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -33,10 +33,25 @@ def match(code: str, presence: DataFrame) -> DataFrame:
     return out.select(F.array(*[names[i] for i in sorted(names)]).alias("v"), "start", "end").distinct()
 
 
-def contained(embeddings: DataFrame, graph: DataFrame, *keys: str) -> DataFrame:
-    """Rows of embeddings (keys..., code, v) all of whose edges are in graph (keys..., src, dst, sl, el, dl)."""
+def _edges(embeddings: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., code, v, src, dst, el, sl, dl): each edge of each embedding once."""
     e = embeddings.select(*keys, "code", "v", F.explode(code_array(F.col("code"))).alias("e"))
-    pairs = e.select(*keys, "code", "v", F.element_at("v", F.col("e.f") + 1).alias("src"), F.element_at("v", F.col("e.t") + 1).alias("dst"), F.col("e.el").alias("el"), F.col("e.fl").alias("sl"), F.col("e.tl").alias("dl"))
-    own = both_ways(graph).select(*keys, "src", "dst", "sl", "el", "dl")
-    held = pairs.distinct().join(own.distinct(), [*keys, "src", "dst", "sl", "el", "dl"]).groupBy(*keys, "code", "v").count()
+    ends = [F.element_at("v", F.col(f"e.{x}") + 1).alias(name) for x, name in (("f", "src"), ("t", "dst"))]
+    return e.select(*keys, "code", "v", *ends, F.col("e.el").alias("el"), F.col("e.fl").alias("sl"), F.col("e.tl").alias("dl")).distinct()
+
+
+def _whole(embeddings: DataFrame, graph: DataFrame, edges_keys: list[str], keys: list[str]) -> DataFrame:
+    own = both_ways(graph).select(*keys, "src", "dst", "sl", "el", "dl").distinct()
+    held = _edges(embeddings, *edges_keys).join(own, [*edges_keys, "src", "dst", "sl", "el", "dl"]).groupBy(*keys, "code", "v").count()
     return held.filter(F.col("count") == F.size(code_array(F.col("code")))).drop("count")
+
+
+def contained(embeddings: DataFrame, graph: DataFrame, *keys: str) -> DataFrame:
+    """Rows of embeddings (keys..., code, v) all of whose edges are in graph (keys..., src, dst, sl, el, dl)."""
+    return _whole(embeddings, graph, list(keys), list(keys))
+
+
+def containing(embeddings: DataFrame, graphs: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., code, v): each of the graphs (keys..., src, dst, sl, el, dl) that holds all edges of an embedding (code,
+    v). Embeddings meet graphs by their edges, so those without a common edge are never paired."""
+    return _whole(embeddings, graphs, [], list(keys))

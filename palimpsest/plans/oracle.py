@@ -213,3 +213,6 @@ ORACLE_SQL: dict[str, str] = {
     "stream_window_edges": f"""WITH {TRADE}, {_WIN.format(s='trade_s', w=12)}
         SELECT win, least(sl, dl) AS sl, el, greatest(sl, dl) AS dl, count(DISTINCT seq) AS support FROM trade JOIN win USING (seq) GROUP BY ALL HAVING count(DISTINCT seq) >= ceil(12 * 0.8::DOUBLE)""",
 }
+
+#: What a sink wrote and read back is what it was given.
+ORACLE_SQL |= {"dictionary_sink": ORACLE_SQL["entity_ids"], "window_sink": ORACLE_SQL["window_mine"]}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_array, code_graph, code_text, is_min_code, node_count
 from ..model import History, ends_of, materialize, scratch, threshold
 from ..operators import clean, clusters, history, mine, stats, windows
-from ..operators.match import contained, match
-from ..sources import graph_text, mail, tables
+from ..operators.match import containing, match
+from ..sources import graph_text, mail, results, tables
 from ..streaming.windows import stream_from_table
 
 MIN_SUP, SIMILARITY, WINDOW, SLIDE, HUB = 0.5, 0.7, 12, 3, 8
@@ -109,6 +109,13 @@ def entity_ids(s: SparkSession, d: str) -> DataFrame:
     return clean.entity_ids(names, "name", ["o", "line", "side"])
 
 
+def dictionary_sink(s: SparkSession, d: str) -> DataFrame:
+    """The dictionary of names, written as lines and read back."""
+    path = scratch(s, "dictionary")
+    results.write_dictionary(entity_ids(s, d), path)
+    return s.read.schema("name string, id long").csv(path)
+
+
 def stable_labels(s: SparkSession, d: str) -> DataFrame:
     e = tables.supply(s, d).edges
     return e.select("seq", "src", "dst", clean.stable_vertex_label(F.col("src")).alias("sl"), clean.stable_edge_label(F.col("src"), F.col("dst")).alias("el"), clean.stable_vertex_label(F.col("dst")).alias("dl"))
@@ -312,8 +319,7 @@ def embedding_contained(s: SparkSession, d: str) -> DataFrame:
     _, _, runs, own = _clustered(s, d)
     graphs = clusters.intersection(runs, own, clusters.EDGE_KEY)
     found = match(PATH, runs).select("v", F.lit(PATH).alias("code")).distinct()
-    asked = found.join(own.select("cluster_id", F.lit(PATH).alias("code")), "code")
-    return contained(asked.select("cluster_id", "code", "v"), graphs, "cluster_id").select("cluster_id", *_v("v"))
+    return containing(found, graphs, "cluster_id").select("cluster_id", *_v("v"))
 
 
 def code_parse(s: SparkSession, d: str) -> DataFrame:
@@ -358,6 +364,13 @@ def window_mine(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("name", F.format_string("WIN%03d", "win"))
 
 
+def window_sink(s: SparkSession, d: str) -> DataFrame:
+    """Windows' patterns, written as one folder a window and read back."""
+    found, path = window_mine(s, d), scratch(s, "windows")
+    results.write_windows(found.drop("name"), path)
+    return s.read.schema(found.schema).parquet(path)
+
+
 def _window_edges(s: SparkSession, d: str, w: int) -> DataFrame:
     h = tables.supply(s, d)
     return windows.window_mine(h, w, SLIDE, MIN_SUP, 1)
@@ -388,6 +401,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_stats, cluster_members, cluster_retire, frequent_points, frequent_edges, grow_two_edge, grow_triangle, grow_all_triangles, support_by_intervals,
         min_code_check, mine_patterns, mine_patterns_3, pattern_occurrences, embedding_counts, match_path, match_triangle, embedding_contained,
         code_parse, pattern_graph, pattern_summary, pattern_text, pattern_state, window_assign, window_delta, window_mine, window_changes,
-        compare_results, stream_window_edges,
+        compare_results, stream_window_edges, dictionary_sink, window_sink,
     )
 }

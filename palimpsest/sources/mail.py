@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,14 @@ def header(text: Column, name: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(rf"(?m)^{name}:")), found)
 
 
+def read_mails(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the messages below a folder, however deep, one file each; line ends become newlines and only the
+    header block, up to the first empty line, is kept."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    lines = F.regexp_replace("value", r"\r\n?", "\n")
+    return files.select(F.col("_metadata.file_path").alias("file"), F.substring_index(lines, "\n\n", 1).alias("value"))
+
+
 def parse_mail(messages: DataFrame, text_col: str = "value") -> DataFrame:
     """(msg_id, ts, sender, recipients array) of one header block a row. Dates are read as 24-hour time with their zone;
     a mail without To has one empty recipient; one without From has a null sender."""
