@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .chat_format import conversation_events, digest_formatted, fold_events, render_messages
+from .collocations import collocations
 from .decontamination import find_benchmark
 from .embedding_dedup import near_duplicates
 from .language_id import predict_language
 from .license_scan import scan_licenses
 from .lm_scoring import score_documents
+from .mixing import mix_sources
 from .ngram_join import near_copies
 from .packing import pack_documents
 from .token_counts import count_tokens
@@ -75,6 +78,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,4 +185,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
     """,
+    "op11_collocations": """
+        WITH p AS (
+            SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+        ), n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM p, (SELECT unnest(range(1, 6)) AS k)),
+        f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT f.lang, f.k, f.g, f.f AS a, cut, x.f AS l, y.f AS r, n.n, CAST(1000::HUGEINT * f.f * n.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM f JOIN (SELECT unnest(range(1, 5)) AS cut) ON cut < f.k JOIN f x ON x.lang = f.lang AND x.g = f.g[1:cut] JOIN f y ON y.lang = f.lang AND y.g = f.g[cut + 1:]
+            JOIN n ON n.lang = f.lang),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        inside AS (SELECT lang, unnest([g[1:k - 1], g[2:]]) AS g, f FROM f WHERE k > 2),
+        kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM b
+            WHERE NOT EXISTS (FROM inside i WHERE i.lang = b.lang AND i.g = b.g AND 100 * i.f >= 100 * b.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept QUALIFY rank <= 2000
+    """,
+    "op12_source_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents
+        ), s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+        w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM s),
+        o AS (SELECT *, sum(ss) OVER () AS total, sum(w) OVER (ORDER BY ss * 6 // w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w,
+            coalesce(sum(ss) OVER (ORDER BY ss * 6 // w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+        u AS (SELECT *, 3 * ss * open_w < w * (total - 3 * before) AS above FROM o),
+        v AS (SELECT CAST(sum(ss) - 3 * coalesce(sum(ss) FILTER (above), 0) AS BIGINT) AS left_, CAST(coalesce(sum(w) FILTER (NOT above), 1) AS BIGINT) AS share FROM u),
+        t AS (SELECT source, ss, CASE WHEN above THEN CAST(3 * ss AS DOUBLE) ELSE CAST(w * left_ AS DOUBLE) / share END AS target, CASE WHEN above THEN 3 * ss ELSE w * left_ // share END AS budget FROM u, v),
+        q AS (SELECT *, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS whole, CASE WHEN ss > 0 THEN budget % ss ELSE 0 END AS rest FROM t),
+        g AS (SELECT source, h, sum(size) AS gs, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h)
+        SELECT d.doc_id, d.size, q.ss AS source_size, q.target, CAST(d.size * q.whole + CASE WHEN upto <= rest THEN d.size WHEN upto - gs < rest THEN d.size * (rest - (upto - gs)) // gs ELSE 0 END AS BIGINT) AS taken
+        FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h
+    """,
 }
