@@ -17,7 +17,7 @@ from .common import Memo, encode_apart, lean, materialize
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, same binary, pairs binary"
 #: Texts aligned together, and pieces of text whose alignment a worker keeps.
-AT_ONCE, KEPT = 200, 150_000
+AT_ONCE, KEPT = 400, 300_000
 #: A run of blanks and the word after it. No token of either tokenizer spans two of them: blanks join what follows only.
 _PIECE = re.compile(r"[ \t\n\v\f]*[^ \t\n\v\f]+|[ \t\n\v\f]+")
 #: Characters that are blanks to one tokenizer only, join words in pieces, or stand for a blank: such texts go whole.
@@ -64,6 +64,8 @@ class Vocabularies:
         self.same = np.array([first.get(x, -1) if x else -1 for x in self.a], dtype=np.int64)
         self.a_length, self.b_length = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a, self.b))
         self.n_b = len(self.b)
+        #: Ids as text, each with what may follow it: another token of its side and group, B's side, a group, a part.
+        self.written = [f"{i}{after}" for i in range(max(len(self.a), self.n_b)) for after in (",", "|", ";", "\n")]
         inside = {c for p in pieces if len(p) > 1 and not _BYTE_PIECE.fullmatch(p) for c in p}
         self.cut = next(c for c in map(chr, range(1, 32)) if c not in inside and c not in " \t\n\v\f\r")  # joins nothing
         self.cut_id = self.model_b.encode(self.cut)[-1]
@@ -113,56 +115,75 @@ def _vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return _LOADED[a_path, b_path]
 
 
-def align_ids(v: Vocabularies, data: bytes, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes, list[int], list[int]] | None:
-    """(groups, their text, A's ids of groups of one token each with equal bytes, codes of the other groups' last tokens);
-    None if either side's bytes aren't data. A code is A's id times B's number of ids plus B's id."""
-    if b"".join([v.a[i] for i in a.tolist()]) != data or b"".join([v.b[i] for i in b.tolist()]) != data:
-        return None
-    if len(a) == len(b) == 1:  # most pieces: one group
-        x, y = int(a[0]), int(b[0])
-        return (1, b"%d|%d" % (x, y), [x], []) if v.same[x] == y else (1, b"%d|%d" % (x, y), [], [x * v.n_b + y])
-    end_a, end_b = np.cumsum(v.a_length[a]), np.cumsum(v.b_length[b])
-    ends = np.intersect1d(end_a, end_b)
+def align_parts(v: Vocabularies, parts: list[bytes], a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple | None]:
+    """For each part of text, from both tokenizers' ids: (n_a, n_b, groups, their text, A's ids of groups of one token each
+    with equal bytes, codes of the other groups' last tokens); None where either side's bytes aren't the part's. A code
+    is A's id times B's number of ids plus B's id. All parts are aligned as one text, as each part's end is a group's."""
+    if not parts:
+        return []
+    whole = b"".join(parts)
+    n_a, n_b, size = ([len(x) for x in side] for side in (a, b, parts))
+    a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    end_a, end_b, end = np.cumsum(v.a_length[a]), np.cumsum(v.b_length[b]), np.cumsum(size)
+    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)  # a part's end among the tokens of either side
+    at_a, at_b = (np.concatenate([[0], x])[y] for x, y in ((end_a, stop_a), (end_b, stop_b)))
+    spelt = b"".join(map(v.a.__getitem__, a.tolist())) == whole == b"".join(map(v.b.__getitem__, b.tolist()))
+    if not (spelt and (at_a == end).all() and (at_b == end).all()):
+        if len(parts) == 1:
+            return [None]
+        cut = lambda side, stops: np.split(side, stops[:-1])
+        return [align_parts(v, [p], [x], [y])[0] for p, x, y in zip(parts, cut(a, stop_a), cut(b, stop_b), strict=True)]
+    ends = np.intersect1d(end_a, end_b, assume_unique=True)
     last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-    pairs, text = a[last_a] * v.n_b + b[last_b], []
     one = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (v.same[a[last_a]] == b[last_b])
-    words_a, words_b, i, j = a.tolist(), b.tolist(), 0, 0
-    for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-        text.append(",".join(map(str, words_a[i:x])) + "|" + ",".join(map(str, words_b[j:y])))
+    stop = np.searchsorted(ends, end) + 1  # a part's end among the groups
+    # tokens in the order of the text of groups: A's of a group, then B's; what follows a token is told by its place
+    after_a, after_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    after_a[last_a], after_b[last_b], after_b[last_b[stop - 1]] = 1, 2, 3
+    group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+    order = np.empty(len(a) + len(b), dtype=np.int64)
+    order[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = a * 4 + after_a
+    order[np.arange(len(b)) + (last_a + 1)[group_b]] = b * 4 + after_b
+    text = "".join(map(v.written.__getitem__, order.tolist())).encode().split(b"\n")
+    same, pairs = a[last_a[one]].tolist(), (a[last_a] * v.n_b + b[last_b])[~one].tolist()
+    to_same = np.cumsum(one)[stop - 1].tolist()
+    to_pairs = np.cumsum(~one)[stop - 1].tolist()
+    groups = np.diff(stop, prepend=0).tolist()
+    out, i, j = [], 0, 0
+    for part in zip(n_a, n_b, groups, text, to_same, to_pairs, strict=False):
+        x, y = part[4], part[5]
+        out.append((*part[:4], tuple(same[i:x]), tuple(pairs[j:y])))
         i, j = x, y
-    return len(ends), ";".join(text).encode(), a[last_a[one]].tolist(), pairs[~one].tolist()
+    return out
 
 
 def aligner(v: Vocabularies):
     """texts -> for each (n_a, n_b, groups, text of the groups, A's ids of equal groups, codes of the others).
 
-    Pieces of a text are aligned once and kept: (n_a, n_b, groups, text, ids, codes). A text with odd characters, or with a
-    piece whose bytes differ, is encoded whole."""
+    Pieces of a text are aligned once and kept: what align_parts() gives. A text with odd characters, or with a piece whose
+    bytes differ, is encoded whole."""
     memo = Memo(KEPT)
-    nothing = (0, 0, 0, b"", [], [])
+    nothing = (0, 0, 0, b"", (), ())
 
     def whole(text: str) -> tuple:
         a = np.array(v.model_a.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
         b = np.array(v.model_b.encode(text), dtype=np.int64)
-        found = align_ids(v, b" " + text.encode(), a, b)
-        return nothing if found is None else (len(a), len(b), *found)
+        return align_parts(v, [b" " + text.encode()], [a], [b])[0] or nothing
 
-    def some(texts: list[str]) -> list[tuple]:
+    def some(texts: list[str]) -> Iterator[tuple]:
         memo.age()
         cut = [None if not v.pieced or _ODD.search(x) else _PIECE.findall(" " + x) for x in texts]
         new = list(memo.unknown(set(chain.from_iterable(p for p in cut if p))))
-        for piece, a, b in zip(new, v.ids_a(new), v.ids_b(new), strict=True):
-            found = align_ids(v, piece.encode(), a.astype(np.int64), b)
-            memo.now[piece] = None if found is None else (len(a), len(b), *found)
-        out = []
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            memo.now.update(zip(part, align_parts(v, [p.encode() for p in part], v.ids_a(part), v.ids_b(part)), strict=True))
         for text, pieces in zip(texts, cut, strict=True):
             got = [None] if pieces is None else list(map(memo.now.__getitem__, pieces))
             if None in got:
-                out.append(whole(text))
+                yield whole(text)
                 continue
             n_a, n_b, groups, words, same, pairs = zip(*got, strict=True)
-            out.append((sum(n_a), sum(n_b), sum(groups), b";".join(words), chain.from_iterable(same), chain.from_iterable(pairs)))
-        return out
+            yield sum(n_a), sum(n_b), sum(groups), b";".join(words), chain.from_iterable(same), chain.from_iterable(pairs)
 
     return lambda texts: (x if t else nothing for i in range(0, len(texts), AT_ONCE) for t, x in zip(texts[i : i + AT_ONCE], some(texts[i : i + AT_ONCE]), strict=True))
 
