@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import lean, materialize
 
 GRAMS = "lang string, k int, gram string, c long"
-#: Entries of each of the two tables of bucket counts (words, pairs of words), and of one block of a table.
-BUCKETS, BLOCK = 1 << 24, 1 << 18
+#: Words of the grams whose hashes are counted in tables of bucket counts, entries of each table and of one block of it.
+TABLES, BUCKETS, BLOCK = 3, 1 << 24, 1 << 18
 #: Tables of tasks that one task adds up.
 FAN_IN = 64
 #: Bytes of text looked at together.
@@ -72,8 +72,20 @@ class Chunk:
         return _mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts] + np.uint64(salt))
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(a * _STEP + b)
+    def places(self, k: int) -> np.ndarray:
+        """Where k words of one piece begin."""
+        on = self.joined[: max(len(self.joined) - max(k - 2, 0), 0)].copy() if k > 1 else np.ones(len(self.starts), dtype=bool)
+        for j in range(1, k - 1):
+            on &= self.joined[j : j + len(on)]
+        return np.flatnonzero(on)
+
+
+def gram_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each of the places."""
+    out = h[at]
+    for j in range(1, k):
+        out = _mix(out * _STEP + h[at + j])
+    return out
 
 
 def chunks(batch: pd.DataFrame) -> Iterator[tuple[str, int, Chunk]]:
@@ -91,27 +103,27 @@ def chunks(batch: pd.DataFrame) -> Iterator[tuple[str, int, Chunk]]:
             at = end
 
 
-def possible_pairs(texts: DataFrame, least: int) -> tuple[bytes, bytes]:
-    """Bits of the buckets whose words, or pairs of words, occur at least `least` times in all: others can't be in a phrase.
+def possible_grams(texts: DataFrame, least: int) -> list[bytes]:
+    """For words, pairs and threes of words, bits of the buckets whose grams occur at least `least` times in all: others
+    can't be in a phrase.
 
-    Each task counts into two tables of BUCKETS entries and writes them in blocks, which are added up FAN_IN at a time;
-    counts stop at `least`. The result has BUCKETS / 8 bytes a table whatever the input; more text than the tables can
-    tell apart only makes them say yes more often.
+    Each task counts into a table of BUCKETS entries for each length and writes it in blocks, which are added up FAN_IN
+    at a time; counts stop at `least`. The result has BUCKETS / 8 bytes a table whatever the input; more text than the
+    tables can tell apart only makes them say yes more often.
     """
     kind = np.min_scalar_type(least)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tables = np.zeros((2, BUCKETS), dtype=np.uint32)
+        tables = np.zeros((TABLES, BUCKETS), dtype=np.uint32)
         for batch in batches:
             for _, salt, c in chunks(batch):
                 h = c.hashes(1, salt)
-                np.add.at(tables[0], (h % np.uint64(BUCKETS)).astype(np.int64), 1)
-                i = np.flatnonzero(c.joined)
-                np.add.at(tables[1], (pair_hash(h[i], h[i + 1]) % np.uint64(BUCKETS)).astype(np.int64), 1)
+                for k in range(1, TABLES + 1):
+                    np.add.at(tables[k - 1], (gram_hash(h, c.places(k), k) % np.uint64(BUCKETS)).astype(np.int64), 1)
         task = TaskContext.get().partitionId()
-        for which in (0, 1):
+        for which in range(TABLES):
             for block in range(BUCKETS // BLOCK):
                 part = tables[which, block * BLOCK : (block + 1) * BLOCK]
                 if part.any():
@@ -129,11 +141,11 @@ def possible_pairs(texts: DataFrame, least: int) -> tuple[bytes, bytes]:
     while (tables.agg(F.max("task")).first()[0] or 0) > 0:
         groups = tables.groupBy("which", "block", F.floor(F.col("task") / FAN_IN).alias("group"))
         tables = materialize(groups.applyInPandas(lambda g: add(g), schema), "bucket-counts")
-    bits = np.zeros((2, BUCKETS // 8), dtype=np.uint8)
+    bits = np.zeros((TABLES, BUCKETS // 8), dtype=np.uint8)
     for row in tables.collect():  # BUCKETS / BLOCK rows a table
         part = np.packbits(np.frombuffer(zlib.decompress(row["counts"]), dtype=kind) >= least, bitorder="little")
         bits[row["which"], row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = part
-    return bits[0].tobytes(), bits[1].tobytes()
+    return [x.tobytes() for x in bits]
 
 
 def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -143,35 +155,34 @@ def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def count_grams(texts: DataFrame, least: int, most_words: int) -> DataFrame:
     """(lang, k, gram, c): for each place the longest run of at most most_words words from there in its piece all of whose
-    words and pairs may be frequent, counted; k = 0: all words. A frequent phrase is a prefix of the gram of each of its
+    words, pairs and threes may be frequent, counted; k = 0: all words. A frequent phrase is a prefix of the gram of each of its
     places. Places are first added up in each chunk of text, by two hashes of the gram; rows hold its words."""
     spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(possible_pairs(texts, least))
+    held = spark.sparkContext.broadcast(possible_grams(texts, least))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, pairs = (np.frombuffer(x, dtype=np.uint8) for x in held.value)
+        bits = [np.frombuffer(x, dtype=np.uint8) for x in held.value]
         for batch in batches:
             for lang, salt, c in chunks(batch):
                 n = len(c.starts)
                 if not n:
                     continue
                 h, other = c.hashes(1, salt), c.hashes(2, salt)
-                may = _bit(words, h)
-                on = np.zeros(n + 1, dtype=np.int8)
-                i = np.flatnonzero(c.joined)
-                on[i] = may[i] & may[i + 1] & _bit(pairs, pair_hash(h[i], h[i + 1]))
-                run = on.copy()
-                for _ in range(most_words - 2):
-                    run[:-1] = on[:-1] * (1 + run[1:])
-                length = np.where(may, 1 + run[:n], 0)
+                may, length = np.ones(n + most_words, dtype=bool), np.zeros(n, dtype=np.int64)
+                for k in range(1, most_words + 1):  # may: whether the k words from a place may be frequent
+                    at = c.places(k)
+                    at = at[may[at] & may[at + 1]] if k > 1 else at
+                    if k <= TABLES:
+                        at = at[_bit(bits[k - 1], gram_hash(h, at, k))]
+                    may[:] = False
+                    may[at] = True
+                    length[at] = k
                 yield pd.DataFrame({"lang": [lang], "k": [0], "gram": [""], "c": [n]})
                 for k in range(1, most_words + 1):
                     at = np.flatnonzero(length == k)
                     if not len(at):
                         continue
-                    a, b = h[at], other[at]
-                    for j in range(1, k):
-                        a, b = pair_hash(a, h[at + j]), pair_hash(b, other[at + j])
+                    a, b = gram_hash(h, at, k), gram_hash(other, at, k)
                     order = np.argsort(a)
                     a, b = a[order], b[order]
                     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
