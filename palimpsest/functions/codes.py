@@ -72,38 +72,67 @@ def right_most_path(code: list[Edge]) -> list[int]:
     return path
 
 
+def _twins(labels: dict[int, int], near: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
+    """For each vertex the first one with which it can change places, whatever the others do: both have one label and the
+    same labelled edges to all others."""
+    edges = {a: dict(ends) for a, ends in near.items()}
+    swap = lambda u, v: labels[u] == labels[v] and {x: e for x, e in edges[u].items() if x != v} == {x: e for x, e in edges[v].items() if x != u}
+    out: dict[int, int] = {}
+    for v in sorted(near):
+        out[v] = next((u for u in out if out[u] == u and swap(u, v)), v)
+    return out
+
+
 def min_dfs_code(code: list[Edge]) -> list[Edge]:
-    """The least code of the code's pattern: grown edge by edge, with every traversal that gives the least so far."""
+    """The least code of the code's pattern: grown edge by edge, with every traversal that gives the least so far.
+
+    Two traversals that used the same edges and hold the same vertices on the right-most path go on alike, so they are one
+    state. Of unvisited vertices that can change places only the first is visited: changing them maps the pattern to
+    itself and leaves what is visited alone.
+    """
     labels, near = {}, {}
     for f, t, fl, el, tl in code:
         labels[f], labels[t] = fl, tl
         near.setdefault(f, []).append((t, el))
         near.setdefault(t, []).append((f, el))
+    twin = _twins(labels, near)
+    members: dict[int, list[int]] = {}
+    for v in sorted(twin):
+        members.setdefault(twin[v], []).append(v)
+    first = lambda v, visited: all(u == v or u in visited for u in members[twin[v]][: members[twin[v]].index(v) + 1])
     start = min((labels[a], el, labels[b]) for a in near for b, el in near[a])
     out: list[Edge] = [(0, 1, *start)]
-    states = [([a, b], {(a, b), (b, a)}) for a in near for b, el in near[a] if (labels[a], el, labels[b]) == start]
+    states = [({0: a, 1: b}, frozenset((a, b)), frozenset([(a, b), (b, a)])) for a in near if first(a, ()) for b, el in near[a] if first(b, (a,)) and (labels[a], el, labels[b]) == start]
+    n = 2
     while len(out) < len(code):
-        path, n = right_most_path(out), len(states[0][0])
-        best, following = None, []
-        for order, used in states:
-            place = {v: i for i, v in enumerate(order)}
+        path = right_most_path(out)
+        best, following = None, {}
+        for order, visited, used in states:  # order: the vertices of the right-most path by their place
+            place = {v: i for i, v in order.items()}
             for p in path:
                 for b, el in near[order[p]]:
                     if (order[p], b) in used:
                         continue
-                    if b not in place:
+                    if b not in visited:
                         e = (p, n, labels[order[p]], el, labels[b])
-                    elif p == path[0] and place[b] in path:
+                    elif p == path[0] and b in place:
                         e = (p, place[b], labels[order[p]], el, labels[b])
                     else:
                         continue
                     k = _key(e)
+                    if best is not None and k > best[0] or b not in visited and not first(b, visited):
+                        continue
                     if best is None or k < best[0]:
-                        best, following = (k, e), []
-                    if k == best[0]:
-                        following.append((order + [b] if b not in place else order, used | {(order[p], b), (b, order[p])}))
+                        best, following = (k, e), {}
+                    if b in visited:
+                        then = order
+                    else:
+                        then = {i: v for i, v in order.items() if i <= p} | {n: b}
+                    edges = used | {(order[p], b), (b, order[p])}
+                    following[edges, tuple(sorted(then.items()))] = (then, visited | {b}, edges)
         out.append(best[1])
-        states = following
+        n += best[1][0] < best[1][1]
+        states = list(following.values())
     return out
 
 

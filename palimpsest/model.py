@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -48,19 +47,35 @@ def ends_of(edges: DataFrame, *keys: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors must share; an error where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again, so that its lineage ends there."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again, so that its lineage ends there; by: columns whose values
+    get a folder each, so that filters on them read those folders alone."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders batch=... below a path, rising; none where it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(x.removeprefix("batch=")) for x in names if x.startswith("batch="))
+
+
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the folders of the batches before that one."""
+    for b in batches_of(spark, path):
+        if b < before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def threshold(n: int, min_sup: float) -> int:

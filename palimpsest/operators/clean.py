@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import ends_of, numbered
+from ..model import ends_of, materialize, numbered
+from .order import numbered_by_ranges
 
 
 def undirected(edges: DataFrame, *keys: str) -> DataFrame:
@@ -40,38 +38,45 @@ def remove_hubs(edges: DataFrame, most: int, mode: str = "together") -> DataFram
     """Edges (seq, src, dst, ...) without vertices of degree over most; vertices left without edges vanish with them.
 
     together: all first hubs go at once. sequential: in each snapshot, ids in rising order, a vertex goes if its degree
-    is over most when its turn comes, after the earlier ones have gone.
+    is over most when its turn comes, after the earlier ones have gone; see _sequential_hubs().
     """
     if mode == "sequential":
-        names = edges.columns
-
-        def peel(g: pd.DataFrame) -> pd.DataFrame:
-            near: dict[int, set[int]] = {}
-            for a, b in zip(g["src"], g["dst"]):
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-            gone = set()
-            for v in sorted(near):
-                if len(near[v]) > most:
-                    gone.add(v)
-                    for x in near.pop(v):
-                        near[x].discard(v)
-            return g[~g["src"].isin(gone) & ~g["dst"].isin(gone)][names]
-
-        return edges.groupBy("seq").applyInPandas(peel, edges.schema)
-    hubs = both_ways(edges.select("seq", "src", "dst")).groupBy("seq", "src").count().filter(F.col("count") > most).select("seq", F.col("src").alias("vid"))
+        hubs = _sequential_hubs(edges.select("seq", "src", "dst"), most)
+    else:
+        hubs = both_ways(edges.select("seq", "src", "dst")).groupBy("seq", "src").count().filter(F.col("count") > most).select("seq", F.col("src").alias("vid"))
+    names = edges.columns
     for end in ("src", "dst"):
         edges = edges.join(hubs.withColumnRenamed("vid", end), ["seq", end], "left_anti")
-    return edges
+    return edges.select(*names)
+
+
+def _sequential_hubs(edges: DataFrame, most: int) -> DataFrame:
+    """(seq, vid): the vertices that go in sequence, by rounds over all snapshots together.
+
+    Only vertices whose first degree is over most can go. In a round, an undecided one stays if its degree without those
+    gone before is not over most, and goes if it is over most even without its undecided neighbours of smaller id. The
+    least undecided one of a snapshot is always decided, in practice most at once. Only neighbours of hubs are kept, as
+    links between candidates and one count for each of the others; each round is written.
+    """
+    near = both_ways(edges.filter("src <> dst").distinct())
+    degrees = near.groupBy("seq", F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") > most)
+    now = materialize(degrees.withColumn("state", F.lit("open")), "hubs")  # open, gone or stays
+    own = now.select("seq", "vid")
+    links = near.filter("dst < src").join(own.withColumnRenamed("vid", "src"), ["seq", "src"], "left_semi").join(own.withColumnRenamed("vid", "dst"), ["seq", "dst"], "left_semi")
+    links = materialize(links.select("seq", F.col("src").alias("vid"), F.col("dst").alias("other")), "hub-links")
+    while not now.filter("state = 'open'").isEmpty():
+        others = now.select("seq", F.col("vid").alias("other"), F.col("state").alias("s"))
+        before = links.join(others, ["seq", "other"]).groupBy("seq", "vid").agg(F.count(F.when(F.col("s") == "gone", 1)).alias("gone"), F.count(F.when(F.col("s") == "open", 1)).alias("open"))
+        left = F.col("degree") - F.coalesce("gone", F.lit(0))
+        state = F.when(F.col("state") != "open", F.col("state")).when(left <= most, "stays").when(left - F.coalesce("open", F.lit(0)) > most, "gone").otherwise("open")
+        now = materialize(now.join(before, ["seq", "vid"], "left").select("seq", "vid", "degree", state.alias("state")), "hubs")
+    return now.filter("state = 'gone'").select("seq", "vid")
 
 
 def entity_ids(names: DataFrame, name_col: str, order: list[str], start: int = 0) -> DataFrame:
-    """(name, id): numbers in the order of first sight (ties by name). The numbering counts names before each range
-    partition, so no task holds all names."""
+    """(name, id): numbers in the order of first sight (ties by name), given out by sampled ranges of that order."""
     first = names.groupBy(F.col(name_col).alias("name")).agg(F.min(F.struct(*order)).alias("at")).filter("name is not null")
-    schema = "name string, id long"
-    indexed = first.orderBy("at", "name").select("name").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + start))
-    return names.sparkSession.createDataFrame(indexed, schema)
+    return numbered_by_ranges(first, ["at", "name"], "id", start).select("name", "id")
 
 
 def stable_vertex_label(vid: Column, values: int = 100) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +35,49 @@ def run_similarity(snapshots: DataFrame, sizes: DataFrame, edge_runs: DataFrame)
 
 def cluster_partition(snapshots: DataFrame, sizes: DataFrame, edge_runs: DataFrame, least: float) -> DataFrame:
     """(cluster_id, first_seq, last_seq, n): greedily from the left, a snapshot joins the open cluster if the similarity
-    with it is at least `least`; two empty snapshots are never similar.
+    with it is at least `least`; two empty snapshots are never similar. snapshots: seq from 0 without gaps.
 
-    The first snapshot that ends a run is found for each start from all pairs in Spark. Each cut depends on the one
-    before, so one task follows them; it sees one row for each snapshot.
+    Each cut depends on the one before, so one task follows them, as a stream over the sorted starts: runs are counted by
+    (start, end) in Spark first, and the task gets one row for each such pair and each snapshot. It holds the common count
+    of the open cluster, from which runs leave at their end, and how many runs end where: as many numbers as snapshots.
+    A cut takes in the runs that began since the last one; pairs of snapshots are never listed.
     """
-    close = F.coalesce(F.col("similarity") >= least, F.lit(False))
-    cuts = run_similarity(snapshots, sizes, edge_runs).groupBy("i").agg(F.min(F.when((F.col("j") > F.col("i")) & ~close, F.col("j"))).alias("next"))
-
-    def follow(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("i")
-        after, out, at = g["next"].fillna(len(g)).astype(int).tolist(), [], 0
-        while at < len(after):
-            out.append((len(out), at, after[at] - 1, after[at] - at))
-            at = after[at]
-        return pd.DataFrame(out, columns=["cluster_id", "first_seq", "last_seq", "n"])
-
-    return cuts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda g: follow(g), "cluster_id int, first_seq int, last_seq int, n int")
+    ends = edge_runs.groupBy(F.col("start").alias("at"), "end").agg(F.count(F.lit(1)).alias("n"))
+    every = snapshots.select("seq").join(sizes, "seq", "left").select(F.col("seq").alias("at"), F.lit(None).cast("int").alias("end"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("n"))
+    rows = ends.select("at", F.col("end").cast("int").alias("end"), F.col("n").cast("long").alias("n")).unionByName(every)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = {}, {}  # runs of the open cluster, and those that began after its start, by their end
+        common = total = first = cluster = 0
+        at, size = -1, 0
+
+        def closed(last: int) -> pd.DataFrame:
+            return pd.DataFrame({"cluster_id": [cluster], "first_seq": [first], "last_seq": [last], "n": [last - first + 1]})
+
+        for batch in batches:
+            for seq, end, n in zip(batch["at"].tolist(), batch["end"].tolist(), batch["n"].tolist(), strict=True):
+                if end is None or end != end:  # the snapshot itself, before the runs that start in it
+                    at, size = seq, n
+                    common -= held.pop(at - 1, 0)
+                    if at > 0 and not (total + size > 0 and (at - first + 1) * common / (total + size) >= least):
+                        yield closed(at - 1)
+                        cluster, first, total = cluster + 1, at, 0
+                        for e, c in waiting.items():
+                            held[e] = held.get(e, 0) + c
+                        waiting = {}
+                        held = {e: c for e, c in held.items() if e >= at}
+                        common = sum(held.values())
+                    total += size
+                elif at == first:
+                    held[int(end)] = held.get(int(end), 0) + n
+                    common += n
+                else:
+                    waiting[int(end)] = waiting.get(int(end), 0) + n
+        if at >= 0:
+            yield closed(at)
+
+    ordered = rows.repartition(1).sortWithinPartitions("at", F.col("end").asc_nulls_first())
+    return ordered.mapInPandas(follow, "cluster_id int, first_seq int, last_seq int, n int")
 
 
 def cluster_members(snapshots: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -58,11 +86,30 @@ def cluster_members(snapshots: DataFrame, clusters: DataFrame) -> DataFrame:
     return snapshots.select("seq").join(own, "seq")
 
 
+def _whole_clusters(intervals: DataFrame, clusters: DataFrame) -> DataFrame:
+    """intervals (start, end, ...) with c0, c1: the first and last cluster that they cover whole (c0 > c1: none), and f0, l1:
+    where these begin and end. Start and end are looked up by snapshot; no interval is listed."""
+    of = clusters.select(F.explode(F.sequence("first_seq", "last_seq")).alias("seq"), "cluster_id", "first_seq", "last_seq")
+    a = of.select(F.col("seq").alias("start"), F.when(F.col("first_seq") == F.col("seq"), F.col("cluster_id")).otherwise(F.col("cluster_id") + 1).alias("c0"), F.when(F.col("first_seq") == F.col("seq"), F.col("first_seq")).otherwise(F.col("last_seq") + 1).alias("f0"))
+    b = of.select(F.col("seq").alias("end"), F.when(F.col("last_seq") == F.col("seq"), F.col("cluster_id")).otherwise(F.col("cluster_id") - 1).alias("c1"), F.when(F.col("last_seq") == F.col("seq"), F.col("last_seq")).otherwise(F.col("first_seq") - 1).alias("l1"))
+    return intervals.join(a, "start").join(b, "end")
+
+
 def intersection(presence: DataFrame, clusters: DataFrame, key: list[str]) -> DataFrame:
-    """(cluster_id, key...): keys whose run (start, end) spans the whole cluster. A run lists the seqs that it covers, and
-    a cluster is met at its first."""
-    starts = presence.select(*key, "end", F.explode(F.sequence("start", "end")).alias("first_seq"))
-    return starts.join(clusters, "first_seq").filter("end >= last_seq").select("cluster_id", *key)
+    """(cluster_id, key...): keys whose run (start, end) spans the whole cluster. Clusters are numbered in order, so a run
+    spans those between two numbers, and only these are listed."""
+    whole = _whole_clusters(presence.select(*key, "start", "end"), clusters).filter("c0 <= c1")
+    return whole.select(F.explode(F.sequence("c0", "c1")).alias("cluster_id"), *key)
+
+
+def clustered_counts(embeddings: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(code, stored, inter, other, expanded) of embeddings (code, v, start, end): rows kept as intervals; embeddings in
+    intersection graphs, one for each cluster that an interval spans; those in the other snapshots, one for each; and
+    embeddings counted in each snapshot, for which one of the second kind stands as often as its cluster has snapshots."""
+    whole, length = _whole_clusters(embeddings.select("code", "start", "end"), clusters), F.col("end") - F.col("start") + 1
+    covered = F.when(F.col("c0") <= F.col("c1"), F.col("l1") - F.col("f0") + 1).otherwise(0)
+    spans = F.when(F.col("c0") <= F.col("c1"), F.col("c1") - F.col("c0") + 1).otherwise(0)
+    return whole.groupBy("code").agg(F.count(F.lit(1)).alias("stored"), F.sum(spans).alias("inter"), F.sum(length - covered).alias("other"), F.sum(length).alias("expanded"))
 
 
 def cluster_delta(labelled: DataFrame, members: DataFrame, common: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import History, materialize
+from ..model import History
 from .clean import both_ways
+from .components import packed, star_components, unpacked
 
 
 def snapshot_stats(history: History, large: int) -> DataFrame:
@@ -31,25 +32,16 @@ def sequence_stats(stats: DataFrame) -> DataFrame:
     return one.select(F.col("a.seq").alias("smallest"), F.col("a.n_edges").alias("smallest_edges"), (-F.col("b.s")).alias("largest"), F.col("b.n_edges").alias("largest_edges"), "max_degree", "mean_edges")
 
 
-def components(history: History, most_rounds: int = 100) -> DataFrame:
-    """(seq, vid, component): the least vertex reachable, over all snapshots together. Each round takes the least label
-    of the neighbours and then of the label's own label, so rounds grow slowly with the diameter."""
-    near = materialize(both_ways(history.edges.select("seq", "src", "dst")), "neighbours")
-    now = materialize(history.vertices.select("seq", "vid", F.col("vid").alias("component")), "labels")
-    seen = None
-    for _ in range(most_rounds):
-        mark = now.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if mark == seen:
-            return now
-        seen = mark
-        best = near.join(now.withColumnRenamed("vid", "dst"), ["seq", "dst"]).groupBy("seq", F.col("src").alias("vid")).agg(F.min("component").alias("m"))
-        moved = now.join(best, ["seq", "vid"], "left").select("seq", "vid", F.least("component", F.coalesce("m", "component")).alias("component"))
-        own = moved.select("seq", F.col("vid").alias("component"), F.col("component").alias("jump"))
-        now = materialize(moved.join(own, ["seq", "component"]).select("seq", "vid", F.least("component", "jump").alias("component")), "labels")
-    raise RuntimeError(f"labels have not settled after {most_rounds} rounds")
+def components(history: History) -> DataFrame:
+    """(seq, vid, component): the least vertex reachable, over all snapshots together; a vertex without edges is its own."""
+    found = star_components(history.edges.select(packed(F.col("seq"), F.col("src")).alias("a"), packed(F.col("seq"), F.col("dst")).alias("b")))
+    (seq, vid), (_, least) = unpacked(F.col("node")), unpacked(F.col("component"))
+    met = found.select(seq.alias("seq"), vid.alias("vid"), least.alias("component"))
+    return history.vertices.select("seq", "vid").distinct().join(met, ["seq", "vid"], "left").select("seq", "vid", F.coalesce("component", "vid").alias("component"))
 
 
 def connected_snapshots(history: History) -> DataFrame:
-    """(seq, n_components, connected): a snapshot without vertices has none and is not connected."""
-    per = components(history).groupBy("seq").agg(F.countDistinct("component").alias("n_components"))
+    """(seq, n_components, connected): a snapshot without vertices has none and is not connected. A component is counted at
+    its least vertex, so no component list is gathered."""
+    per = components(history).filter("component = vid").groupBy("seq").agg(F.count(F.lit(1)).alias("n_components"))
     return history.snapshots.select("seq").join(per, "seq", "left").select("seq", F.coalesce("n_components", F.lit(0)).alias("n_components"), (F.coalesce("n_components", F.lit(0)) == 1).alias("connected"))

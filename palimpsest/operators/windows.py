@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import History, threshold
 from .mine import Mined, mine, occurrences
 
+PATTERN = ["n_edges", "code", "vlabel"]
+
 
 def check_window(w: int, ss: int) -> None:
     if not 1 <= ss <= w:
@@ -18,10 +20,15 @@ def window_assign(snapshots: DataFrame, w: int, ss: int) -> DataFrame:
     """(win, seq): full windows from snapshot 0; a last one that isn't full gives none."""
     check_window(w, ss)
     n = snapshots.count()
-    wins = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("seq") - w + 1) / ss)).cast("int"), F.floor(F.col("seq") / ss).cast("int"))
+    wins = F.sequence(*(x.cast("int") for x in _reach(F.col("seq"), w, ss)))
     return snapshots.select(F.explode(wins).alias("win"), "seq").filter(F.col("win") * ss + w <= n)
 
 
+def _reach(seq: Column, w: int, ss: int) -> tuple[Column, Column]:
+    """First and last window that hold a snapshot."""
+    return F.greatest(F.lit(0), F.ceil((seq - w + 1) / ss)), F.floor(seq / ss)
+
+
 def window_delta(assigned: DataFrame) -> DataFrame:
     """(win, seq, change): snapshots added to and removed from each window against the one before."""
     shift = lambda by: assigned.select((F.col("win") + by).alias("win"), "seq")
@@ -40,19 +47,47 @@ def pattern_occurrences(history: History, mined: Mined) -> DataFrame:
     return out
 
 
-def window_patterns(found: DataFrame, assigned: DataFrame, least: int) -> DataFrame:
-    """(win, n_edges, code, vlabel, support) from occurrences: they don't depend on the window, so they are joined to
-    the windows by snapshot and counted."""
-    counted = found.join(assigned, "seq").groupBy("win", "n_edges", "code", "vlabel").agg(F.count(F.lit(1)).alias("support"))
-    return counted.filter(F.col("support") >= least)
+def support_steps(found: DataFrame, keys: list[str], n: int, w: int, ss: int) -> DataFrame:
+    """(keys..., win, until, support): each key's support in the windows from win to until, from occurrences (keys..., seq)
+    without repeats over n snapshots.
+
+    A snapshot adds 1 at the first window that holds it and takes it away after the last one; these differences are summed
+    by window before the shuffle, and a running sum over at most as many rows as windows gives the supports. So a
+    snapshot moves two rows at most, however many windows hold it.
+    """
+    check_window(w, ss)
+    first, last = _reach(F.col("seq"), w, ss)
+    last = F.least(last, F.lit((n - w) // ss))
+    ends = F.array(F.struct(first.alias("win"), F.lit(1).alias("by")), F.struct((last + 1).alias("win"), F.lit(-1).alias("by")))
+    steps = found.filter(first <= last).select(*keys, F.explode(ends).alias("d")).groupBy(*keys, F.col("d.win").cast("int").alias("win")).agg(F.sum("d.by").alias("by"))
+    over = Window.partitionBy(*keys).orderBy("win")
+    steps = steps.filter("by <> 0").select(*keys, "win", (F.lead("win").over(over) - 1).alias("until"), F.sum("by").over(over).alias("support"))
+    return steps.filter("support > 0")  # behind the last difference nothing is left
+
+
+def best_window(n: int, w: int, ss: int):
+    """A count for mine(): of intervals (code, start, end) the largest support in any window, which a pattern that is
+    frequent in some window can't miss, nor can a part of it."""
+
+    def best(intervals: DataFrame, key: str = "code") -> DataFrame:
+        return support_steps(occurrences(intervals, key), [key], n, w, ss).groupBy(key).agg(F.max("support").alias("support"))
+
+    return best
+
+
+def window_patterns(found: DataFrame, n: int, w: int, ss: int, least: int) -> DataFrame:
+    """(win, n_edges, code, vlabel, support) of the patterns that at least `least` snapshots of a window hold."""
+    steps = support_steps(found, PATTERN, n, w, ss).filter(F.col("support") >= least)
+    return steps.select(F.explode(F.sequence("win", "until")).alias("win"), *PATTERN, "support")
 
 
 def window_mine(history: History, w: int, ss: int, min_sup: float, max_edges: int) -> DataFrame:
-    """Frequent patterns of every window. Mined once over all snapshots with the window's threshold, which no pattern
-    that is frequent in some window can miss."""
+    """Frequent patterns of every window. Mined once over all snapshots; what isn't frequent in its best window goes."""
     least = threshold(w, min_sup)
-    mined = mine(history, min_sup, max_edges, least)
-    return window_patterns(pattern_occurrences(history, mined), window_assign(history.snapshots, w, ss), least)
+    check_window(w, ss)
+    n = history.count()
+    mined = mine(history, min_sup, max_edges, least, best_window(n, w, ss))
+    return window_patterns(pattern_occurrences(history, mined), n, w, ss, least)
 
 
 def window_changes(patterns: DataFrame) -> DataFrame:
@@ -67,7 +102,24 @@ def window_changes(patterns: DataFrame) -> DataFrame:
     return gained.unionByName(lost.select(*gained.columns)).select("win", *key, "change")
 
 
-def compare_results(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(columns of a..., side): rows of one result that the other lacks, with repetitions; empty if they are the same."""
+def fingerprints(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, a, b): for each key its number of rows and two sums of row hashes, the same for the same rows in any order."""
+    cols = sorted(rows.columns)
+    total = lambda *more: F.sum(F.xxhash64(*more, *cols).cast("decimal(38,0)"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), total().alias("a"), total(F.lit(1)).alias("b"))
+
+
+def compare_results(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
+    """(columns of a..., side): rows of one result that the other lacks, with repetitions; empty if they are the same.
+
+    key: a column, such as the window, by which rows are summed up to fingerprints first; only keys whose fingerprints
+    differ are compared row by row, so equal windows move one row for each task. Two different sets of rows have equal
+    fingerprints (128 bits of hash, and the count) with a chance that can be left aside.
+    """
     b = b.select(*a.columns)
+    if key:
+        one, other = fingerprints(a, key), fingerprints(b, key)
+        same = one.join(other.withColumnsRenamed({key: "_k", "n": "_n", "a": "_a", "b": "_b"}), F.col(key).eqNullSafe(F.col("_k")) & (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+        same = same.select(F.col(key).alias("_k"))
+        a, b = (x.join(same, F.col(key).eqNullSafe(F.col("_k")), "left_anti") for x in (a, b))
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

@@ -214,5 +214,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT win, least(sl, dl) AS sl, el, greatest(sl, dl) AS dl, count(DISTINCT seq) AS support FROM trade JOIN win USING (seq) GROUP BY ALL HAVING count(DISTINCT seq) >= ceil(12 * 0.8::DOUBLE)""",
 }
 
-#: What a sink wrote and read back is what it was given.
-ORACLE_SQL |= {"dictionary_sink": ORACLE_SQL["entity_ids"], "window_sink": ORACLE_SQL["window_mine"]}
+_LAST = "(SELECT max(win) FROM win)"
+ORACLE_SQL |= {
+    "embedding_clusters": f"""{_CLUSTERED}, {DIRECTED}, {_OCC}, {_patterns(1, 0.5)}, d AS (SELECT * FROM runs UNION ALL SELECT dst, src, dl, el, sl, "start", "end" FROM runs),
+        e AS (SELECT row_number() OVER () AS i, format('(0,1,{{}},{{}},{{}})', sl, el, dl) AS code, "start", "end" FROM d WHERE sl <= dl),
+        k AS (SELECT * FROM e WHERE code IN (SELECT code FROM patterns)),
+        h AS (SELECT i, code, "end" - "start" + 1 AS len, count(c.n) AS spans, coalesce(sum(c.n), 0) AS covered FROM k LEFT JOIN clusters c ON "start" <= first_seq AND "end" >= last_seq GROUP BY ALL)
+        SELECT code, count(*) AS stored, CAST(sum(spans) AS BIGINT) AS inter, CAST(sum(len - covered) AS BIGINT) AS other, CAST(sum(len) AS BIGINT) AS expanded FROM h GROUP BY code""",
+    "window_mine_incremental": f"""{_MINED}, {_WIN.format(s="trade_s", w=12).replace("* 3", "* 6")}
+        SELECT win, n_edges, code, vlabel, count(*) AS support FROM occ JOIN win USING (seq) GROUP BY ALL HAVING count(*) >= ceil(12 * 0.8::DOUBLE)""",
+    "pattern_state_lists": f"""{_MINED}, {_WIN.format(s="trade_s", w=12).replace("* 3", "* 12")},
+        o AS MATERIALIZED (SELECT occ.* FROM occ JOIN win USING (seq) WHERE win = {_LAST}),
+        c AS MATERIALIZED (SELECT n_edges, code, vlabel, count(*) >= ceil(12 * 0.8::DOUBLE) AS frequent FROM o GROUP BY ALL)
+        SELECT o.*, CAST(seq // 12 AS INTEGER) AS chunk, frequent FROM o JOIN c ON c.code = o.code AND c.n_edges = o.n_edges AND c.vlabel IS NOT DISTINCT FROM o.vlabel
+        WHERE o.n_edges < 2 OR regexp_extract(o.code, '^[^)]*[)]') IN (SELECT code FROM c WHERE n_edges = 1 AND frequent)""",
+    "pattern_text_sink": f"SELECT unnest(string_split(value, chr(10))) AS value FROM ({ORACLE_SQL['pattern_text']})",
+}
+#: What a sink wrote and read back is what it was given; other ways to the same patterns.
+ORACLE_SQL |= {"dictionary_sink": ORACLE_SQL["entity_ids"], "window_sink": ORACLE_SQL["window_mine"], "mine_by_first_edge": ORACLE_SQL["mine_patterns"], "stream_patterns": ORACLE_SQL["window_mine_incremental"]}

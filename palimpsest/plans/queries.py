@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_array, code_graph, code_text, is_min_code, node_count
 from ..model import History, ends_of, materialize, scratch, threshold
-from ..operators import clean, clusters, history, mine, stats, windows
+from ..operators import clean, clusters, history, incremental, mine, stats, windows
 from ..operators.match import containing, match
 from ..sources import graph_text, mail, results, tables
-from ..streaming.windows import stream_from_table
+from ..streaming.windows import stream_from_table, stream_patterns_from_table
 
 MIN_SUP, SIMILARITY, WINDOW, SLIDE, HUB = 0.5, 0.7, 12, 3, 8
 PATH, TRIANGLE = "(0,1,0,1,1)(1,2,1,2,2)", "(0,1,0,1,1)(1,2,1,0,2)(2,0,2,2,0)"
@@ -306,6 +306,17 @@ def embedding_counts(s: SparkSession, d: str) -> DataFrame:
     return mine.embedding_counts(mine.mine(tables.trade(s, d), MIN_SUP, 1).embeddings[1])
 
 
+def embedding_clusters(s: SparkSession, d: str) -> DataFrame:
+    """Embeddings of frequent one-edge patterns: as intervals, in clusters' intersections, in single snapshots, in all."""
+    h, _, _, own = _clustered(s, d)
+    return clusters.clustered_counts(mine.mine(h, MIN_SUP, 1).embeddings[1], own)
+
+
+def mine_by_first_edge(s: SparkSession, d: str) -> DataFrame:
+    """The same patterns as mine_patterns, searched in groups of first edges with at most 400 embeddings or one code each."""
+    return mine.mine(tables.trade(s, d), MIN_SUP, 2, most_rows=400).patterns
+
+
 def match_path(s: SparkSession, d: str) -> DataFrame:
     return _seqs(match(PATH, history.edge_runs(tables.trade(s, d).labelled())), *_v("v"))
 
@@ -340,6 +351,13 @@ def pattern_text(s: SparkSession, d: str) -> DataFrame:
     return mine.format_patterns(mine.mine(tables.trade(s, d), MIN_SUP, 1).patterns)
 
 
+def pattern_text_sink(s: SparkSession, d: str) -> DataFrame:
+    """Pattern text as written lines, read back."""
+    path = scratch(s, "patterns")
+    results.write_patterns(mine.mine(tables.trade(s, d), MIN_SUP, 1).patterns, path)
+    return s.read.text(path)
+
+
 def pattern_state(s: SparkSession, d: str) -> DataFrame:
     """The state table of an incremental job: code, snapshots, clusters; written as Parquet and read again."""
     h, _, _, own = _clustered(s, d)
@@ -371,6 +389,23 @@ def window_sink(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(found.schema).parquet(path)
 
 
+def window_mine_incremental(s: SparkSession, d: str) -> DataFrame:
+    """Patterns of every window, each from the state of the one before and the snapshots that come and go."""
+    return incremental.state_patterns(*incremental.window_mine_incremental(tables.trade(s, d), WINDOW, WINDOW // 2, 0.8, 2))
+
+
+def pattern_state_lists(s: SparkSession, d: str) -> DataFrame:
+    """What the state holds after the last window: the snapshots of every tracked pattern, their chunks, and whether it is
+    frequent."""
+    return incremental.state_lists(*incremental.window_mine_incremental(tables.trade(s, d), WINDOW, WINDOW, 0.8, 2))
+
+
+def stream_patterns(s: SparkSession, d: str) -> DataFrame:
+    """Points and patterns of one and two edges in the windows of a stream of snapshots."""
+    h = tables.trade(s, d)
+    return stream_patterns_from_table(s, h.snapshots, h.vertices, materialize(h.labelled(), "labelled"), WINDOW, WINDOW // 2, threshold(WINDOW, 0.8), 2)
+
+
 def _window_edges(s: SparkSession, d: str, w: int) -> DataFrame:
     h = tables.supply(s, d)
     return windows.window_mine(h, w, SLIDE, MIN_SUP, 1)
@@ -383,7 +418,7 @@ def window_changes(s: SparkSession, d: str) -> DataFrame:
 def compare_results(s: SparkSession, d: str) -> DataFrame:
     """Two results of window mining that differ: windows of 12 and of 15 snapshots."""
     a, b = (_window_edges(s, d, w).select("win", "n_edges", "code", "vlabel", "support") for w in (WINDOW, WINDOW + 3))
-    return windows.compare_results(a, b)
+    return windows.compare_results(materialize(a, "windows-a"), materialize(b, "windows-b"), "win")
 
 
 def stream_window_edges(s: SparkSession, d: str) -> DataFrame:
@@ -401,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_stats, cluster_members, cluster_retire, frequent_points, frequent_edges, grow_two_edge, grow_triangle, grow_all_triangles, support_by_intervals,
         min_code_check, mine_patterns, mine_patterns_3, pattern_occurrences, embedding_counts, match_path, match_triangle, embedding_contained,
         code_parse, pattern_graph, pattern_summary, pattern_text, pattern_state, window_assign, window_delta, window_mine, window_changes,
-        compare_results, stream_window_edges, dictionary_sink, window_sink,
+        compare_results, stream_window_edges, dictionary_sink, window_sink, window_mine_incremental, pattern_state_lists, stream_patterns, embedding_clusters,
+        mine_by_first_edge, pattern_text_sink,
     )
 }

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from ..model import History, materialize
 
 
-def write_graph_text(history: History, path: str, files: int = 8) -> None:
+#: Lines of a written file; a snapshot with more is a file of its own.
+LINES = 2_000_000
+
+
+def write_graph_text(history: History, path: str, files: int | None = None) -> None:
     """A block for each snapshot: its vertices by id, then each edge once with u < v. Each line is a row; files are
-    ranges of seq, so their names follow the order, and a file's lines are sorted inside it."""
+    ranges of seq, so their names follow the order, and a file's lines are sorted inside it. files: how many; None: as
+    many as the lines need."""
     none = F.lit(None).cast("int")
     t = history.snapshots.select("seq", F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), F.concat(F.lit("t # "), F.col("snapshot_id")).alias("value"))
     v = history.vertices.select("seq", F.lit(1), "vid", none, F.concat_ws(" ", F.lit("v"), "vid", "vlabel"))
     u, w = F.least("src", "dst"), F.greatest("src", "dst")
     e = history.edges.select("seq", F.lit(2), u, w, F.concat_ws(" ", F.lit("e"), u, w, "elabel"))
     lines = t.union(v).union(e)
+    files = files or max(1, -(-lines.count() // LINES))
     lines.repartitionByRange(files, "seq").sortWithinPartitions("seq", "kind", "a", "b", "value").select("value").write.text(path)
 
 
@@ -46,15 +52,25 @@ def first_snapshots(history: History, n: int) -> History:
 
 def read_edge_list(spark: SparkSession, path: str, header: int = 4) -> DataFrame:
     """(seq, src, dst) from files of tab-separated pairs under `header` lines, up to the first blank line; each file is a
-    snapshot, in the order of names. Self loops are left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    rest = F.slice("lines", F.lit(header + 1), F.greatest(F.size("lines") - header, F.lit(0)))
-    blank = F.array_position(F.transform(rest, lambda x: F.trim(x) == ""), F.lit(True)).cast("int")
-    kept = F.when(blank > 0, F.slice(rest, F.lit(1), blank - 1)).otherwise(rest)
-    names = whole.select("file").distinct()  # a row for each snapshot
+    snapshot, in the order of names. Self loops are left out.
+
+    Each line is a row, so a large file is read by many tasks. Lines are numbered inside a block of a file by Spark's
+    row ids, which rise within a task, and blocks by where they begin; the header's last line and the first blank line
+    below it are two minima for each file. A file without lines is no snapshot;
+    lines that aren't two numbers are left out.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    lines = materialize(raw.withColumn("value", F.regexp_replace("value", "\r", "")), "edge-lists")
+    first = lines.groupBy("file").agg(F.min("at.block").alias("_b"))  # header lines lie in a file's first block
+    heads = lines.join(first, "file").filter(F.col("at.block") == F.col("_b")).select("file", "at")
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    skip = heads.withColumn("_n", nth).filter(F.col("_n") <= header).filter(F.col("_n") == header).select("file", F.col("at").alias("_head")) if header else first.select("file", F.struct(F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("row")).alias("_head"))
+    body = lines.join(skip, "file").filter(F.col("at") > F.col("_head"))
+    blank = body.filter(F.trim("value") == "").groupBy("file").agg(F.min("at").alias("_end"))
+    names = lines.select("file").distinct()  # a row for each snapshot
     numbered = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("int").alias("seq"))
-    pairs = whole.select("file", F.explode(kept).alias("line")).withColumn("w", F.split("line", "\t")).join(numbered, "file")
-    return pairs.select("seq", F.col("w")[0].cast("int").alias("src"), F.col("w")[1].cast("int").alias("dst")).filter("src <> dst")
+    pairs = body.join(blank, "file", "left").filter(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).withColumn("w", F.split("value", "\t")).join(numbered, "file")
+    return pairs.select("seq", F.get("w", F.lit(0)).try_cast("int").alias("src"), F.get("w", F.lit(1)).try_cast("int").alias("dst")).filter("src <> dst")
 
 
 def write_edge_list(edges: DataFrame, path: str) -> None:

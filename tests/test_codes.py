@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from palimpsest.functions.codes import _key, min_dfs_code, right_most_path
 
@@ -62,3 +63,31 @@ def test_a_code_is_least_only_if_no_other_is_less():
         least = min(codes, key=lambda c: [_key(e) for e in c])
         for code in r.sample(codes, min(12, len(codes))):
             assert (min_dfs_code(code) == code) == (code == least)
+
+
+def test_interchangeable_vertices_are_one_state():
+    r = random.Random(3)
+    began = time.perf_counter()
+    star = [(0, i, 5, 1, 2) for i in range(1, 16)]
+    assert min_dfs_code(star) == [(0, 1, 2, 1, 5), *[(1, i, 5, 1, 2) for i in range(2, 16)]]
+    code = []
+    for i, a in enumerate((0, 2, 4, 6)):  # 4 x 4, all ends and edges alike
+        for j, b in enumerate((1, 3, 5, 7)):
+            code.append((a, b, 1, 1, 1))
+    least = min_dfs_code(code)
+    assert len(least) == 16 and time.perf_counter() - began < 1.0
+    assert all(min_dfs_code([(m[f], m[t], *rest) for f, t, *rest in code]) == least for m in (dict(enumerate(r.sample(range(8), 8))) for _ in range(20)))
+
+
+def test_least_of_graphs_with_twins():
+    r = random.Random(12)
+    for _ in range(40):
+        left, right = r.randint(1, 3), r.randint(1, 3)
+        labels = {i: r.randint(0, 1) * (i < left) for i in range(left + right)}
+        edges = {(i, left + j): 1 for i in range(left) for j in range(right) if (i + j) == 0 or r.random() < 0.9}
+        edges |= {(i, i + 1): 0 for i in range(left - 1) if r.random() < 0.5}
+        ends = {x for e in edges for x in e}
+        codes = all_codes({i: x for i, x in labels.items() if i in ends}, edges)
+        codes = [c for c in codes if len(c) == len(edges)]
+        if codes:
+            assert min_dfs_code(r.choice(codes)) == min(codes, key=lambda c: [_key(e) for e in c])
