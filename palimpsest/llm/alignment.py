@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, encode_apart, lean, materialize
+from .common import lean, materialize
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, same binary, pairs binary"
 #: Texts aligned together, and pieces of text whose alignment a worker keeps.
-AT_ONCE, KEPT = 400, 300_000
+AT_ONCE, KEPT = 400, 500_000
 #: A run of blanks and the word after it. No token of either tokenizer spans two of them: blanks join what follows only.
 _PIECE = re.compile(r"[ \t\n\v\f]*[^ \t\n\v\f]+|[ \t\n\v\f]+")
 #: Characters that are blanks to one tokenizer only, join words in pieces, or stand for a blank: such texts go whole.
@@ -83,30 +83,38 @@ class Vocabularies:
             total += sum(n.get(x[k:], 0) for x in one for k in range(len(x)))
         return total
 
-    def ids_a(self, pieces: list[str]) -> list[np.ndarray]:
-        """A's ids of each piece: many in one call, with the special token between; pieces with its string by themselves."""
-        plain = [i for i, p in enumerate(pieces) if self.mark["content"] not in p]
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        for i, ids in zip(plain, encode_apart(self.apart, [pieces[i] for i in plain], self.mark["content"], self.mark["id"]), strict=True):
-            out[i] = ids
-        for i in set(range(len(pieces))).difference(plain):
-            out[i] = np.array(self.model_a.encode(pieces[i], add_special_tokens=False).ids, dtype=np.int64)
-        return out
-
-    def ids_b(self, pieces: list[str]) -> list[np.ndarray]:
-        """B's ids of each piece as it stands inside a text: many in one call, with a character that joins nothing before each."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if self.cut not in p]
-        parts = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for part, ids in zip(parts, self.model_b.encode(["".join(self.cut + pieces[i] for i in part) for part in parts], num_threads=1), strict=True):
-            ids = np.array(ids, dtype=np.int64)
-            at = np.flatnonzero(ids == self.cut_id)
-            for i, x, y in zip(part, at, [*at[1:], len(ids)], strict=True):
-                out[i] = ids[x + 1 : y]
-        for i in set(range(len(pieces))).difference(plain):
-            ids = np.array(self.model_b.encode(self.cut + pieces[i]), dtype=np.int64)
-            out[i] = ids[np.flatnonzero(ids == self.cut_id)[0] + 1 :]
-        return out
+    def ids_a(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(A's ids of the pieces one after the other, how many each has): many in one call, with the special token between."""
+        texts = [self.mark["content"].join(part) for part in _parts(pieces)]
+        return _cut([x.ids for x in self.apart.encode_batch_fast(texts, add_special_tokens=False)], self.mark["id"], False)
+
+    def ids_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B, with a character that joins nothing before each, as B puts a blank before a text."""
+        texts = ["".join(self.cut + p for p in part) for part in _parts(pieces)]
+        return _cut(self.model_b.encode(texts, num_threads=1), self.cut_id, True)
+
+    def plain(self, piece: str) -> bool:
+        """Whether a piece can be encoded between others."""
+        return self.cut not in piece and self.mark["content"] not in piece
+
+
+def _parts(pieces: list[str], n: int = 400) -> list[list[str]]:
+    return [pieces[i : i + n] for i in range(0, len(pieces), n)]
+
+
+def _cut(found: list[list[int]], mark: int, leading: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids without the marks between pieces (leading: before them, and what stands before the first), and their counts."""
+    ids, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for x in found:
+        x = np.array(x, dtype=np.int64)
+        at = np.flatnonzero(x == mark)
+        edges = np.concatenate([at, [len(x)]]) if leading else np.concatenate([[-1], at, [len(x)]])
+        counts.append(np.diff(edges) - 1)
+        keep = np.ones(len(x), dtype=bool)
+        keep[at] = False
+        keep[: at[0] if leading else 0] = False
+        ids.append(x[keep])
+    return np.concatenate(ids), np.concatenate(counts)
 
 
 def _vocabularies(a_path: str, b_path: str) -> Vocabularies:
@@ -115,27 +123,21 @@ def _vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return _LOADED[a_path, b_path]
 
 
-def align_parts(v: Vocabularies, parts: list[bytes], a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple | None]:
-    """For each part of text, from both tokenizers' ids: (n_a, n_b, groups, their text, A's ids of groups of one token each
-    with equal bytes, codes of the other groups' last tokens); None where either side's bytes aren't the part's. A code
-    is A's id times B's number of ids plus B's id. All parts are aligned as one text, as each part's end is a group's."""
-    if not parts:
-        return []
-    whole = b"".join(parts)
-    n_a, n_b, size = ([len(x) for x in side] for side in (a, b, parts))
-    a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-    end_a, end_b, end = np.cumsum(v.a_length[a]), np.cumsum(v.b_length[b]), np.cumsum(size)
-    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)  # a part's end among the tokens of either side
-    at_a, at_b = (np.concatenate([[0], x])[y] for x, y in ((end_a, stop_a), (end_b, stop_b)))
-    spelt = b"".join(map(v.a.__getitem__, a.tolist())) == whole == b"".join(map(v.b.__getitem__, b.tolist()))
-    if not (spelt and (at_a == end).all() and (at_b == end).all()):
-        if len(parts) == 1:
-            return [None]
-        cut = lambda side, stops: np.split(side, stops[:-1])
-        return [align_parts(v, [p], [x], [y])[0] for p, x, y in zip(parts, cut(a, stop_a), cut(b, stop_b), strict=True)]
+def align_parts(v: Vocabularies, parts: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple | None:
+    """Groups of parts of text from both tokenizers' ids, one part's after the other's, and how many each part has.
+
+    Returns (how many groups each part has, the text of each part's groups, codes of the groups' last tokens); None where
+    either side's bytes aren't those of the parts. A code is A's id times B's number of ids plus B's id. All parts are
+    aligned as one text, as each part's end is a group's.
+    """
+    end_a, end_b, end = np.cumsum(v.a_length[a]), np.cumsum(v.b_length[b]), np.cumsum([len(x) for x in parts])
+    at_a, at_b = (np.concatenate([[0], x])[np.cumsum(n)] for x, n in ((end_a, n_a), (end_b, n_b)))  # where parts end
+    if not ((at_a == end).all() and (at_b == end).all()):
+        return None
+    if not b"".join(map(v.a.__getitem__, a.tolist())) == b"".join(parts) == b"".join(map(v.b.__getitem__, b.tolist())):
+        return None
     ends = np.intersect1d(end_a, end_b, assume_unique=True)
     last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-    one = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (v.same[a[last_a]] == b[last_b])
     stop = np.searchsorted(ends, end) + 1  # a part's end among the groups
     # tokens in the order of the text of groups: A's of a group, then B's; what follows a token is told by its place
     after_a, after_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
@@ -144,54 +146,104 @@ def align_parts(v: Vocabularies, parts: list[bytes], a: list[np.ndarray], b: lis
     order = np.empty(len(a) + len(b), dtype=np.int64)
     order[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = a * 4 + after_a
     order[np.arange(len(b)) + (last_a + 1)[group_b]] = b * 4 + after_b
-    text = "".join(map(v.written.__getitem__, order.tolist())).encode().split(b"\n")
-    same, pairs = a[last_a[one]].tolist(), (a[last_a] * v.n_b + b[last_b])[~one].tolist()
-    to_same = np.cumsum(one)[stop - 1].tolist()
-    to_pairs = np.cumsum(~one)[stop - 1].tolist()
-    groups = np.diff(stop, prepend=0).tolist()
-    out, i, j = [], 0, 0
-    for part in zip(n_a, n_b, groups, text, to_same, to_pairs, strict=False):
-        x, y = part[4], part[5]
-        out.append((*part[:4], tuple(same[i:x]), tuple(pairs[j:y])))
-        i, j = x, y
-    return out
+    text = "".join(map(v.written.__getitem__, order.tolist())).encode().split(b"\n")[:-1]
+    return np.diff(stop, prepend=0), text, a[last_a] * v.n_b + b[last_b]
+
+
+class Pieces:
+    """The alignment of pieces of text that a worker keeps: numbers of tokens and groups, text and codes of the groups."""
+
+    def __init__(self, v: Vocabularies, most: int):
+        self.v, self.most = v, most
+        self.at: dict[str, int] = {}
+        self.text: list[bytes | None] = []  # None: bytes that aren't the piece's
+        self.sizes, self.codes, self.used = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Align new pieces; those that can't be encoded between others are told to be odd."""
+        v = self.v
+        plain = [p for p in pieces if v.plain(p)]
+        sizes, texts, codes = [self.sizes], [], [self.codes]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            data = [p.encode() for p in part]
+            (a, n_a), (b, n_b) = v.ids_a(part), v.ids_b(part)
+            found = align_parts(v, data, a, n_a, b, n_b)
+            if found is None:  # one by one
+                cut_a, cut_b = np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1])
+                each = [align_parts(v, [d], x, np.array([len(x)]), y, np.array([len(y)])) for d, x, y in zip(data, cut_a, cut_b, strict=True)]
+                groups = np.array([0 if x is None else x[0][0] for x in each])
+                found = groups, [None if x is None else x[1][0] for x in each], np.concatenate([x[2] for x in each if x is not None] + [np.zeros(0, dtype=np.int64)])
+            sizes.append(np.stack([n_a, n_b, found[0]], axis=1))
+            texts += found[1]
+            codes.append(found[2])
+        odd = [p for p in pieces if not v.plain(p)]
+        self.at.update(zip(plain + odd, range(len(self.text), len(self.text) + len(pieces)), strict=True))
+        self.text += texts + [None] * len(odd)
+        self.sizes = np.concatenate([*sizes, np.zeros((len(odd), 3), dtype=np.int64)])
+        self.codes = np.concatenate(codes)
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), dtype=np.int64)])
+
+    def forget(self) -> None:
+        """Beyond the bound only the pieces that came more than once stay, or nothing if these are too many too."""
+        if len(self.text) <= self.most:
+            return
+        keep = self.used > 1
+        keep &= keep.sum() <= self.most * 3 // 4
+        names = np.array(list(self.at), dtype=object)[np.argsort(np.fromiter(self.at.values(), dtype=np.int64))]
+        self.codes = self.codes[np.repeat(keep, self.sizes[:, 2])]
+        self.text = [x for x, k in zip(self.text, keep.tolist(), strict=True) if k]
+        self.sizes, self.used = self.sizes[keep], np.zeros(int(keep.sum()), dtype=np.int64)
+        self.at = {p: i for i, p in enumerate(names[keep].tolist())}
 
 
 def aligner(v: Vocabularies):
-    """texts -> for each (n_a, n_b, groups, text of the groups, A's ids of equal groups, codes of the others).
+    """texts -> for each (n_a, n_b, groups, digest of the groups' text, same, pairs): see align_documents().
+
+    Pieces of a text are aligned once and kept. A text with odd characters, or an odd piece, is encoded whole."""
+    kept = Pieces(v, KEPT)
+    nothing = (0, 0, 0, "", b"", b"")
 
-    Pieces of a text are aligned once and kept: what align_parts() gives. A text with odd characters, or with a piece whose
-    bytes differ, is encoded whole."""
-    memo = Memo(KEPT)
-    nothing = (0, 0, 0, b"", (), ())
+    def listed(codes: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+        ids = codes // v.n_b
+        same = v.same[ids] == codes % v.n_b
+        return ids[same].astype("<u4").tobytes() + times[same].astype("<u4").tobytes(), codes[~same].astype("<u8").tobytes() + times[~same].astype("<u4").tobytes()
 
     def whole(text: str) -> tuple:
         a = np.array(v.model_a.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
         b = np.array(v.model_b.encode(text), dtype=np.int64)
-        return align_parts(v, [b" " + text.encode()], [a], [b])[0] or nothing
+        found = align_parts(v, [b" " + text.encode()], a, np.array([len(a)]), b, np.array([len(b)]))
+        if found is None:
+            return nothing
+        return len(a), len(b), int(found[0][0]), hashlib.sha256(found[1][0]).hexdigest(), *listed(*np.unique(found[2], return_counts=True))
 
     def some(texts: list[str]) -> Iterator[tuple]:
-        memo.age()
-        cut = [None if not v.pieced or _ODD.search(x) else _PIECE.findall(" " + x) for x in texts]
-        new = list(memo.unknown(set(chain.from_iterable(p for p in cut if p))))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            memo.now.update(zip(part, align_parts(v, [p.encode() for p in part], v.ids_a(part), v.ids_b(part)), strict=True))
-        for text, pieces in zip(texts, cut, strict=True):
-            got = [None] if pieces is None else list(map(memo.now.__getitem__, pieces))
-            if None in got:
+        kept.forget()
+        cut = [_PIECE.findall(" " + x) if x and v.pieced and not _ODD.search(x) else [] for x in texts]
+        flat = list(chain.from_iterable(cut))
+        kept.learn(list(set(flat).difference(kept.at)))
+        places = list(map(kept.at.__getitem__, flat))
+        ids, doc = np.array(places, dtype=np.int64), np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        kept.used += np.bincount(ids, minlength=len(kept.used))
+        n_a, n_b, groups = (np.bincount(doc, weights=kept.sizes[ids, k], minlength=len(texts)).astype(np.int64).tolist() for k in range(3))
+        # the codes of all pieces of all texts, and which different ones each text has
+        n, first = kept.sizes[ids, 2], np.cumsum(kept.sizes[:, 2]) - kept.sizes[:, 2]
+        codes = kept.codes[np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        found, times = np.unique((np.repeat(doc, n) << 32) | codes, return_counts=True)  # a code has 31 bits
+        stop = np.searchsorted(found, np.arange(1, len(texts) + 1) << 32)
+        found &= (1 << 32) - 1
+        i = j = 0
+        for k, (text, pieces) in enumerate(zip(texts, cut, strict=True)):
+            words = list(map(kept.text.__getitem__, places[i : i + len(pieces)]))
+            if not text:
+                yield nothing
+            elif not pieces or None in words:
                 yield whole(text)
-                continue
-            n_a, n_b, groups, words, same, pairs = zip(*got, strict=True)
-            yield sum(n_a), sum(n_b), sum(groups), b";".join(words), chain.from_iterable(same), chain.from_iterable(pairs)
-
-    return lambda texts: (x if t else nothing for i in range(0, len(texts), AT_ONCE) for t, x in zip(texts[i : i + AT_ONCE], some(texts[i : i + AT_ONCE]), strict=True))
-
+            else:
+                yield n_a[k], n_b[k], groups[k], hashlib.sha256(b";".join(words)).hexdigest(), *listed(found[j : stop[k]], times[j : stop[k]])
+            i, j = i + len(pieces), stop[k]
 
-def _counted(values, kind: str) -> bytes:
-    """Different values and how often each comes, as bytes."""
-    found, n = np.unique(np.fromiter(values, dtype=np.int64), return_counts=True)
-    return found.astype(kind).tobytes() + n.astype("<u4").tobytes()
+    return lambda texts: (x for i in range(0, len(texts), AT_ONCE) for x in some(texts[i : i + AT_ONCE]))
 
 
 def _read(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -213,8 +265,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
         run = aligner(_vocabularies(a_path, b_path))
         for batch in batches:
             rows = []
-            for n_a, n_b, groups, words, same, pairs in run(batch["text"].tolist()):
-                rows.append((n_a, n_b, groups, groups, hashlib.sha256(words).hexdigest() if n_a else "", _counted(same, "<u4"), _counted(pairs, "<u8")))
+            for n_a, n_b, groups, digest, same, pairs in run(batch["text"].tolist()):
+                rows.append((n_a, n_b, groups, groups, digest, same, pairs))
             made = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "pairs"])
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield made
