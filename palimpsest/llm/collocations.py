@@ -17,6 +17,9 @@ GRAMS = "lang string, k int, gram string, c long"
 TABLES, BUCKETS, BLOCK = 3, 1 << 24, 1 << 18
 #: Tables of tasks that one task adds up.
 FAN_IN = 64
+#: Blocks in which grams are added up, and grams that a task holds before it writes them.
+PACKS, HELD = 2048, 500_000
+SEPARATOR = b"\xff"  # no byte of UTF-8
 #: Bytes of text looked at together.
 CHUNK = 4 << 20
 #: Rounds of pointer doubling along unary paths, and one node in so many where paths are cut anyhow.
@@ -153,15 +156,44 @@ def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _packed(counts: dict[bytes, int], task: int) -> Iterator[pd.DataFrame]:
+    """Rows (block, task, keys, counts): keys in PACKS blocks by their hash, each block's keys and counts as bytes."""
+    blocks: dict[int, list[bytes]] = {}
+    for key in counts:
+        blocks.setdefault(zlib.crc32(key) % PACKS, []).append(key)
+    made = [(block, task, SEPARATOR.join(keys), np.array([counts[x] for x in keys], dtype="<i8").tobytes()) for block, keys in blocks.items()]
+    for i in range(0, len(made), 1000):
+        yield pd.DataFrame(made[i : i + 1000], columns=["block", "task", "keys", "counts"])
+
+
+def _unpacked(rows: pd.DataFrame) -> Iterator[tuple[bytes, int]]:
+    for keys, counts in zip(rows["keys"], rows["counts"], strict=True):
+        yield from zip(keys.split(SEPARATOR), np.frombuffer(counts, dtype="<i8").tolist(), strict=True)
+
+
+def _add_packed(group: pd.DataFrame) -> pd.DataFrame:
+    total: dict[bytes, int] = {}
+    for key, n in _unpacked(group):
+        total[key] = total.get(key, 0) + n
+    return pd.concat(_packed(total, int(group["task"].iloc[0]) // FAN_IN))
+
+
 def count_grams(texts: DataFrame, least: int, most_words: int) -> DataFrame:
     """(lang, k, gram, c): for each place the longest run of at most most_words words from there in its piece all of whose
-    words, pairs and threes may be frequent, counted; k = 0: all words. A frequent phrase is a prefix of the gram of each of its
-    places. Places are first added up in each chunk of text, by two hashes of the gram; rows hold its words."""
+    words, pairs and threes may be frequent, counted; k = 0: all words. A frequent phrase is a prefix of the gram of each
+    of its places.
+
+    Places are added up in each chunk of text by two hashes of the gram, and in each task by its words, up to HELD of
+    them at a time. A task writes its counts in PACKS blocks by a hash of the gram, one row each, which are added up
+    FAN_IN at a time, so no group is larger than so many blocks and grams become rows only once they are complete.
+    """
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast(possible_grams(texts, least))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = [np.frombuffer(x, dtype=np.uint8) for x in held.value]
+        from pyspark import TaskContext
+
+        bits, task, total = [np.frombuffer(x, dtype=np.uint8) for x in held.value], TaskContext.get().partitionId(), {}
         for batch in batches:
             for lang, salt, c in chunks(batch):
                 n = len(c.starts)
@@ -177,7 +209,8 @@ def count_grams(texts: DataFrame, least: int, most_words: int) -> DataFrame:
                     may[:] = False
                     may[at] = True
                     length[at] = k
-                yield pd.DataFrame({"lang": [lang], "k": [0], "gram": [""], "c": [n]})
+                tail = b"\n" + lang.encode()
+                total[tail] = total.get(tail, 0) + n
                 for k in range(1, most_words + 1):
                     at = np.flatnonzero(length == k)
                     if not len(at):
@@ -187,10 +220,26 @@ def count_grams(texts: DataFrame, least: int, most_words: int) -> DataFrame:
                     a, b = a[order], b[order]
                     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                     one = at[order[new]]
-                    text = [c.data[x:y].decode() for x, y in zip(c.starts[one].tolist(), c.ends[one + k - 1].tolist(), strict=True)]
-                    yield pd.DataFrame({"lang": lang, "k": k, "gram": text, "c": np.diff(np.append(new, len(a)))})
-
-    return texts.mapInPandas(lean(grams), GRAMS).groupBy("lang", "k", "gram").agg(F.sum("c").alias("c"))
+                    for x, y, times in zip(c.starts[one].tolist(), c.ends[one + k - 1].tolist(), np.diff(np.append(new, len(a))).tolist(), strict=True):
+                        key = c.data[x:y] + tail
+                        total[key] = total.get(key, 0) + times
+                if len(total) > HELD:
+                    yield from _packed(total, task)
+                    total = {}
+        yield from _packed(total, task)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(key.split(b"\n", 1), n) for key, n in _unpacked(batch)]
+            made = [(lang.decode(), gram.count(b" ") + 1 if gram else 0, gram.decode(), n) for (gram, lang), n in found]
+            yield pd.DataFrame(made, columns=["lang", "k", "gram", "c"])
+
+    schema = "block int, task int, keys binary, counts binary"
+    packs, first = materialize(texts.mapInPandas(lean(grams), schema), "gram-counts"), True
+    while first or (packs.agg(F.max("task")).first()[0] or 0) > 0:
+        groups = packs.groupBy("block", F.floor(F.col("task") / FAN_IN).alias("group"))
+        packs, first = materialize(groups.applyInPandas(lambda g: _add_packed(g), schema), "gram-counts"), False
+    return packs.mapInPandas(rows, GRAMS)
 
 
 def compact_paths(edges: DataFrame, k: int) -> DataFrame:
