@@ -54,7 +54,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Links between vectors of one label with cosine >= threshold: (vec_id, n_links, component_id, kept).
 
-    One row for each row of vectors. Vectors that are null, zero, hold null or non-finite components, or have a null
+    One row for each row of vectors; an empty table gives an empty result, and other columns are not read. Rows of one id
+    with different vectors are vectors of their own, each with its own number of links, in one component. Vectors that are null, zero, hold null or non-finite components, or have a null
     label link with nothing; vectors of different lengths never link. Rows with equal label and vector are copies:
     they link with each other, count in n_links as vectors of their own, and are hashed and compared once. Rows with a
     null id link with nothing either, and their component is null. Only pairs whose exact cosine passes are links;
@@ -81,13 +82,13 @@ def near_duplicates(
     copies = rows.filter("digest is not null").groupBy("label", "digest")
     classes = materialize(copies.agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"), F.size(F.min("v")).alias("dim")), "classes")
     groups = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # a row for each length of vectors
-    found = classes.sparkSession.createDataFrame([], "a long, b long, n long")
+    found = classes.sparkSession.createDataFrame([], f"a long, b long, n long, label {dtype}, digest binary")
     for dim, most in groups:
         found = found.unionByName(_links(classes.filter(F.col("dim") == dim), dim, *table_shape(most, threshold, miss), threshold, seed))
     found = materialize(found, "links")
-    linked = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
+    linked = found.filter("b is null").groupBy("label", "digest").agg(F.sum("n").alias("n"))
     components = connected_components(found.filter("b is not null")).withColumnRenamed("node", "rep")
-    reps = classes.select("label", "digest", "rep", F.col("n").alias("copies")).join(linked, "rep", "left").join(components, "rep", "left")
+    reps = classes.select("label", "digest", "rep", F.col("n").alias("copies")).join(linked, ["label", "digest"], "left").join(components, "rep", "left")
     out = rows.select("vec_id", "label", "digest").join(reps, ["label", "digest"], "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select(
@@ -99,7 +100,7 @@ def near_duplicates(
 
 
 def _links(classes: DataFrame, dim: int, signs: int, tables: int, threshold: float, seed: int) -> DataFrame:
-    """Rows (a, b, null) of a spanning forest of each bucket, and (a, null, number of linked vectors)."""
+    """Rows (a, b, 0) of a spanning forest of each bucket, and (a, null, number of linked vectors) with label and digest."""
     spark = classes.sparkSession
     planes = np.random.default_rng(seed).standard_normal((dim, tables * signs))
     bits = 1 << np.arange(signs, dtype=np.int64)
@@ -115,7 +116,7 @@ def _links(classes: DataFrame, dim: int, signs: int, tables: int, threshold: flo
             for t in range(tables):
                 yield b.assign(t=np.int32(t), sig=sig[:, t])
 
-    hashed = classes.select("label", "rep", "n", "v").mapInPandas(hash_all, f"label {label_type}, rep long, n long, v array<double>, t int, sig long")
+    hashed = classes.select("label", "digest", "rep", "n", "v").mapInPandas(hash_all, f"label {label_type}, digest binary, rep long, n long, v array<double>, t int, sig long")
     narrow = classes.select("label", "rep", "n", "v").mapInPandas(
         lambda batches: (x[["label", "t", "sig"]] for x in hash_all(batches)), f"label {label_type}, t int, sig long"
     )
@@ -128,7 +129,7 @@ def _links(classes: DataFrame, dim: int, signs: int, tables: int, threshold: flo
     # the block (i, j) with i <= j holds the chunks i and j: a vector goes to as many blocks as its bucket has chunks
     others = F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)
     dealt = dealt.withColumn("other", F.explode(others)).select(
-        "label", "t", "sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "v"
+        "label", "t", "sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "digest", "n", "v"
     )
     keys = ["label", "t", "sig", "i", "j"]
 
@@ -146,7 +147,7 @@ def _links(classes: DataFrame, dim: int, signs: int, tables: int, threshold: flo
             if not near.any():
                 continue
             at = np.flatnonzero(near.any(axis=1))
-            near, rep, n = near[np.ix_(at, at)], rep[at], n[at]
+            near, rep, n, digest = near[np.ix_(at, at)], rep[at], n[at], g["digest"].to_numpy()[at]
             sig = signatures(units[at])
             for earlier in range(t):  # a pair counts in the first table where it meets
                 near &= sig[:, None, earlier] != sig[None, :, earlier]
@@ -158,10 +159,12 @@ def _links(classes: DataFrame, dim: int, signs: int, tables: int, threshold: flo
                     "a": np.concatenate([rep[some], [rep[x] for x, _ in forest]]).astype(np.int64),
                     "b": pd.array([None] * int(some.sum()) + [int(rep[y]) for _, y in forest], dtype="Int64"),
                     "n": np.concatenate([counts[some], np.zeros(len(forest))]).astype(np.int64),
+                    "label": g["label"].iloc[0],
+                    "digest": [*digest[some], *[None] * len(forest)],
                 }
             )
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long, n long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, f"a long, b long, n long, label {label_type}, digest binary")
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
