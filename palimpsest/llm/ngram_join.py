@@ -99,7 +99,7 @@ class Shingler:
     def of_words(self, flat: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """(set, how common the words of each element are) of each text; common: by bucket of words."""
         k, total, lengths = self.size, len(flat), np.diff(first)
-        rate = None if common is None else np.concatenate([[0.0], np.cumsum(common[word_bucket(flat)])])
+        rate = None if common is None else np.concatenate([[0], np.cumsum(common[word_bucket(flat)])])
         h = np.zeros(max(0, total - k + 1), dtype=np.uint64)
         for j in range(k if len(h) else 0):
             h = _mixed(h ^ flat[j : total - k + 1 + j])
@@ -108,14 +108,14 @@ class Shingler:
                 own = np.full(min(n, 1), n, dtype=np.uint64)
                 for w in flat[a : a + n]:
                     own = _mixed(own ^ w)
-                yield own, None if rate is None else np.zeros(len(own))
+                yield own, None if rate is None else np.zeros(len(own), dtype=np.int64)
                 continue
             own = h[a : a + n - k + 1]
             order = np.argsort(own)
             own = own[order]
             new = np.append(True, own[1:] != own[:-1])
             at = a + order[new]
-            yield own[new], None if rate is None else np.round(rate[at + k] - rate[at], 3)
+            yield own[new], None if rate is None else rate[at + k] - rate[at]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ class Order:
     def __init__(self, loads: np.ndarray, word_loads: np.ndarray):
         mean = loads.mean()
         self.level = np.log2(1 + np.maximum(loads - mean - 5 * math.sqrt(mean), 0)).astype(np.int8)
-        self.common = np.log2(1.0 + word_loads)
+        self.common = np.round(1000 * np.log2(1.0 + word_loads)).astype(np.int64)  # whole numbers, so sums are the same in every text
 
     def prefix(self, s: np.ndarray, rate: np.ndarray, num: int, den: int) -> np.ndarray:
         """The first elements of a set, one of which any other set that passes has among its own first ones; none for a
@@ -218,6 +218,12 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     own = with_set.join(classes.select(F.col("digest").alias("_digest"), "rep"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")))
     sets = materialize(own.dropDuplicates(["digest", "doc_id"]).select("rep", "n", "digest", "prefix", "sketch"), "sets")
+    several_sets = materialize(sets.groupBy("rep").count().filter("count > 1").select("rep"), "several-sets")  # ids with several texts
+
+    def with_one_set(pairs: DataFrame) -> DataFrame:
+        """Rows whose leader and rep have one set each: what is told about an id's sets can't be told apart otherwise."""
+        return pairs.join(several_sets, "rep", "left_anti").join(several_sets.withColumnRenamed("rep", "leader"), "leader", "left_anti")
+
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
     several = entries.groupBy("h").count().filter("count > 1")
     # blocks of a list by set size: two sizes that can pass have equal or neighbouring bands
@@ -255,10 +261,10 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     crowded = open_lists.groupBy("key").agg(F.sum(F.col("stray").cast("int")).alias("strays")).filter(F.col("strays") >= CROWD).select("key")
     again = open_lists.join(crowded, "key", "left_semi")
     more = _differences(rows, sets, materialize(again.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "crowded-pairs"), size, num, den, near=True)
-    derived = _by_differences(again, more, num, den)
+    derived = _by_differences(with_one_set(again), more, num, den)
     told = answers.unionByName(more).groupBy(F.col("a").alias("leader"), F.col("b").alias("rep"))
     told = told.agg(F.max("least").alias("least"), F.bool_or("exact").alias("exact"), F.bool_or(F.col("diff").isNotNull()).alias("near"))
-    open_lists = materialize(open_lists.join(told, ["leader", "rep"], "left"), "open-lists")
+    open_lists = materialize(open_lists.join(with_one_set(told), ["leader", "rep"], "left"), "open-lists")
     # the others: |X - Y| >= |Y - L| - |X - L|, where the latter is exact
     facts = [F.coalesce("least", F.lit(0)).alias("least"), *(F.coalesce(x, F.lit(False)).alias(x) for x in ("exact", "near"))]
     entry = F.struct("rep", "n", "pos", "component", "stray", *facts)
@@ -309,12 +315,12 @@ def _by_differences(open_lists: DataFrame, answers: DataFrame, num: int, den: in
 
 
 def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int, near: bool = False) -> DataFrame:
-    """(a, b, na, least, exact, linked, diff) of pairs (a, b) of sets: in how many elements they differ at least, by their
+    """(a, b, na, least, exact, linked, diff) of pairs (a, b) of ids' sets, a row for each two sets where an id has several: in how many elements they differ at least, by their
     parity sketches, and for those that may pass by it, the exact number, and whether they pass. near: exact also for
     pairs that by that sketch differ in fewer than NEAR times as many elements as b has, and diff holds the elements (else null)."""
-    light = sets.select("rep", "n", "sketch")
-    both = pairs.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = both.join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    light = sets.select("rep", "n", "sketch", "digest")
+    both = pairs.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("digest").alias("da")), "a")
+    both = both.join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("digest").alias("db")), "b")
     size_a, size_b = F.size("sa"), F.size("sb")  # sets that can pass differ too little for more than one fold
 
     def folded(x: str, own: Column, other: Column) -> Column:
@@ -325,7 +331,7 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
     both = both.withColumns({"ta": folded("sa", size_a, size_b), "tb": folded("sb", size_b, size_a)})
     least = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = F.col("na") + F.col("nb") - 2 * _required(F.col("na"), F.col("nb"), num, den)
-    bounded = materialize(both.select("a", "b", "na", "nb", least.alias("least"), most.alias("most"), (size_b * 64).alias("bits")), "bounded-pairs")
+    bounded = materialize(both.select("a", "b", "da", "db", "na", "nb", least.alias("least"), most.alias("most"), (size_b * 64).alias("bits")), "bounded-pairs")
     # n elements that fall on so many bits at random leave that many bits odd
     chosen = F.col("least") <= F.greatest(F.col("most"), F.col("bits") / 2 * (1 - F.exp(-2 * NEAR * F.col("nb") / F.col("bits"))))
     if not near:
@@ -342,9 +348,9 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
             yield pd.DataFrame({"rep": b["doc_id"].to_numpy(), "digest": [_digest(s) for s in found], "s": [s.view(np.int64) for s in found]})
 
     texts = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(lean(whole), "rep long, digest binary, s array<long>")
-    full = materialize(texts, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "s").dropDuplicates(["rep"])
+    full = materialize(texts, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "digest", "s").dropDuplicates(["rep", "digest"])
     full = materialize(full, "sets-to-compare")
-    shared = left.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    shared = left.join(full.select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("s").alias("sa")), ["a", "da"]).join(full.select(F.col("rep").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
     diff = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb")))
     if near:
         compared = shared.select("a", "b", "na", "most", diff.alias("diff")).withColumn("least", F.size("diff"))
