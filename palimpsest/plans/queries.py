@@ -313,8 +313,8 @@ def embedding_clusters(s: SparkSession, d: str) -> DataFrame:
 
 
 def mine_by_first_edge(s: SparkSession, d: str) -> DataFrame:
-    """The same patterns as mine_patterns, searched in groups of first edges with at most 400 embeddings or one code each."""
-    return mine.mine(tables.trade(s, d), MIN_SUP, 2, most_rows=400).patterns
+    """The same patterns as mine_patterns, searched in groups of first edges with at most 4,000 embeddings or one code each."""
+    return mine.mine(tables.trade(s, d), MIN_SUP, 2, most_rows=4_000).patterns
 
 
 def match_path(s: SparkSession, d: str) -> DataFrame:

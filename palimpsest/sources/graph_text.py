@@ -26,22 +26,39 @@ def write_graph_text(history: History, path: str, files: int | None = None) -> N
     lines.repartitionByRange(files, "seq").sortWithinPartitions("seq", "kind", "a", "b", "value").select("value").write.text(path)
 
 
+def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(file, block, row, value): the lines of text files, written. Spark's row ids rise along each block of a file that one
+    task reads, so (block, row) is a line's place in its file."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    return materialize(raw.withColumn("value", F.trim(F.regexp_replace("value", "\r", ""))), name)
+
+
 def read_graph_text(spark: SparkSession, path: str) -> History:
     """Snapshots in the order of file names and places, also where an id comes twice; of a block's lines for one vertex
-    or edge the last one holds. A negative id ends the list and is no snapshot."""
-    raw = spark.read.option("lineSep", "t # ").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
-    blocks = raw.filter(F.trim("value") != "").withColumn("lines", F.split(F.trim("value"), "\\s*\n\\s*"))
-    blocks = blocks.withColumn("snapshot_id", F.col("lines")[0].cast("long")).filter("snapshot_id >= 0").drop("value")
-    blocks = materialize(blocks, "graph-text")  # place, written, names a block
-    order = Window.orderBy("file", "block", "place")  # a row for each snapshot, without its lines
-    numbered = blocks.select("place", "snapshot_id", (F.row_number().over(order) - 1).cast("int").alias("seq"))
-    lines = blocks.select("place", F.posexplode("lines").alias("at", "line")).withColumn("w", F.split("line", " "))
-    v = lines.filter(F.col("w")[0] == "v").select("place", "at", F.col("w")[1].cast("int").alias("vid"), F.col("w")[2].cast("int").alias("vlabel"))
-    e = lines.filter(F.col("w")[0] == "e").select("place", "at", F.col("w")[1].cast("int").alias("a"), F.col("w")[2].cast("int").alias("b"), F.col("w")[3].cast("int").alias("elabel"))
-    v = v.groupBy("place", "vid").agg(F.max_by("vlabel", "at").alias("vlabel"))
-    e = e.groupBy("place", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max_by("elabel", "at").alias("elabel"))
-    vertices, edges = (x.join(numbered.select("place", "seq"), "place") for x in (v, e))
-    return History(numbered.select("seq", "snapshot_id"), vertices.select("seq", "vid", "vlabel"), edges.select("seq", "src", "dst", "elabel"))
+    or edge the last one holds. A negative id ends the list and is no snapshot.
+
+    Each line is a row, so a large snapshot is read by many tasks. A line belongs to the last `t` line at or before it:
+    looked for in the part of the file that one task read, and before the first one of that part it is the last one of
+    the parts before, of which each has one row.
+    """
+    lines = _lines(spark, path, "graph-text").withColumn("w", F.split("value", "\\s+"))
+    head = F.col("w")[0] == "t"
+    starts = lines.filter(head).select("file", "block", "row", F.element_at("w", -1).cast("long").alias("snapshot_id"))
+    order = Window.orderBy("file", "block", "row")  # a row for each snapshot
+    every = starts.filter("snapshot_id >= 0").select("file", F.col("row").alias("start"), "snapshot_id", (F.row_number().over(order) - 1).cast("int").alias("seq"))
+    parts = lines.select("file", "block").distinct().join(starts.groupBy("file", "block").agg(F.max("row").alias("last")), ["file", "block"], "left")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("file", "block", before.alias("before"))
+    here = F.last(F.when(head, F.col("row")), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("row"))
+    placed = lines.withColumn("here", here).join(parts, ["file", "block"]).withColumn("start", F.coalesce("here", "before"))
+    at = F.struct("block", "row").alias("at")
+    own = placed.filter(~head).join(every.select("file", "start", "seq"), ["file", "start"]).select("seq", at, "w")
+    number = lambda i, name: F.get("w", F.lit(i)).try_cast("int").alias(name)
+    v = own.filter(F.col("w")[0] == "v").select("seq", "at", number(1, "vid"), number(2, "vlabel"))
+    e = own.filter(F.col("w")[0] == "e").select("seq", "at", number(1, "a"), number(2, "b"), number(3, "elabel"))
+    v = v.groupBy("seq", "vid").agg(F.max_by("vlabel", "at").alias("vlabel"))
+    e = e.groupBy("seq", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max_by("elabel", "at").alias("elabel"))
+    return History(every.select("seq", "snapshot_id"), v, e)
 
 
 def first_snapshots(history: History, n: int) -> History:
@@ -59,17 +76,16 @@ def read_edge_list(spark: SparkSession, path: str, header: int = 4) -> DataFrame
     below it are two minima for each file. A file without lines is no snapshot;
     lines that aren't two numbers are left out.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
-    lines = materialize(raw.withColumn("value", F.regexp_replace("value", "\r", "")), "edge-lists")
+    lines = _lines(spark, path, "edge-lists").select("file", F.struct("block", "row").alias("at"), "value")
     first = lines.groupBy("file").agg(F.min("at.block").alias("_b"))  # header lines lie in a file's first block
     heads = lines.join(first, "file").filter(F.col("at.block") == F.col("_b")).select("file", "at")
     nth = F.row_number().over(Window.partitionBy("file").orderBy("at"))
     skip = heads.withColumn("_n", nth).filter(F.col("_n") <= header).filter(F.col("_n") == header).select("file", F.col("at").alias("_head")) if header else first.select("file", F.struct(F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("row")).alias("_head"))
     body = lines.join(skip, "file").filter(F.col("at") > F.col("_head"))
-    blank = body.filter(F.trim("value") == "").groupBy("file").agg(F.min("at").alias("_end"))
+    blank = body.filter(F.col("value") == "").groupBy("file").agg(F.min("at").alias("_end"))
     names = lines.select("file").distinct()  # a row for each snapshot
     numbered = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("int").alias("seq"))
-    pairs = body.join(blank, "file", "left").filter(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).withColumn("w", F.split("value", "\t")).join(numbered, "file")
+    pairs = body.join(blank, "file", "left").filter(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).withColumn("w", F.split("value", "\\s+")).join(numbered, "file")
     return pairs.select("seq", F.get("w", F.lit(0)).try_cast("int").alias("src"), F.get("w", F.lit(1)).try_cast("int").alias("dst")).filter("src <> dst")
 
 
