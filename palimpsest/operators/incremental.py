@@ -130,17 +130,18 @@ def slide(state: WindowState, win: int, vertices: DataFrame, labelled: DataFrame
     new = lambda rows: rows.filter((F.col("seq") >= a) & (F.col("seq") < b)).withColumn("chunk", F.floor(F.col("seq") / unit).cast("int"))
     none, empty, oldest = F.lit(None).cast("int").alias("vlabel"), F.lit("").alias("parent"), state.oldest(win)
     edges = new(labelled)
-    state.write(both_ways(runs(edges, ["chunk", "src", "dst", "sl", "el", "dl"])), "runs", win, 1)
+    if state.max_edges > 1:
+        state.write(both_ways(runs(edges, ["chunk", "src", "dst", "sl", "el", "dl"])), "runs", win, 1)
     t = triple(F.col("sl"), F.col("el"), F.col("dl"))
     code = edge_text(F.lit(0), F.lit(1), t["sl"], t["el"], t["dl"]).alias("code")
     points = new(vertices).select(empty, F.lit("").alias("code"), "vlabel", "seq", "chunk", F.lit(0).alias("level"))
     state.write(points.unionByName(edges.select(empty, code, none, "seq", "chunk", F.lit(1).alias("level"))).distinct(), "occurs", win)
     roots = [_counted(state, win, level, None).withColumn("level", F.lit(level)) for level in (0, 1)]
     state.write(roots[0].unionByName(roots[1]), "support", win)
-    live = state.read("runs", 1, oldest, win).filter(F.col("chunk") >= lo // unit).drop("batch")
 
     parents = None
     for level in range(1, state.max_edges):
+        live = state.read("runs", 1, oldest, win).filter(F.col("chunk") >= lo // unit).drop("batch")
         frequent = state.read("support", level, win, win).filter(F.col("support") >= state.least).select("code")
         was = state.read("grown", level, win - 1, win - 1).select("code", "since")
         state.write(frequent.join(was, "code", "left").select("code", F.coalesce("since", F.lit(win)).alias("since")), "grown", win, level)
@@ -166,7 +167,8 @@ def slide(state: WindowState, win: int, vertices: DataFrame, labelled: DataFrame
         state.write(listed, "occurs", win, level + 1)
         state.write(_counted(state, win, level + 1, parents.filter(F.col("since") < win)), "support", win, level + 1)
 
-    state.write(state.spark.createDataFrame([(win, state.w, state.ss, state.least, state.max_edges)], SCHEMAS["done"]).coalesce(1), "done", win, 0)
+    last = {"win": win, "w": state.w, "ss": state.ss, "least": state.least, "max_edges": state.max_edges}
+    state.write(state.spark.range(1).select(*[F.lit(x).alias(name) for name, x in last.items()]), "done", win, 0)
 
 
 def forget(state: WindowState, win: int) -> None:

@@ -49,7 +49,7 @@ def stream_patterns(spark: SparkSession, source: DataFrame, w: int, ss: int, lea
         batch.filter(F.col("seq") > done).write.mode("overwrite").parquet(f"{target}/log/batch={number}")
         last = spark.read.schema(ROW).parquet(f"{target}/log/batch={number}").agg(F.max("seq")).first()[0]
         last = done if last is None else last
-        spark.createDataFrame([(last,)], "seq int").coalesce(1).write.mode("overwrite").parquet(f"{target}/newest/batch={number}")
+        spark.range(1).select(F.lit(last).alias("seq")).write.mode("overwrite").parquet(f"{target}/newest/batch={number}")
         rows = log(oldest, number)
         for win in range(first_win, (last + 1 - w) // ss + 1):
             slide(state, win, rows.filter("vid is not null").select("seq", "vid", "vlabel"), rows.filter("src is not null").select("seq", "src", "dst", "sl", "el", "dl"))

@@ -228,3 +228,24 @@ def test_triangles_of_all_labels(spark):
     got = {x.code: x.expanded for x in queries.triangles(history.edge_runs(build(spark, data).labelled())).collect()}
     assert got == expected
     assert any(not code.startswith("(0,1,0,0,") for code in got)
+
+
+def test_files_split_over_many_tasks_read_the_same(spark):
+    r = random.Random(17)
+    shots = [({i: r.randrange(5) for i in range(40)}, {(a, b): r.randrange(3) for a, b in itertools.combinations(range(40), 2) if r.random() < 0.2}) for _ in range(6)]
+    h, one, lists = build(spark, shots), scratch(spark, "graph-text"), scratch(spark, "edge-lists")
+    graph_text.write_graph_text(h, one, files=1)
+    graph_text.write_edge_list(h.edges.select("seq", "src", "dst"), lists)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(one).rdd.getNumPartitions() > 10
+        got = graph_text.read_graph_text(spark, one)
+        assert {tuple(x) for x in got.edges.select("seq", "src", "dst", "elabel").collect()} == {(i, a, b, y) for i, (_, es) in enumerate(shots) for (a, b), y in es.items()}
+        assert {tuple(x) for x in got.vertices.select("seq", "vid", "vlabel").collect()} == {(i, x, y) for i, (vs, _) in enumerate(shots) for x, y in vs.items()}
+        assert sorted(tuple(x) for x in got.snapshots.select("seq", "snapshot_id").collect()) == [(i, 10 * i) for i in range(6)]
+        pairs = {tuple(x) for x in graph_text.read_edge_list(spark, f"{lists}/*").collect()}
+        assert pairs == {(i, a, b) for i, (_, es) in enumerate(shots) for a, b in es}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

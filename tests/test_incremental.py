@@ -32,8 +32,8 @@ def drawn(spark):
 
 @pytest.mark.parametrize(("w", "ss", "most"), [(5, 3, 3)])
 def test_slides_equal_mining_every_window(spark, drawn, w, ss, most):
-    state, last = incremental.window_mine_incremental(drawn, w, ss, 0.5, most)
-    want = windows.window_mine(drawn, w, ss, 0.5, most)
+    state, last = incremental.window_mine_incremental(drawn, w, ss, 0.3, most)
+    want = windows.window_mine(drawn, w, ss, 0.3, most)
     assert last == (11 - w) // ss
     assert rows_of(incremental.state_patterns(state, last), PATTERN) == rows_of(want, PATTERN)
     assert max(r.n_edges for r in want.select("n_edges").collect()) == most
