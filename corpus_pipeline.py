@@ -18,7 +18,9 @@ LEAST_LANGUAGE = 0.3
 
 def bound_batches(spark: SparkSession) -> None:
     """Rows are read, sent to Python workers and written in batches of a few megabytes: texts are long, so batches
-    counted in rows alone take tens of megabytes for each task, and the stages share one executor's memory."""
+    counted in rows alone take tens of megabytes for each task, and the stages share one executor's memory. A stage's
+    result is computed after it returns, so the settings stay in the session: give the pipeline a session of its own
+    (spark.newSession()) where other queries should keep theirs."""
     sizes = {
         "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
         "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20,
