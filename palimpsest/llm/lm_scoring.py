@@ -2,8 +2,10 @@
 
 Counts of all training tokens give the vocabulary, its classes and the distribution of rare words; they are shuffled as
 partial counts and joined back to the words of each document, so they grow with the corpus, and the network's own
-vocabulary grows with them. The recurrent weights begin with a bounded sample of training documents and then learn from
-every training document once: trainers over the partitions, whose weights are averaged after each round.
+vocabulary grows with them. Classes are themselves in classes, so a word costs three softmaxes of the cube root of the
+vocabulary. The recurrent weights begin with a bounded sample of training documents and then learn from every training
+document once: in shards dealt by a hash of the id, whose weights are averaged after each round. Shards, their order and
+their number follow the data alone, so a score doesn't depend on partitions, cores or lost executors.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import copy
 import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -22,60 +23,93 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, fold_of, lean, materialize, utf8
+from .common import blank_words, fold_of, lean, materialize, scratch, utf8
 from .nn import Adam, gru_step, gru_step_back
 
-CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
+#: Least classes, classes in each and words in each of those.
+CLASSES, HIDDEN = 11, 16
+#: Logits are cut to this on both sides, so that exponentials need no largest logit first.
+LIMIT = 60
 #: The least number of frequent words of the network's own output; the end of a document is the first of them.
-FREQUENT = CLASSES * PER_CLASS
+FREQUENT = CLASSES**3
 #: Most counted words that each worker holds; the words of a document outside them are joined by shuffle.
 MOST_HELD = 1 << 17
 #: Number of a word that workers don't hold.
 UNKNOWN = 1 << 30
 #: Words that a task counts before it passes partial counts on; documents side by side in the network; words a window.
 FLUSH, LANES, WINDOW = 300_000, 512, 64
-#: Tokens that a trainer has at least, where there are more partitions than twice the cores; weights a row when they are averaged.
-TRAINER, BLOCK = 8_000_000, 1 << 14
+#: Least shards; tokens of a shard, at least so many and so many for each frequent word (a shard passes on 256 bytes of
+#: weights a word and round, so they stay a fixed share of the text); tokens that a shard learns from in one go.
+SHARDS, SHARD, SHARD_PER_WORD, CHUNK = 16, 4_000_000, 512, 1 << 20
+#: Weights a row, and rows that one task adds up, when weights are averaged.
+BLOCK, FAN_IN = 1 << 14, 256
 
 
 def side_of(total: int) -> int:
-    """Classes, and words in each, of a network for so many training tokens: about the square root of the tokens are
-    frequent words, from FREQUENT up to what workers hold."""
-    return min(math.isqrt(MOST_HELD), max(CLASSES, 8 * math.ceil(math.sqrt(math.sqrt(total)) / 8)))
+    """Classes, classes in each and words in each of those, of a network for so many training tokens: about the square
+    root of the tokens are frequent words, from FREQUENT up to what workers hold."""
+    side = max(CLASSES, math.ceil(total ** (1 / 6)))
+    while side**3 > MOST_HELD:
+        side -= 1
+    return side
+
+
+def shards_of(total: int, words: int) -> int:
+    """Shards for so many training tokens and frequent words."""
+    return max(SHARDS, total // max(SHARD, SHARD_PER_WORD * words))
 
 
 class LanguageModel:
-    """Weights. A token is a number: 0 the end, then frequent words, side * side any other word (the rare class)."""
+    """Weights. A token is a number: 0 the end, then frequent words, side ** 3 any other word (the rare class)."""
 
     def __init__(self, counts: np.ndarray, rare: int, seed: int = 2, side: int = CLASSES):
-        self.side = side
+        self.side, self.words = side, side**3
         r = np.random.default_rng(seed)
         n = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        c = np.zeros(side * side)
+        c = np.zeros(self.words)
         c[: len(counts)] = counts
-        grid = np.log(c.reshape(side, side) + 0.1)
-        mass = np.append(c.reshape(side, side).sum(axis=1), rare) + 0.1
+        inner = c.reshape(side, side, side).sum(axis=2)
+        mass = np.append(inner.sum(axis=1), rare) + 0.1
+        level = lambda x: (x - x.mean(axis=1, keepdims=True)).astype(np.float32)
         self.p = {
-            "x": n(side * side + 1, 3 * HIDDEN, scale=0.3),
+            "x": n(self.words + 1, 3 * HIDDEN, scale=0.3),
             "u": n(HIDDEN, 3 * HIDDEN, scale=0.25),
             "wc": n(HIDDEN, side + 1, scale=0.05),
             "bc": np.log(mass / mass.sum()).astype(np.float32),
-            "wi": n(side, HIDDEN, side, scale=0.05),
-            "bi": (grid - grid.mean(axis=1, keepdims=True)).astype(np.float32),
+            "w1": n(side, HIDDEN, side, scale=0.05),
+            "b1": level(np.log(inner + 0.1)),
+            "w2": n(side * side, HIDDEN, side, scale=0.05),
+            "b2": level(np.log(c.reshape(side * side, side) + 0.1)),
         }
 
+    def _inner(self, token: np.ndarray) -> list[tuple]:
+        """For sorted tokens the two levels inside a class: (name, class of each token, place in it, its first tokens, their classes)."""
+        frequent = token[: np.searchsorted(token, self.words)]
+        out = []
+        for name, group, at in (
+            ("1", frequent // self.side**2, frequent // self.side % self.side),
+            ("2", frequent // self.side, frequent % self.side),
+        ):
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            out.append((name, group, at, starts, group[starts]))
+        return out
+
+    def _logits(self, h: np.ndarray, name: str, group: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        out = np.take(self.p["b" + name], group, axis=0)
+        w = self.p["w" + name]
+        for g, a, z in zip(groups, starts, [*starts[1:], len(group)], strict=True):
+            out[a:z] += h[a:z] @ w[g]
+        return out
+
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log P(token | state); of a rare word only its class."""
-        p, of = self.p, token // self.side
-        logits = h @ p["wc"] + p["bc"]
-        out = logits[np.arange(len(h)), of] - _log_sum(logits)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.side + 1))
-        for c in range(self.side):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                inner = h[at] @ p["wi"][c] + p["bi"][c]
-                out[at] += inner[np.arange(len(at)), token[at] % self.side] - _log_sum(inner)
+        order = np.argsort(token, kind="stable")
+        h, token = h[order], token[order]
+        found = _chosen(h @ self.p["wc"] + self.p["bc"], token // self.side**2)
+        for name, group, at, starts, groups in self._inner(token):
+            found[: len(group)] += _chosen(self._logits(h, name, group, starts, groups), at)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 32, span: int = 32, rate: float = 0.01, seed: int = 2, adam: Adam | None = None) -> None:
@@ -102,9 +136,9 @@ class LanguageModel:
             for a in range(0, n, span):
                 tokens = grid[a : a + span]
                 h, grads = self._span(tokens, first[a : a + span], h)
-                of = np.unique(tokens // self.side)
-                of = of[of < self.side]
-                adam.step(grads, rows={"x": np.unique(tokens), "wi": of, "bi": of})
+                met = np.unique(tokens)
+                one, two = (groups for *_, groups in self._inner(met))
+                adam.step(grads, rows={"x": met, "w1": one, "b1": one, "w2": two, "b2": two})
 
     def _span(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         p, (t, n) = self.p, tokens.shape
@@ -112,31 +146,35 @@ class LanguageModel:
         for i in range(t):
             h = h * ~first[i][:, None]
             before[i] = h
-            h, kept = gru_step(p["x"][tokens[i]], p["u"], h)
+            h, kept = gru_step(np.take(p["x"], tokens[i], axis=0), p["u"], h)
             saved.append(kept)
-        flat, target = before.reshape(-1, HIDDEN), tokens.ravel()
-        of, g, scale = target // self.side, {k: np.zeros_like(v) for k, v in p.items()}, np.float32(1 / target.size)
+        order = np.argsort(tokens.ravel(), kind="stable")
+        flat, target = np.take(before.reshape(-1, HIDDEN), order, axis=0), tokens.ravel()[order]
+        g, scale = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}, np.float32(1 / target.size)
         d = _softmax(flat @ p["wc"] + p["bc"])
-        d[np.arange(len(d)), of] -= 1
+        d[np.arange(len(d)), target // self.side**2] -= 1
         d *= scale
-        g["wc"], g["bc"], dflat = flat.T @ d, d.sum(axis=0), d @ p["wc"].T
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.side + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            d = _softmax(flat[at] @ p["wi"][c] + p["bi"][c])
-            d[np.arange(len(at)), target[at] % self.side] -= 1
+        g["wc"], g["bc"], dsorted = flat.T @ d, d.sum(axis=0), d @ p["wc"].T
+        for name, group, at, starts, groups in self._inner(target):
+            if not len(group):
+                continue
+            d = _softmax(self._logits(flat, name, group, starts, groups))
+            d[np.arange(len(d)), at] -= 1
             d *= scale
-            g["wi"][c], g["bi"][c] = flat[at].T @ d, d.sum(axis=0)
-            dflat[at] += d @ p["wi"][c].T
-        dbefore, dh, dxs = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), [None] * t
+            g["b" + name][groups] = np.add.reduceat(d, starts, axis=0)
+            w, gw = p["w" + name], g["w" + name]
+            for c, a, z in zip(groups, starts, [*starts[1:], len(group)], strict=True):
+                gw[c] = flat[a:z].T @ d[a:z]
+                dsorted[a:z] += d[a:z] @ w[c].T
+        dflat = np.empty_like(dsorted)
+        dflat[order] = dsorted
+        dbefore, dh, dxs = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), np.empty((t, n, 3 * HIDDEN), dtype=h.dtype)
         for i in range(t - 1, -1, -1):
             dxs[i], du, back = gru_step_back(dh, p["u"], saved[i])
             g["u"] += du
             dh = (back + dbefore[i]) * ~first[i][:, None]
-        order = np.argsort(target, kind="stable")
-        at = np.flatnonzero(np.diff(target[order], prepend=-1))
-        g["x"][target[order[at]]] = np.add.reduceat(np.concatenate(dxs)[order], at, axis=0)
+        at = np.flatnonzero(np.diff(target, prepend=-1))
+        g["x"][target[at]] = np.add.reduceat(np.take(dxs.reshape(-1, 3 * HIDDEN), order, axis=0), at, axis=0)
         return h, g
 
     def flat(self) -> np.ndarray:
@@ -182,21 +220,28 @@ class LanguageModel:
                 if first[i, :m].any():
                     h = h * ~first[i, :m, None]
                 states.append(h)
-                h = gru_step(x[tokens[i, :m]], u, h)[0]
+                h = gru_step(np.take(x, tokens[i, :m], axis=0), u, h)[0]
             here = [tokens[i, : live[i]] for i in range(a, a + len(states))]
             got = self.log_probs(np.concatenate(states), np.concatenate(here).astype(np.int64))
             total += np.bincount(np.concatenate([owner[i, : live[i]] for i in range(a, a + len(states))]), got, len(docs))
         return total
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits between -LIMIT and LIMIT, which the given array is cut to, and their sum in each row."""
+    e = np.exp(np.clip(x, -LIMIT, LIMIT, out=x))
+    return e, e @ np.ones(x.shape[1], dtype=x.dtype)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e, total = _exp(x)
+    e /= total[:, None]
+    return e
+
+
+def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row of logits at one place."""
+    return -np.log(_exp(x)[1]) + x[np.arange(len(x)), at]
 
 
 def word_counts(docs: DataFrame, data_col: str) -> DataFrame:
@@ -230,49 +275,86 @@ def held_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(w), n) for w, n in counts.filter(step >= border).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def _average(part: pd.DataFrame) -> pd.DataFrame:
-    """The mean of a block of weights over all trainers, each counted by its tokens."""
-    total, n = 0.0, part["n"].sum()
-    for data, k in zip(part["data"], part["n"], strict=True):
-        total = total + np.frombuffer(data, dtype="<f4").astype(np.float64) * (k / n)
-    return pd.DataFrame({"block": [part["block"].iloc[0]], "n": [n], "data": [total.astype("<f4").tobytes()]})
+def _add(part: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a block of weights, each set times its tokens."""
+    part, total = part.sort_values("shard"), 0.0
+    for data in part["data"]:
+        total = total + np.frombuffer(data, dtype="<f8")
+    return pd.DataFrame({"block": [part["block"].iloc[0]], "shard": [part["shard"].iloc[0] // FAN_IN], "n": [part["n"].sum()], "data": [total.tobytes()]})
+
+
+def mean_weights(sets: DataFrame, shards: int) -> tuple[int, np.ndarray | None]:
+    """(tokens, mean weights) of sets (block, shard, n, data: weights times n) of all shards; FAN_IN rows of a block at
+    most meet in a task, and their sums are added again. The driver receives one set of weights."""
+    while True:
+        sets = sets.groupBy("block", F.floor(F.col("shard") / FAN_IN).alias("_of")).applyInPandas(_add, _WEIGHTS)
+        shards = -(-shards // FAN_IN)
+        if shards == 1:
+            break
+    found = materialize(sets, "weights").orderBy("block").collect()
+    if not found:
+        return 0, None
+    return found[0]["n"], np.concatenate([np.frombuffer(x["data"], dtype="<f8") for x in found]) / found[0]["n"]
+
+
+def _learner(start, rate: float):
+    """What a shard does in a round: a copy of the broadcast network goes through its documents."""
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        own, part = copy.deepcopy(start.value), part.sort_values(["place", "doc_id", "tokens"])
+        adam = Adam(own.p, rate)
+        docs = [np.frombuffer(x, dtype="<i4") for x in part["tokens"]]
+        sizes = np.cumsum([len(x) for x in docs])
+        cuts = [0, *np.flatnonzero(np.diff(sizes // CHUNK)) + 1, len(docs)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            size = sum(map(len, docs[a:z]))
+            own.train(docs[a:z], epochs=1, lanes=min(512, max(8, size // 512)), adam=adam)
+        n = int(sizes[-1])
+        flat = own.flat().astype("<f8") * n
+        at = range(0, len(flat), BLOCK)
+        return pd.DataFrame({"block": range(len(at)), "shard": part["shard"].iloc[0], "n": n, "data": [flat[a : a + BLOCK].tobytes() for a in at]})
+
+    return learn
 
 
 def train_on_all(model: LanguageModel, training: DataFrame, numbers, total: int, rounds: int, rate: float = 0.01) -> int:
     """One pass of every row of training (doc_id, data), in rounds over shares of the ids; returns the tokens learnt.
 
-    In a round each trainer starts from the same weights and goes through its partitions' documents; the mean of their
-    weights, made block by block and written, is the start of the next round. The driver receives one set of weights a
-    round. numbers: broadcast of the words' numbers. The weights depend on how rows lie in partitions."""
-    spark, learnt = training.sparkSession, 0
-    trainers = max(2 * spark.sparkContext.defaultParallelism, total // TRAINER)
+    Texts become numbers once, in a table by round. In a round each shard starts from the same weights and goes through
+    its documents in the order of a hash of the id, then id and text; the mean of the shards' weights is the start of
+    the next round. A shard's share of a round, at most some 10^7 numbers, is one group. numbers: broadcast of the
+    words' numbers."""
+    spark, learnt, most = training.sparkSession, 0, model.words
+    shards = shards_of(total, most)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = numbers.value
+        for b in batches:
+            out = []
+            for data in b["data"]:
+                found = blank_words(data)
+                ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype="<i4", count=len(found))
+                out.append(np.append(np.minimum(ids, most), 0).astype("<i4").tobytes())
+            yield b[["round", "shard", "doc_id"]].assign(tokens=out)
+
+    dealt = training.select(
+        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)).cast("int").alias("round"),
+        F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int").alias("shard"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "data",
+    )
+    path = scratch(spark, "numbered")
+    dealt.mapInPandas(lean(encode), _NUMBERED).write.partitionBy("round").parquet(path)
+    numbered = spark.read.schema(_NUMBERED).parquet(path)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(model)
         now = rate * (1, 0.5, 0.25)[min(k, 2)]
-
-        def learn(batches: Iterator[pd.DataFrame], start=start, now=now) -> Iterator[pd.DataFrame]:
-            own, number, n = copy.deepcopy(start.value), numbers.value, 0
-            adam, most = Adam(own.p, now), own.side**2
-            for b in batches:
-                docs = []
-                for data in b["data"]:
-                    found = blank_words(data)
-                    ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
-                    docs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
-                size = sum(map(len, docs))
-                own.train(docs, epochs=1, lanes=min(512, max(8, size // 512)), adam=adam)
-                n += size
-            if n:
-                flat = own.flat().astype("<f4")
-                cuts = range(0, len(flat), BLOCK)
-                yield pd.DataFrame({"block": range(len(cuts)), "n": n, "data": [flat[a : a + BLOCK].tobytes() for a in cuts]})
-
-        share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == k).select("data")
-        sets = share.coalesce(trainers).mapInPandas(lean(learn), _WEIGHTS)
-        means = materialize(sets.groupBy("block").applyInPandas(_average, _WEIGHTS), "weights").orderBy("block").collect()  # one set of weights
-        if means:
-            learnt += means[0]["n"]
-            model.load(np.concatenate([np.frombuffer(x["data"], dtype="<f4") for x in means]))
+        share = numbered.filter(F.col("round") == k).select("shard", "doc_id", "tokens", F.xxhash64("doc_id", F.lit(13)).alias("place"))
+        sets = share.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(_learner(start, now), _WEIGHTS)
+        n, mean = mean_weights(sets, shards)
+        if mean is not None:
+            learnt += n
+            model.load(mean.astype(np.float32))
         start.unpersist()
     return learnt
 
@@ -290,12 +372,13 @@ def score_documents(
 
     Tokens are the words between ASCII blanks after lower-casing A-Z, and one end. Counts, vocabulary and classes come
     from all rows whose crc32(id as text) mod folds isn't held (null ids never train and aren't held out). The recurrent
-    weights begin with about sample_docs of them, chosen by a hash of the id, and then learn from all of them in `rounds`
-    rounds. base_score is the smoothed unigram
+    weights begin with about sample_docs of them (2 * sample_docs at most), the first by a hash of the id, and then learn
+    from all of them in `rounds` rounds. base_score is the smoothed unigram
     log10 probability; score is the network's: P(class | state) P(word | class, state) for frequent words, and
     P(rare | state) (count + 1) / (rare tokens + rare words + 1) for the others, where one share stands for all unseen
-    words. A null or empty text is one end token. Repeated rows are scored alike; an empty table gives an empty
-    result; with no training rows the counts are 0 and the network stays as it began.
+    words. A null or empty text is one end token. Repeated rows are scored alike; of one id with several texts
+    each is scored for itself; other columns aren't read; a very long text is one sequence, whose state is carried
+    through all its windows; an empty table gives an empty result; with no training rows the counts are 0 and the network stays as it began.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("data"))
@@ -307,7 +390,7 @@ def score_documents(
     total, size = words + n_docs, distinct + (n_docs > 0)
     top = held_words(counts, MOST_HELD)
     side = side_of(total)
-    most = side * side
+    most = side**3
     frequent = top[: most - 1]
     rare_tokens = words - sum(n for _, n in frequent)
     model = LanguageModel(np.array([n_docs] + [n for _, n in frequent]), rare_tokens, side=side)
@@ -318,8 +401,8 @@ def score_documents(
         return np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
 
     border = max(1, math.ceil(min(1.0, sample_docs / max(1, n_docs)) * _HASHES))
-    chosen = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_HASHES)) < border).limit(2 * sample_docs)
-    sample = sorted(chosen.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), bytes(r[1])))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_HASHES))
+    sample = training.filter(place < border).orderBy(place, "doc_id", "data").limit(2 * sample_docs).collect()
     model.train([np.append(np.minimum(tokens_of(bytes(r[1])), most), 0) for r in sample])
     numbers = spark.sparkContext.broadcast(number)
     train_on_all(model, training, numbers, total, rounds)
@@ -370,7 +453,8 @@ def score_documents(
 
 
 _ORDER = ["key", "doc_id", "word", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network"]
-_WEIGHTS = "block int, n long, data binary"
+_WEIGHTS = "block int, shard long, n long, data binary"
+_NUMBERED = "round int, shard int, doc_id long, tokens binary"
 #: Values of the hash by which the first sample is chosen: as many as a double counts, so no share rounds to 0.
 _HASHES = 1 << 53
 _SCHEMA = "key long, doc_id long, word binary, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double"

@@ -254,7 +254,7 @@ def test_gradients_of_the_language_model():
         return out / tokens.size
 
     grads = model._span(tokens, first, np.zeros((2, lm_scoring.HIDDEN)))[1]
-    for name in ("u", "x", "wc", "bi"):
+    for name in ("u", "x", "wc", "w1", "b1", "w2", "b2"):
         at = tuple(int(r.integers(0, min(n, 5))) for n in model.p[name].shape)
         kept, e = model.p[name][at], 1e-4
         model.p[name][at] = kept + e
@@ -276,7 +276,32 @@ def test_network_learns_from_all_documents(spark, monkeypatch):
     assert learnt == got[0].train_tokens and not np.array_equal(before, after) and np.isfinite(after).all()
     assert lm_scoring._HASHES * (600 / 10**12) > 1
     sides = [lm_scoring.side_of(10**n) for n in range(4, 13)]
-    assert sides == sorted(sides) and sides[0] == lm_scoring.CLASSES and sides[4] > 2 * sides[0] and sides[-1] ** 2 <= lm_scoring.MOST_HELD
+    assert sides == sorted(sides) and sides[0] == lm_scoring.CLASSES and sides[4] ** 3 > 4 * sides[0] ** 3 and sides[-1] ** 3 <= lm_scoring.MOST_HELD
+
+
+def test_scores_follow_the_rows_alone(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices([f"w{j}" for j in range(60)], k=r.randrange(1, 40)))) for i in range(150)] + [(3, "w1 w2"), (None, "w1"), (150, None)]
+    fields = "doc_id long, text string"
+    got = []
+    for parts in (2, 9):
+        r.shuffle(rows)
+        t = spark.createDataFrame(rows, fields).repartition(parts).withColumn("score", F.lit("x"))
+        got.append(sorted(((x.doc_id is None, x.doc_id, x.n_tokens, x.score) for x in lm_scoring.score_documents(t, sample_docs=20).collect()), key=str))
+    assert len(got[0]) == len(rows) and [x[:3] for x in got[0]] == [x[:3] for x in got[1]]
+    assert [x[3] for x in got[0]] == pytest.approx([x[3] for x in got[1]], rel=1e-5)
+
+
+def test_mean_of_weights_is_added_in_stages(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 4)
+    r = np.random.default_rng(3)
+    n, w = r.integers(1, 9, 21), r.standard_normal((21, 5))
+    sets = spark.createDataFrame([(b, i, int(n[i]), (w[i] * n[i] + b * n[i]).astype("<f8").tobytes()) for i in range(21) for b in (0, 1)], lm_scoring._WEIGHTS)
+    tokens, mean = lm_scoring.mean_weights(sets, 21)
+    want = (w * n[:, None]).sum(axis=0) / n.sum()
+    assert tokens == n.sum() and mean == pytest.approx(np.concatenate([want, want + 1]))
+    assert lm_scoring.mean_weights(sets.limit(0), 21) == (0, None)
+    assert lm_scoring.shards_of(0, 1331) == lm_scoring.SHARDS and lm_scoring.shards_of(10**13, 125_000) < 10**13 / 6e7
 
 
 def test_training_leaves_no_token_out(monkeypatch):
