@@ -15,7 +15,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -421,22 +421,19 @@ def score_documents(
                 outer = ids >= most
                 logged = logs[ids[inside]].sum()
                 stats.append((len(ids) + 1, int(inside.sum()), logged + logs[0], logs[ids[inside & outer]].sum(), int(outer.sum())))
-                tail.append(Counter([w for w, i in zip(found, inside, strict=True) if not i]) if not inside.all() else {})
+                tail.append(b" ".join([found[i] for i in np.flatnonzero(~inside)]))
                 seqs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
             net = model.score(seqs) / math.log(10)
             out = pd.DataFrame(stats, columns=["n_tokens", "n_held", "sum_held", "sum_rare", "n_rare"])
-            out["key"], out["doc_id"], out["network"], out["word"] = key + np.arange(len(b)), b["doc_id"].astype("Int64").to_numpy(), net, None
+            out["key"], out["doc_id"], out["network"], out["tail"] = key + np.arange(len(b)), b["doc_id"].astype("Int64").to_numpy(), net, tail
             yield out[_ORDER]
-            keys = np.repeat(out["key"].to_numpy(), [len(x) for x in tail])
-            lost = pd.DataFrame({"key": keys, "word": list(chain.from_iterable(tail)), "n_tokens": list(chain.from_iterable(x.values() for x in tail))})
-            if len(lost):
-                yield lost.reindex(columns=_ORDER).astype({"doc_id": "Int64", "n_held": "Int64", "n_rare": "Int64", "n_tokens": "Int64"})
             key += len(b)
 
     scored = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(lean(score), _SCHEMA), "scored")
-    tail = scored.filter("word is not null").select("key", "word", F.col("n_tokens").alias("times"))
-    found = tail.join(counts, "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum_tail"), F.sum("times").alias("n_tail"))
-    all_docs = scored.filter("word is null").drop("word").join(found, "key", "left")
+    # the words that workers don't hold, one after the other in a document's row: no word holds a blank
+    tail = scored.filter("tail <> X''").select("key", F.explode(F.split(F.col("tail").cast("string"), " ").cast("array<binary>")).alias("word"))
+    found = tail.join(counts, "word").groupBy("key").agg(F.sum(F.log10(F.col("n") + 1)).alias("sum_tail"), F.count(F.lit(1)).alias("n_tail"))
+    all_docs = scored.drop("tail").join(found, "key", "left")
     sum_tail, n_tail = F.coalesce("sum_tail", F.lit(0.0)), F.coalesce("n_tail", F.lit(0))
     base = F.col("sum_held") + sum_tail - F.col("n_tokens") * math.log10(total + size + 1)
     rare_size = rare_tokens + (distinct - len(frequent)) + 1
@@ -452,9 +449,9 @@ def score_documents(
     )
 
 
-_ORDER = ["key", "doc_id", "word", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network"]
+_ORDER = ["key", "doc_id", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network", "tail"]
 _WEIGHTS = "block int, shard long, n long, data binary"
 _NUMBERED = "round int, shard int, doc_id long, tokens binary"
 #: Values of the hash by which the first sample is chosen: as many as a double counts, so no share rounds to 0.
 _HASHES = 1 << 53
-_SCHEMA = "key long, doc_id long, word binary, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double"
+_SCHEMA = "key long, doc_id long, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double, tail binary"
