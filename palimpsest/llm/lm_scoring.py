@@ -40,7 +40,7 @@ UNKNOWN = 1 << 30
 FLUSH, LANES, WINDOW = 300_000, 512, 64
 #: Least shards; tokens of a shard, at least so many and so many for each frequent word (a shard passes on 256 bytes of
 #: weights a word and round, so they stay a fixed share of the text); tokens that a shard learns from in one go.
-SHARDS, SHARD, SHARD_PER_WORD, CHUNK = 16, 4_000_000, 512, 1 << 20
+SHARDS, SHARD, SHARD_PER_WORD, CHUNK = 4, 4_000_000, 512, 1 << 20
 #: Weights a row, and rows that one task adds up, when weights are averaged.
 BLOCK, FAN_IN = 1 << 14, 256
 
