@@ -49,7 +49,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path  # for discard()
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() wrote, once all that is derived from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs when the driver's garbage is collected, which a long chain of
+    jobs may not bring about for long; call after a job that shuffled much."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fold_of(id_col: str | Column, parts: int) -> Column:

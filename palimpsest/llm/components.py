@@ -1,11 +1,11 @@
-"""Connected components of an edge list by alternating star contraction, with every round's edges in a shared table."""
+"""Connected components of an edge list by alternating star contraction, with a round's edges in a shared table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -43,5 +43,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         seen = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, utf8
+from .common import discard, lean, materialize, release_shuffles, utf8
 from .components import connected_components
 
 #: Buckets of hashes whose loads order the shingles: of shingles, and of words. Any order gives the same result.
@@ -198,9 +198,10 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     a null id links with nothing and has a null component. An empty table gives an empty result. Shingles are told
     apart by 64-bit hashes.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
 
-    order = docs.sparkSession.sparkContext.broadcast(shingle_order(rows, size))
+    order = spark.sparkContext.broadcast(shingle_order(rows, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, own = Shingler(size), order.value
@@ -218,6 +219,9 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     own = with_set.join(classes.select(F.col("digest").alias("_digest"), "rep"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")))
     sets = materialize(own.dropDuplicates(["digest", "doc_id"]).select("rep", "n", "digest", "prefix", "sketch"), "sets")
+    named = materialize(described.select("doc_id", "n", "digest"), "named")  # all that is read of it later
+    discard(described)
+    release_shuffles(spark)
     several_sets = materialize(sets.groupBy("rep").count().filter("count > 1").select("rep"), "several-sets")  # ids with several texts
 
     def with_one_set(pairs: DataFrame) -> DataFrame:
@@ -225,15 +229,20 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
         return pairs.join(several_sets, "rep", "left_anti").join(several_sets.withColumnRenamed("rep", "leader"), "leader", "left_anti")
 
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    several = entries.groupBy("h").count().filter("count > 1")
     # blocks of a list by set size: two sizes that can pass have equal or neighbouring bands
     width = math.log(den / num) + 1e-9 if num < den else 1.0
     band = F.floor(F.log(F.col("n") + 0.0) / width).cast("int") if num < den else F.col("n")
-    bands = F.array(band, band + 1) if num < den else F.array(band)
+    # what no other set can meet by its size stays out: which bands a shingle has, as bits (bands with one bit count as one)
+    bit = lambda b: F.pow(F.lit(2.0), F.pmod(b, F.lit(62))).cast("long")
+    several = entries.groupBy("h").agg(F.count(F.lit(1)).alias("count"), F.bit_or(bit(band)).alias("met_bands")).filter("count > 1")
+    twice = F.col("count") > F.bit_count("met_bands")
+    has = lambda b: twice | (F.col("met_bands").bitwiseAND(bit(b)) != 0)
+    bands = F.array_compact(F.array(F.when(has(band - 1), band), F.when(has(band + 1), band + 1))) if num < den else F.array_compact(F.array(F.when(twice, band)))
     # and by position: a shingle that two sets of these sizes share stands at positions less than a block apart
     block = F.floor(F.col("pos") / F.greatest(F.lit(1.0), F.exp((F.col("band") + 1) * width) * (2 * (den - num) / (den + num)))).cast("int")
     index = entries.join(several, "h").withColumn("band", F.explode(bands)).select(F.xxhash64("h", "band").alias("key"), "rep", "n", "pos", block.alias("block"), "count")
     index = materialize(index, "index")
+    release_shuffles(spark)
 
     def may_pass(a: Column | str, b: Column | str) -> Column:
         (na, pa), (nb, pb) = ((F.col(f"{x}n"), F.col(f"{x}pos")) for x in (a, b))
@@ -243,8 +252,11 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     # the leader of a list is the set that meets most others in all its lists: of edited copies, what they are copies of
     met = index.groupBy("rep").agg(F.sum("count").alias("met"))
     ranked = materialize(index.join(met, "rep").select("key", "rep", "n", "pos", "block", F.struct("met", (-F.col("rep")).alias("later")).alias("rank")), "ranked")
+    discard(index)
     leaders = ranked.groupBy("key").agg(F.max(F.struct("rank", "rep", "n", "pos")).alias("l"))
     led = materialize(ranked.join(leaders, "key").select("key", "rep", "n", "pos", "block", "l"), "led")
+    discard(ranked)
+    release_shuffles(spark)
     near = led.filter((F.col("rep") != F.col("l.rep")) & may_pass("", "l.")).select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()
     answers = _differences(rows, sets, materialize(near, "leader-pairs"), size, num, den)
     first = answers.filter("linked").select("a", "b")
@@ -253,10 +265,13 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     known = led.select("key", "rep", "n", "pos", "block", F.col("l.rep").alias("leader"))
     known = known.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known, "known")
+    discard(led)
     lead = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component")))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead.alias("lead"), F.count(F.lit(1)).alias("size"))
     open_lists = known.filter("rep <> leader").join(mixed.filter("lo < hi").select("key", "lead", "size"), "key").withColumn("stray", F.col("component") != F.col("lead"))
     open_lists = materialize(open_lists, "open-lists")
+    discard(known)
+    release_shuffles(spark)
     # where many are left apart, the differences from the leader are found for all of the list
     crowded = open_lists.groupBy("key").agg(F.sum(F.col("stray").cast("int")).alias("strays")).filter(F.col("strays") >= CROWD).select("key")
     again = open_lists.join(crowded, "key", "left_semi")
@@ -264,23 +279,29 @@ def near_copies(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     derived = _by_differences(with_one_set(again), more, num, den)
     told = answers.unionByName(more).groupBy(F.col("a").alias("leader"), F.col("b").alias("rep"))
     told = told.agg(F.max("least").alias("least"), F.bool_or("exact").alias("exact"), F.bool_or(F.col("diff").isNotNull()).alias("near"))
-    open_lists = materialize(open_lists.join(with_one_set(told), ["leader", "rep"], "left"), "open-lists")
+    told_lists = materialize(open_lists.join(with_one_set(told), ["leader", "rep"], "left"), "open-lists")
+    discard(open_lists, more)
     # the others: |X - Y| >= |Y - L| - |X - L|, where the latter is exact
     facts = [F.coalesce("least", F.lit(0)).alias("least"), *(F.coalesce(x, F.lit(False)).alias(x) for x in ("exact", "near"))]
     entry = F.struct("rep", "n", "pos", "component", "stray", *facts)
-    others = open_lists.select("key", "block", entry.alias("e"))
+    others = told_lists.select("key", "block", entry.alias("e"))
     # blocks of positions that aren't neighbours never meet
-    strays = open_lists.filter("stray").select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), entry.alias("s"))
+    strays = told_lists.filter("stray").select("key", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), entry.alias("s"))
     apart = F.greatest(F.when(F.col("s.exact"), F.col("e.least") - F.col("s.least")), F.when(F.col("e.exact"), F.col("s.least") - F.col("e.least")), F.lit(0))
     most = F.col("s.n") + F.col("e.n") - 2 * _required(F.col("s.n"), F.col("e.n"), num, den)
     once = ~F.col("e.stray") | (F.col("s.rep") < F.col("e.rep"))
     undecided = ~(F.col("s.near") & F.col("e.near")) & (apart <= most) & may_pass("s.", "e.")
     met = strays.join(others, ["key", "block"]).filter((F.col("s.component") != F.col("e.component")) & once & undecided)
     crossing = met.select(F.least("s.rep", "e.rep").alias("a"), F.greatest("s.rep", "e.rep").alias("b")).unionByName(derived).distinct()
-    second = _differences(rows, sets, materialize(crossing, "crossing-pairs"), size, num, den).filter("linked").select("a", "b")
-    same = with_set.join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    crossing = materialize(crossing, "crossing-pairs")
+    discard(told_lists)
+    release_shuffles(spark)
+    second = _differences(rows, sets, crossing, size, num, den).filter("linked").select("a", "b")
+    discard(sets, crossing)
+    same = named.filter("doc_id is not null and n > 0").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     groups = connected_components(first.unionByName(second).unionByName(same))
-    out = described.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    release_shuffles(spark)
+    out = named.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -348,8 +369,10 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
             yield pd.DataFrame({"rep": b["doc_id"].to_numpy(), "digest": [_digest(s) for s in found], "s": [s.view(np.int64) for s in found]})
 
     texts = rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInPandas(lean(whole), "rep long, digest binary, s array<long>")
-    full = materialize(texts, "whole-sets").join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "digest", "s").dropDuplicates(["rep", "digest"])
+    found = materialize(texts, "whole-sets")
+    full = found.join(sets.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "digest", "s").dropDuplicates(["rep", "digest"])
     full = materialize(full, "sets-to-compare")
+    discard(found)
     shared = left.join(full.select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("s").alias("sa")), ["a", "da"]).join(full.select(F.col("rep").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
     diff = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb")))
     if near:
@@ -359,7 +382,9 @@ def _differences(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int,
         compared = shared.select("a", "b", "na", "most", nothing.alias("diff"), (F.col("na") + F.col("nb") - 2 * F.size(F.array_intersect("sa", "sb"))).alias("least"))
     done = compared.select("a", "b", "na", "least", F.lit(True).alias("exact"), (F.col("least") <= F.col("most")).alias("linked"), "diff")
     far = bounded.filter(~chosen).select("a", "b", "na", "least", F.lit(False).alias("exact"), F.lit(False).alias("linked"), F.lit(None).cast("array<long>").alias("diff"))
-    return materialize(done.unionByName(far), "differences")
+    out = materialize(done.unionByName(far), "differences")
+    discard(bounded, full)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
