@@ -82,6 +82,10 @@ class LanguageModel:
             "b2": level(np.log(c.reshape(side * side, side) + 0.1)),
         }
 
+    def _sorting(self, token: np.ndarray) -> np.ndarray:
+        """The stable order of tokens; numbers of 16 bits are sorted by digits, in a fraction of the time."""
+        return np.argsort(token.astype(np.uint16) if self.words < 1 << 16 else token, kind="stable")
+
     def _inner(self, token: np.ndarray) -> list[tuple]:
         """For sorted tokens the two levels inside a class: (name, class of each token, place in it, its first tokens, their classes)."""
         frequent = token[: np.searchsorted(token, self.words)]
@@ -103,7 +107,7 @@ class LanguageModel:
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log P(token | state); of a rare word only its class."""
-        order = np.argsort(token, kind="stable")
+        order = self._sorting(token)
         h, token = h[order], token[order]
         found = _chosen(h @ self.p["wc"] + self.p["bc"], token // self.side**2)
         for name, group, at, starts, groups in self._inner(token):
@@ -148,7 +152,7 @@ class LanguageModel:
             before[i] = h
             h, kept = gru_step(np.take(p["x"], tokens[i], axis=0), p["u"], h)
             saved.append(kept)
-        order = np.argsort(tokens.ravel(), kind="stable")
+        order = self._sorting(tokens.ravel())
         flat, target = np.take(before.reshape(-1, HIDDEN), order, axis=0), tokens.ravel()[order]
         g, scale = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}, np.float32(1 / target.size)
         d = _softmax(flat @ p["wc"] + p["bc"])

@@ -13,9 +13,17 @@ def gru_step(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, t
     """One step for a batch: x holds the inputs' share of the update, reset and candidate gates."""
     k = len(u)
     g = h @ u
-    zr = sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-    n = np.tanh(x[:, 2 * k :] + zr[:, k:] * g[:, 2 * k :])
-    return n + zr[:, :k] * (h - n), (h, zr, n, g[:, 2 * k :])
+    zr = x[:, : 2 * k] + g[:, : 2 * k]  # their sigmoid, in place
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    n = x[:, 2 * k :] + zr[:, k:] * g[:, 2 * k :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= zr[:, :k]
+    out += n
+    return out, (h, zr, n, g[:, 2 * k :])
 
 
 def gru_step_back(dh: np.ndarray, u: np.ndarray, saved: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
