@@ -3,8 +3,8 @@
 Counts of all training tokens give the vocabulary, its classes and the distribution of rare words; they are shuffled as
 partial counts and joined back to the words of each document, so they grow with the corpus, and the network's own
 vocabulary grows with them. Classes are themselves in classes, so a word costs three softmaxes of the cube root of the
-vocabulary. The recurrent weights begin with a bounded sample of training documents and then learn from every training
-document once: in shards dealt by a hash of the id, whose weights are averaged after each round. Shards, their order and
+vocabulary. Texts become numbers once, for training and scoring. The recurrent weights begin with a bounded sample of
+training documents and then learn from every training document once: in shards dealt by a hash of the id, whose weights are averaged after each round. Shards, their order and
 their number follow the data alone, so a score doesn't depend on partitions, cores or lost executors.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blank_words, fold_of, lean, materialize, scratch, utf8
-from .nn import Adam, gru_step, gru_step_back
+from .nn import Adam, by_gate, gate_step, gate_step_back, gru_step  # noqa: F401 (gru_step: the plain step, that tests compare with)
 
 #: Least classes, classes in each and words in each of those.
 CLASSES, HIDDEN = 11, 16
@@ -98,11 +98,16 @@ class LanguageModel:
             out.append((name, group, at, starts, group[starts]))
         return out
 
+    def _with_bias(self, name: str) -> np.ndarray:
+        """Weights of a level inside the classes, each with its bias as the last row."""
+        return np.concatenate([self.p["w" + name], self.p["b" + name][:, None]], axis=1)
+
     def _logits(self, h: np.ndarray, name: str, group: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        out = np.take(self.p["b" + name], group, axis=0)
-        w = self.p["w" + name]
-        for g, a, z in zip(groups, starts, [*starts[1:], len(group)], strict=True):
-            out[a:z] += h[a:z] @ w[g]
+        """h: states with a 1 as the last column."""
+        w = self._with_bias(name)
+        out = np.empty((len(group), self.side), dtype=w.dtype)
+        for g, a, z in _slices(groups, starts, len(group)):
+            np.matmul(h[a:z], w[g], out=out[a:z])
         return out
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -110,6 +115,7 @@ class LanguageModel:
         order = self._sorting(token)
         h, token = h[order], token[order]
         found = _chosen(h @ self.p["wc"] + self.p["bc"], token // self.side**2)
+        h = _with_one(h)
         for name, group, at, starts, groups in self._inner(token):
             found[: len(group)] += _chosen(self._logits(h, name, group, starts, groups), at)
         out = np.empty_like(found)
@@ -139,47 +145,68 @@ class LanguageModel:
             h = np.zeros((grid.shape[1], HIDDEN), dtype=np.float32)
             for a in range(0, n, span):
                 tokens = grid[a : a + span]
-                h, grads = self._span(tokens, first[a : a + span], h)
-                met = np.unique(tokens)
-                one, two = (groups for *_, groups in self._inner(met))
-                adam.step(grads, rows={"x": met, "w1": one, "b1": one, "w2": two, "b2": two})
+                h, grads, rows = self._span(tokens, first[a : a + span], h)
+                adam.step(grads, rows=rows)
 
-    def _span(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
+    def _span(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict, dict]:
+        """(state after, gradients, rows of them that aren't zero) of a span."""
         p, (t, n) = self.p, tokens.shape
-        before, saved = np.empty((t, n, HIDDEN), dtype=np.float32), []
+        before, saved = np.empty((t, n, HIDDEN), dtype=h.dtype), []
+        x = by_gate(np.take(p["x"], tokens.ravel(), axis=0).reshape(t, n, -1), HIDDEN)
+        u = by_gate(p["u"], HIDDEN)
+        stay = ~first
         for i in range(t):
-            h = h * ~first[i][:, None]
-            before[i] = h
-            h, kept = gru_step(np.take(p["x"], tokens[i], axis=0), p["u"], h)
+            np.multiply(h, stay[i][:, None], out=before[i])
+            h, kept = gate_step(x[:, i], u, before[i])
             saved.append(kept)
         order = self._sorting(tokens.ravel())
         flat, target = np.take(before.reshape(-1, HIDDEN), order, axis=0), tokens.ravel()[order]
         g, scale = {k: np.zeros(v.shape, v.dtype) for k, v in p.items()}, np.float32(1 / target.size)
+        every, turn = np.arange(len(flat)), (t, n, -1)
+
+        def across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """x.T @ y, a part at a time: long and thin, they are slow in one piece."""
+            return np.matmul(x.reshape(turn).transpose(0, 2, 1), y.reshape(turn)).sum(axis=0)
+
+        ones = _with_one(flat)
         d = _softmax(flat @ p["wc"] + p["bc"])
-        d[np.arange(len(d)), target // self.side**2] -= 1
+        d[every, target // self.side**2] -= 1
         d *= scale
-        g["wc"], g["bc"], dsorted = flat.T @ d, d.sum(axis=0), d @ p["wc"].T
-        for name, group, at, starts, groups in self._inner(target):
+        g["wc"], g["bc"], dsorted = across(flat, d), d.sum(axis=0), d @ p["wc"].T
+        at = np.flatnonzero(np.diff(target, prepend=-1))
+        rows = {"x": target[at]}
+        for name, group, place, starts, groups in self._inner(target):
+            rows["w" + name] = rows["b" + name] = groups
             if not len(group):
                 continue
-            d = _softmax(self._logits(flat, name, group, starts, groups))
-            d[np.arange(len(d)), at] -= 1
+            d = _softmax(self._logits(ones, name, group, starts, groups))
+            d[every[: len(d)], place] -= 1
             d *= scale
-            g["b" + name][groups] = np.add.reduceat(d, starts, axis=0)
-            w, gw = p["w" + name], g["w" + name]
-            for c, a, z in zip(groups, starts, [*starts[1:], len(group)], strict=True):
-                gw[c] = flat[a:z].T @ d[a:z]
-                dsorted[a:z] += d[a:z] @ w[c].T
+            w, back = p["w" + name], np.empty((len(d), HIDDEN), dtype=d.dtype)
+            both = np.zeros((len(w), HIDDEN + 1, self.side), dtype=d.dtype)
+            for c, a, z in _slices(groups, starts, len(group)):
+                np.matmul(ones[a:z].T, d[a:z], out=both[c])
+                np.matmul(d[a:z], w[c].T, out=back[a:z])
+            g["w" + name], g["b" + name] = both[:, :HIDDEN], both[:, HIDDEN]
+            dsorted[: len(d)] += back
         dflat = np.empty_like(dsorted)
         dflat[order] = dsorted
-        dbefore, dh, dxs = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), np.empty((t, n, 3 * HIDDEN), dtype=h.dtype)
+        dbefore, dh, back = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), u.transpose(0, 2, 1).copy()
+        dx, dg = np.empty_like(x), np.empty_like(x)
         for i in range(t - 1, -1, -1):
-            dxs[i], du, back = gru_step_back(dh, p["u"], saved[i])
-            g["u"] += du
-            dh = (back + dbefore[i]) * ~first[i][:, None]
-        at = np.flatnonzero(np.diff(target, prepend=-1))
-        g["x"][target[at]] = np.add.reduceat(np.take(dxs.reshape(-1, 3 * HIDDEN), order, axis=0), at, axis=0)
-        return h, g
+            dh = gate_step_back(dh, back, saved[i], dx[:, i], dg[:, i])
+            dh += dbefore[i]
+            dh *= stay[i][:, None]
+        g["u"] = np.concatenate([across(before, dg[i]) for i in range(3)], axis=1)
+        of_x = np.take(np.moveaxis(dx, 0, 2).reshape(-1, 3 * HIDDEN), order, axis=0)
+        # place, group, groups and starts are those of the words in their inner classes
+        gx, known = g["x"][: self.words].reshape(-1, self.side, 3 * HIDDEN), len(group)
+        one = np.zeros((known, self.side), dtype=of_x.dtype)
+        one[every[:known], place] = 1
+        for c, a, z in _slices(groups, starts, known):
+            np.matmul(one[a:z].T, of_x[a:z], out=gx[c])
+        g["x"][self.words] = of_x[known:].sum(axis=0)
+        return h, g, rows
 
     def flat(self) -> np.ndarray:
         """All weights in a row."""
@@ -215,7 +242,7 @@ class LanguageModel:
             owner[: loads[k], k] = np.repeat(own, lengths[own])
             first[np.concatenate([[0], np.cumsum(lengths[own])[:-1]]), k] = True
         live = np.searchsorted(-loads, -np.arange(t), side="left")  # lanes that have a token at this step
-        h, x, u = np.zeros((n, HIDDEN), dtype=np.float32), self.p["x"], self.p["u"]
+        h, x, u = np.zeros((n, HIDDEN), dtype=np.float32), by_gate(self.p["x"], HIDDEN), by_gate(self.p["u"], HIDDEN)
         for a in range(0, t, WINDOW):
             states = []
             for i in range(a, min(a + WINDOW, t)):
@@ -224,13 +251,26 @@ class LanguageModel:
                 if first[i, :m].any():
                     h = h * ~first[i, :m, None]
                 states.append(h)
-                h = gru_step(np.take(x, tokens[i, :m], axis=0), u, h)[0]
+                h = gate_step(np.take(x, tokens[i, :m], axis=1), u, h)[0]
             here = [tokens[i, : live[i]] for i in range(a, a + len(states))]
             got = self.log_probs(np.concatenate(states), np.concatenate(here).astype(np.int64))
             total += np.bincount(np.concatenate([owner[i, : live[i]] for i in range(a, a + len(states))]), got, len(docs))
         return total
 
 
+def _slices(groups: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """(group, begin, end) of sorted groups."""
+    starts = starts.tolist()
+    return zip(groups.tolist(), starts, [*starts[1:], size], strict=True) if starts else iter(())
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """States with a 1 as the last column, which a bias is multiplied with."""
+    out = np.ones((len(h), HIDDEN + 1), dtype=h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of logits between -LIMIT and LIMIT, which the given array is cut to, and their sum in each row."""
     e = np.exp(np.clip(x, -LIMIT, LIMIT, out=x))
@@ -307,12 +347,12 @@ def _learner(start, rate: float):
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         own, part = copy.deepcopy(start.value), part.sort_values(["place", "doc_id", "tokens"])
         adam = Adam(own.p, rate)
-        docs = [np.frombuffer(x, dtype="<i4") for x in part["tokens"]]
-        sizes = np.cumsum([len(x) for x in docs])
-        cuts = [0, *np.flatnonzero(np.diff(sizes // CHUNK)) + 1, len(docs)]
+        tokens = part["tokens"].tolist()
+        sizes = np.cumsum([len(x) // 4 + 1 for x in tokens])
+        cuts = [0, *np.flatnonzero(np.diff(sizes // CHUNK)) + 1, len(tokens)]
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            size = sum(map(len, docs[a:z]))
-            own.train(docs[a:z], epochs=1, lanes=min(512, max(8, size // 512)), adam=adam)
+            docs = [_ended(x, own.words) for x in tokens[a:z]]
+            own.train(docs, epochs=1, lanes=min(512, max(8, sum(map(len, docs)) // 512)), adam=adam)
         n = int(sizes[-1])
         flat = own.flat().astype("<f8") * n
         at = range(0, len(flat), BLOCK)
@@ -321,37 +361,52 @@ def _learner(start, rate: float):
     return learn
 
 
-def train_on_all(model: LanguageModel, training: DataFrame, numbers, total: int, rounds: int, rate: float = 0.01) -> int:
-    """One pass of every row of training (doc_id, data), in rounds over shares of the ids; returns the tokens learnt.
+def number_words(rows: DataFrame, numbers, shards: int, rounds: int) -> DataFrame:
+    """_NUMBERED for rows (doc_id, data, trains), written once for training and scoring, in a folder for each round.
 
-    Texts become numbers once, in a table by round. In a round each shard starts from the same weights and goes through
-    its documents in the order of a hash of the id, then id and text; the mean of the shards' weights is the start of
-    the next round. A shard's share of a round, at most some 10^7 numbers, is one group. numbers: broadcast of the
-    words' numbers."""
-    spark, learnt, most = training.sparkSession, 0, model.words
-    shards = shards_of(total, most)
+    tokens: numbers of a text's words, UNKNOWN for those that workers don't hold, which stand in tail, one after the
+    other (no word holds a blank). round is -1 for rows that don't train. numbers: broadcast of the words' numbers."""
+    spark = rows.sparkSession
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = numbers.value
+        key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
-            out = []
+            tokens, tail = [], []
             for data in b["data"]:
                 found = blank_words(data)
                 ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype="<i4", count=len(found))
-                out.append(np.append(np.minimum(ids, most), 0).astype("<i4").tobytes())
-            yield b[["round", "shard", "doc_id"]].assign(tokens=out)
+                tokens.append(ids.tobytes())
+                tail.append(b" ".join([found[i] for i in np.flatnonzero(ids == UNKNOWN)]))
+            out = b[["round", "shard"]].assign(doc_id=b["doc_id"].astype("Int64"), tokens=tokens, tail=tail)
+            yield out.assign(key=key + np.arange(len(b)))
+            key += len(b)
 
-    dealt = training.select(
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)).cast("int").alias("round"),
+    dealt = rows.select(
+        F.when(F.col("trains"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds))).otherwise(-1).cast("int").alias("round"),
         F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int").alias("shard"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "data",
     )
     path = scratch(spark, "numbered")
     dealt.mapInPandas(lean(encode), _NUMBERED).write.partitionBy("round").parquet(path)
-    numbered = spark.read.schema(_NUMBERED).parquet(path)
+    return spark.read.schema(_NUMBERED).parquet(path)
+
+
+def _ended(tokens: bytes, most: int) -> np.ndarray:
+    """The network's numbers of a text: words from most on are rare, and an end follows."""
+    return np.append(np.minimum(np.frombuffer(tokens, dtype="<i4"), most), 0).astype(np.int32)
+
+
+def train_on_all(model: LanguageModel, numbered: DataFrame, shards: int, rounds: int, rate: float = 0.01) -> int:
+    """One pass of every row of numbered that trains, in rounds over shares of the ids; returns the tokens learnt.
+
+    In a round each shard starts from the same weights and goes through its documents in the order of a hash of the id,
+    then id and numbers; the mean of the shards' weights is the start of the next round. A shard's share of a round, at
+    most some 10^7 numbers, is one group."""
+    learnt = 0
     for k in range(rounds):
-        start = spark.sparkContext.broadcast(model)
+        start = numbered.sparkSession.sparkContext.broadcast(model)
         now = rate * (1, 0.5, 0.25)[min(k, 2)]
         share = numbered.filter(F.col("round") == k).select("shard", "doc_id", "tokens", F.xxhash64("doc_id", F.lit(13)).alias("place"))
         sets = share.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(_learner(start, now), _WEIGHTS)
@@ -398,46 +453,36 @@ def score_documents(
     frequent = top[: most - 1]
     rare_tokens = words - sum(n for _, n in frequent)
     model = LanguageModel(np.array([n_docs] + [n for _, n in frequent]), rare_tokens, side=side)
-    number = {w: i + 1 for i, (w, _) in enumerate(top)}
-
-    def tokens_of(data: bytes) -> np.ndarray:
-        found = blank_words(data)
-        return np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
-
+    numbers = spark.sparkContext.broadcast({w: i + 1 for i, (w, _) in enumerate(top)})
+    shards = shards_of(total, most)
+    numbered = number_words(rows.withColumn("trains", trains), numbers, shards, rounds)
     border = max(1, math.ceil(min(1.0, sample_docs / max(1, n_docs)) * _HASHES))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_HASHES))
-    sample = training.filter(place < border).orderBy(place, "doc_id", "data").limit(2 * sample_docs).collect()
-    model.train([np.append(np.minimum(tokens_of(bytes(r[1])), most), 0) for r in sample])
-    numbers = spark.sparkContext.broadcast(number)
-    train_on_all(model, training, numbers, total, rounds)
+    sample = numbered.filter((F.col("round") >= 0) & (place < border)).orderBy(place, "doc_id", "tokens").limit(2 * sample_docs).select("tokens").collect()
+    model.train([_ended(bytes(r[0]), most) for r in sample])
+    train_on_all(model, numbered, shards, rounds)
     shared = spark.sparkContext.broadcast((model, np.log10(np.array([n_docs, *(n for _, n in top)]) + 1.0)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (model, logs), number = shared.value, numbers.value
-        known = len(logs)
-        key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        model, logs = shared.value
         for b in batches:
-            seqs, stats, tail = [], [], []
-            for data in b["data"]:
-                found = blank_words(data)
-                ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype=np.int32, count=len(found))
-                inside = ids < known
+            seqs, stats = [], []
+            for data in b["tokens"]:
+                ids = np.frombuffer(data, dtype="<i4")
+                inside = ids < len(logs)
                 outer = ids >= most
                 logged = logs[ids[inside]].sum()
                 stats.append((len(ids) + 1, int(inside.sum()), logged + logs[0], logs[ids[inside & outer]].sum(), int(outer.sum())))
-                tail.append(b" ".join([found[i] for i in np.flatnonzero(~inside)]))
-                seqs.append(np.append(np.minimum(ids, most), 0).astype(np.int32))
+                seqs.append(_ended(data, most))
             net = model.score(seqs) / math.log(10)
             out = pd.DataFrame(stats, columns=["n_tokens", "n_held", "sum_held", "sum_rare", "n_rare"])
-            out["key"], out["doc_id"], out["network"], out["tail"] = key + np.arange(len(b)), b["doc_id"].astype("Int64").to_numpy(), net, tail
+            out["key"], out["doc_id"], out["network"] = b["key"].to_numpy(), b["doc_id"].astype("Int64").to_numpy(), net
             yield out[_ORDER]
-            key += len(b)
 
-    scored = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(lean(score), _SCHEMA), "scored")
-    # the words that workers don't hold, one after the other in a document's row: no word holds a blank
-    tail = scored.filter("tail <> X''").select("key", F.explode(F.split(F.col("tail").cast("string"), " ").cast("array<binary>")).alias("word"))
+    scored = materialize(numbered.select("key", "doc_id", "tokens").mapInPandas(lean(score), _SCHEMA), "scored")
+    tail = numbered.filter("tail <> X''").select("key", F.explode(F.split(F.col("tail").cast("string"), " ").cast("array<binary>")).alias("word"))
     found = tail.join(counts, "word").groupBy("key").agg(F.sum(F.log10(F.col("n") + 1)).alias("sum_tail"), F.count(F.lit(1)).alias("n_tail"))
-    all_docs = scored.drop("tail").join(found, "key", "left")
+    all_docs = scored.join(found, "key", "left")
     sum_tail, n_tail = F.coalesce("sum_tail", F.lit(0.0)), F.coalesce("n_tail", F.lit(0))
     base = F.col("sum_held") + sum_tail - F.col("n_tokens") * math.log10(total + size + 1)
     rare_size = rare_tokens + (distinct - len(frequent)) + 1
@@ -453,9 +498,9 @@ def score_documents(
     )
 
 
-_ORDER = ["key", "doc_id", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network", "tail"]
+_ORDER = ["key", "doc_id", "n_tokens", "n_held", "n_rare", "sum_held", "sum_rare", "network"]
 _WEIGHTS = "block int, shard long, n long, data binary"
-_NUMBERED = "round int, shard int, doc_id long, tokens binary"
+_NUMBERED = "round int, shard int, doc_id long, tokens binary, tail binary, key long"
 #: Values of the hash by which the first sample is chosen: as many as a double counts, so no share rounds to 0.
 _HASHES = 1 << 53
-_SCHEMA = "key long, doc_id long, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double, tail binary"
+_SCHEMA = "key long, doc_id long, n_tokens long, n_held long, n_rare long, sum_held double, sum_rare double, network double"

@@ -39,6 +39,50 @@ def gru_step_back(dh: np.ndarray, u: np.ndarray, saved: tuple) -> tuple[np.ndarr
     return dx, h.T @ dg, dh * z + dg @ u.T
 
 
+def by_gate(x: np.ndarray, k: int) -> np.ndarray:
+    """(..., 3 k) as (3, ..., k): each gate of k in one piece, over which a step goes in a fraction of the time."""
+    return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, k), -2, 0))
+
+
+def gate_step(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """gru_step with x and u by gate."""
+    g = np.matmul(h, u)
+    zr = x[:2] + g[:2]  # their sigmoid, in place
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    n = zr[1] * g[2]
+    n += x[2]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= zr[0]
+    out += n
+    return out, (h, zr, n, g[2])
+
+
+def gate_step_back(dh: np.ndarray, back: np.ndarray, saved: tuple, dx: np.ndarray, dg: np.ndarray) -> np.ndarray:
+    """gru_step_back by gate: gradient of the state before. back: u by gate, each gate transposed. The gradients of x and
+    of the gates' recurrent part are written to dx and dg; h.T @ dg, over any steps at once, is that of u."""
+    h, zr, n, gn = saved
+    np.multiply(n, n, out=dx[2])
+    np.subtract(1, dx[2], out=dx[2])
+    slope = 1 - zr
+    dx[2] *= slope[0]
+    dx[2] *= dh
+    slope *= zr
+    np.subtract(h, n, out=dx[0])
+    dx[0] *= dh
+    np.multiply(dx[2], gn, out=dx[1])
+    dx[:2] *= slope
+    dg[:2] = dx[:2]
+    np.multiply(dx[2], zr[1], out=dg[2])
+    out = dh * zr[0]
+    for part in np.matmul(dg, back):
+        out += part
+    return out
+
+
 class Adam:
     def __init__(self, params: dict[str, np.ndarray], rate: float):
         self.params, self.rate, self.t = params, rate, 0
@@ -55,6 +99,19 @@ class Adam:
         c1, c2 = 1 - 0.9**self.t, 1 - 0.999**self.t
         for k, g in grads.items():
             g, i = g * scale, at[k]
-            self.m[k][i] += 0.1 * (g - self.m[k][i])
-            self.v[k][i] += 0.001 * (g * g - self.v[k][i])
-            self.params[k][i] -= ((slow or {}).get(k, 1.0) * self.rate / c1) * self.m[k][i] / (np.sqrt(self.v[k][i] / c2) + 1e-8)
+            # rows that are picked out are copies: each is read and written once, and sums go in place
+            m, v = self.m[k][i], self.v[k][i]
+            d = g - m
+            d *= 0.1
+            m += d
+            g *= g
+            g -= v
+            g *= 0.001
+            v += g
+            self.m[k][i], self.v[k][i] = m, v
+            d = v / c2
+            np.sqrt(d, out=d)
+            d += 1e-8
+            np.divide(m, d, out=d)
+            d *= (slow or {}).get(k, 1.0) * self.rate / c1
+            self.params[k][i] -= d
