@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, fold_of, lean, materialize, scratch, utf8
+from .common import blank_words, fold_of, lean, materialize, utf8
 from .nn import Adam, by_gate, gate_step, gate_step_back, gru_step  # noqa: F401 (gru_step: the plain step, that tests compare with)
 
 #: Least classes, classes in each and words in each of those.
@@ -113,7 +113,7 @@ class LanguageModel:
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log P(token | state); of a rare word only its class."""
         order = self._sorting(token)
-        h, token = h[order], token[order]
+        h, token = np.take(h, order, axis=0), token[order]
         found = _chosen(h @ self.p["wc"] + self.p["bc"], token // self.side**2)
         h = _with_one(h)
         for name, group, at, starts, groups in self._inner(token):
@@ -152,12 +152,11 @@ class LanguageModel:
         """(state after, gradients, rows of them that aren't zero) of a span."""
         p, (t, n) = self.p, tokens.shape
         before, saved = np.empty((t, n, HIDDEN), dtype=h.dtype), []
-        x = by_gate(np.take(p["x"], tokens.ravel(), axis=0).reshape(t, n, -1), HIDDEN)
-        u = by_gate(p["u"], HIDDEN)
-        stay = ~first
+        x, u, stay = by_gate(p["x"], HIDDEN), by_gate(p["u"], HIDDEN), ~first
+        room = np.empty((3, n, HIDDEN), dtype=h.dtype)
         for i in range(t):
             np.multiply(h, stay[i][:, None], out=before[i])
-            h, kept = gate_step(x[:, i], u, before[i])
+            h, kept = gate_step(np.take(x, tokens[i], axis=1), u, before[i], room)
             saved.append(kept)
         order = self._sorting(tokens.ravel())
         flat, target = np.take(before.reshape(-1, HIDDEN), order, axis=0), tokens.ravel()[order]
@@ -189,16 +188,17 @@ class LanguageModel:
                 np.matmul(d[a:z], w[c].T, out=back[a:z])
             g["w" + name], g["b" + name] = both[:, :HIDDEN], both[:, HIDDEN]
             dsorted[: len(d)] += back
-        dflat = np.empty_like(dsorted)
-        dflat[order] = dsorted
-        dbefore, dh, back = dflat.reshape(t, n, HIDDEN), np.zeros_like(h), u.transpose(0, 2, 1).copy()
-        dx, dg = np.empty_like(x), np.empty_like(x)
-        for i in range(t - 1, -1, -1):
-            dh = gate_step_back(dh, back, saved[i], dx[:, i], dg[:, i])
-            dh += dbefore[i]
+        back, dh, du = u.transpose(0, 2, 1).copy(), np.zeros_like(h), 0
+        dx, of_x = np.empty((3, n, HIDDEN), dtype=h.dtype), np.empty((t * n, 3, HIDDEN), dtype=h.dtype)
+        places = np.empty_like(order)  # of each token in the sorted order
+        places[order] = every
+        for i, to in zip(range(t - 1, -1, -1), places.reshape(t, n)[::-1], strict=True):
+            part, dh = gate_step_back(dh, back, saved[i], dx, room)
+            of_x[to] = dx.transpose(1, 0, 2)
+            du += part
+            dh += np.take(dsorted, to, axis=0)
             dh *= stay[i][:, None]
-        g["u"] = np.concatenate([across(before, dg[i]) for i in range(3)], axis=1)
-        of_x = np.take(np.moveaxis(dx, 0, 2).reshape(-1, 3 * HIDDEN), order, axis=0)
+        g["u"], of_x = np.concatenate(list(du), axis=1), of_x.reshape(-1, 3 * HIDDEN)
         # place, group, groups and starts are those of the words in their inner classes
         gx, known = g["x"][: self.words].reshape(-1, self.side, 3 * HIDDEN), len(group)
         one = np.zeros((known, self.side), dtype=of_x.dtype)
@@ -362,11 +362,10 @@ def _learner(start, rate: float):
 
 
 def number_words(rows: DataFrame, numbers, shards: int, rounds: int) -> DataFrame:
-    """_NUMBERED for rows (doc_id, data, trains), written once for training and scoring, in a folder for each round.
+    """_NUMBERED for rows (doc_id, data, trains), written once for training and scoring.
 
     tokens: numbers of a text's words, UNKNOWN for those that workers don't hold, which stand in tail, one after the
     other (no word holds a blank). round is -1 for rows that don't train. numbers: broadcast of the words' numbers."""
-    spark = rows.sparkSession
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = numbers.value
@@ -377,7 +376,7 @@ def number_words(rows: DataFrame, numbers, shards: int, rounds: int) -> DataFram
                 found = blank_words(data)
                 ids = np.fromiter(map(number.get, found, repeat(UNKNOWN)), dtype="<i4", count=len(found))
                 tokens.append(ids.tobytes())
-                tail.append(b" ".join([found[i] for i in np.flatnonzero(ids == UNKNOWN)]))
+                tail.append(b" ".join([found[i] for i in np.flatnonzero(ids == UNKNOWN).tolist()]))
             out = b[["round", "shard"]].assign(doc_id=b["doc_id"].astype("Int64"), tokens=tokens, tail=tail)
             yield out.assign(key=key + np.arange(len(b)))
             key += len(b)
@@ -388,9 +387,7 @@ def number_words(rows: DataFrame, numbers, shards: int, rounds: int) -> DataFram
         F.col("doc_id").cast("long").alias("doc_id"),
         "data",
     )
-    path = scratch(spark, "numbered")
-    dealt.mapInPandas(lean(encode), _NUMBERED).write.partitionBy("round").parquet(path)
-    return spark.read.schema(_NUMBERED).parquet(path)
+    return materialize(dealt.mapInPandas(lean(encode), _NUMBERED), "numbered")
 
 
 def _ended(tokens: bytes, most: int) -> np.ndarray:

@@ -44,9 +44,9 @@ def by_gate(x: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, k), -2, 0))
 
 
-def gate_step(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """gru_step with x and u by gate."""
-    g = np.matmul(h, u)
+def gate_step(x: np.ndarray, u: np.ndarray, h: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """gru_step with x and u by gate. g: room for the gates' recurrent part, used again by each step."""
+    g = np.matmul(h, u, out=g)
     zr = x[:2] + g[:2]  # their sigmoid, in place
     zr *= 0.5
     np.tanh(zr, out=zr)
@@ -58,12 +58,12 @@ def gate_step(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     out = h - n
     out *= zr[0]
     out += n
-    return out, (h, zr, n, g[2])
+    return out, (h, zr, n, g[2].copy())
 
 
-def gate_step_back(dh: np.ndarray, back: np.ndarray, saved: tuple, dx: np.ndarray, dg: np.ndarray) -> np.ndarray:
-    """gru_step_back by gate: gradient of the state before. back: u by gate, each gate transposed. The gradients of x and
-    of the gates' recurrent part are written to dx and dg; h.T @ dg, over any steps at once, is that of u."""
+def gate_step_back(dh: np.ndarray, back: np.ndarray, saved: tuple, dx: np.ndarray, dg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient of u by gate, gradient of the state before): gru_step_back by gate. back: u by gate, each gate
+    transposed. The gradient of x is written to dx, that of the gates' recurrent part to dg, used again by each step."""
     h, zr, n, gn = saved
     np.multiply(n, n, out=dx[2])
     np.subtract(1, dx[2], out=dx[2])
@@ -80,7 +80,7 @@ def gate_step_back(dh: np.ndarray, back: np.ndarray, saved: tuple, dx: np.ndarra
     out = dh * zr[0]
     for part in np.matmul(dg, back):
         out += part
-    return out
+    return np.matmul(h.T, dg), out
 
 
 class Adam:
