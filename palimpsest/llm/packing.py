@@ -234,7 +234,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ..
 _TOKENS: dict[str, tuple] = {}
 
 
-def _encoder(path: str, most: int = 300_000):
+def _encoder(path: str, most: int = 600_000):
     """UTF-8 texts -> their ids as little-endian unsigned 32-bit bytes. Where the vocabulary's pre-tokenizer drops
     white space, no token reaches over a blank, and each worker encodes a word between blanks once and remembers it."""
     if path not in _TOKENS:
@@ -264,14 +264,25 @@ def _encoder(path: str, most: int = 300_000):
         plain = lowered and b"<|" not in data and (data.isascii() or (b"\xcc" not in data and b"\xcd" not in data))
         return data.lower().split() if plain else data.split()
 
+    tokenize, table = model.model.tokenize, _byte_letters()
+
     def ids_of(words: list[bytes]) -> list[bytes]:
         """A word of letters that normalising leaves as it is goes straight to the model's merges, the rest all the way."""
-        texts = [w.decode() for w in words]
-        plain = [bool(_PLAIN.fullmatch(x)) for x in texts]
-        merges, table = model.model, _byte_letters()
-        rest = iter(encode_apart(model, [x for x, p in zip(texts, plain, strict=True) if not p], marker["content"], marker["id"]))
-        spelled = (x if x.isascii() else w.decode("latin-1").translate(table) for x, w in zip(texts, words, strict=True))
-        return [b"".join([coded[t.id] for t in merges.tokenize(x)]) if p else next(rest).tobytes() for x, p in zip(spelled, plain, strict=True)]
+        out, rest = [], []
+        for w in words:
+            if w.isalpha() and w.islower():  # a-z alone, told by its bytes
+                x = w.decode()
+            elif _PLAIN.fullmatch(x := w.decode()):
+                x = w.decode("latin-1").translate(table)
+            else:
+                rest.append((len(out), x))
+                out.append(b"")
+                continue
+            found = tokenize(x)
+            out.append(coded[found[0].id] if len(found) == 1 else b"".join([coded[t.id] for t in found]))
+        for (i, _), ids in zip(rest, encode_apart(model, [x for _, x in rest], marker["content"], marker["id"]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
     def encode(texts: list[bytes]) -> list[bytes]:
         memo.age()
