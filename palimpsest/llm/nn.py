@@ -112,6 +112,4 @@ class Adam:
             d = v / c2
             np.sqrt(d, out=d)
             d += 1e-8
-            np.divide(m, d, out=d)
-            d *= (slow or {}).get(k, 1.0) * self.rate / c1
-            self.params[k][i] -= d
+            self.params[k][i] -= ((slow or {}).get(k, 1.0) * self.rate / c1) * m / d
